@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,32 +13,37 @@ FNV_PRIME = 16777619
 
 
 def fnv1a32(key: Column) -> Column:
-    """32-bit FNV-1a of the key bytes as an unsigned number in a BIGINT."""
-    digits = F.hex(key.cast("string").cast("binary"))
-    size = F.octet_length(key.cast("string"))
-    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(
-        places,
-        F.lit(FNV_BASIS).cast("bigint"),
-        lambda state, i: F.pmod(
-            state.bitwiseXOR(F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint"))
-            * FNV_PRIME,
-            F.lit(1 << 32).cast("bigint"),
-        ),
-    )
-
-
-def key_partition(key: Column, n: Column | int, method: str = "fnv1a") -> Column:
+    """32-bit FNV-1a of the key bytes, as a signed INT.
+
+    On Arrow batches, byte place by byte place over all keys at once; as a column expression it
+    would be an interpreted fold per key.
+    """
+    basis, prime = FNV_BASIS, FNV_PRIME
+
+    @F.pandas_udf("int")
+    def hashed(keys: pd.Series) -> pd.Series:
+        codes, distinct = pd.factorize(keys)
+        raw = [bytes(key) for key in distinct]
+        sizes = np.array([len(key) for key in raw], dtype=np.int64)
+        state = np.full(len(raw), basis, dtype=np.uint32)
+        for place in range(int(sizes.max(initial=0))):
+            inside = sizes > place
+            octets = np.array([key[place] for key in raw if len(key) > place], dtype=np.uint32)
+            state[inside] = (state[inside] ^ octets) * np.uint32(prime)
+        return pd.Series(state.view(np.int32)[codes]).where(codes >= 0).astype("Int32")
+
+    return hashed(key.cast("string").cast("binary"))
+
+
+def key_partition(key: Column, n: Column | int, method: str = "spark") -> Column:
     """Partition of a key among ``n``: equal keys always meet.
 
-    ``fnv1a`` is the placement common message producers use; ``spark`` is the engine's own hash,
-    which stays inside generated code.
+    ``spark`` is the engine's own hash and stays inside generated code; ``fnv1a`` is the placement
+    of common message producers, for records that have to join keys written by one.
     """
-    count = (F.lit(n) if isinstance(n, int) else n).cast("bigint")
+    count = F.lit(n) if isinstance(n, int) else n
     if method == "spark":
-        return F.pmod(F.hash(key).cast("bigint"), count).cast("int")
+        return F.pmod(F.hash(key), count).cast("int")
     if method != "fnv1a":
-        raise ValueError(f"method must be 'fnv1a' or 'spark', not {method!r}")
-    unsigned = fnv1a32(key)
-    signed = F.when(unsigned >= 1 << 31, unsigned - (1 << 32)).otherwise(unsigned)
-    return F.abs(signed % count).cast("int")
+        raise ValueError(f"method must be 'spark' or 'fnv1a', not {method!r}")
+    return F.abs(fnv1a32(key).cast("bigint") % count).cast("int")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logsift.sources.log import Log
 
-def has(log: DataFrame, needle: str, column: str = "value") -> Column:
-    """Byte-wise, case-sensitive substring test; the empty needle matches every message."""
+
+def has(log: Log, needle: str, column: str = "value") -> Column:
+    """Byte-wise, case-sensitive substring test; the empty needle matches every message.
+
+    A STRING column keeps the test as a string filter, which the scan can use.
+    """
     if needle == "":
         return F.lit(True)
-    if isinstance(log.schema[column].dataType, T.BinaryType):
+    if callable(log) or isinstance(log.schema[column].dataType, T.BinaryType):
         return F.contains(F.col(column), F.lit(needle.encode()))
     return F.contains(F.col(column), F.lit(needle))
 
@@ -44,52 +49,29 @@ def body_lines(column: Column | str) -> Column:
     """Array of the lines of a body: LF or CRLF ends a line, the last line needs no end."""
     text = as_text(column)
     ended = F.endswith(text, F.lit("\n")) | (text == "")
-    whole = F.split(text, "\r?\n")
-    open_end = F.split(F.regexp_replace(text, r"\r\z", ""), "\r?\n")
-    return F.when(ended, F.slice(whole, F.lit(1), F.size(whole) - 1)).otherwise(open_end)
+    plain = F.when(ended, _without_last(F.split(text, "\n"))).otherwise(F.split(text, "\n"))
+    closed = F.regexp_replace(text, r"\r\z", "")
+    mixed = F.when(ended, _without_last(F.split(text, "\r?\n"))).otherwise(F.split(closed, "\r?\n"))
+    return F.when(F.contains(text, F.lit("\r")), mixed).otherwise(plain)
 
 
-def first_index(text: Column, needle: str, unit: str = "char") -> Column:
-    """0-based place of the first match in characters or bytes, -1 without one."""
-    at = F.instr(text, F.lit(needle))
+def _without_last(items: Column) -> Column:
+    return F.slice(items, F.lit(1), F.size(items) - 1)
+
+
+def length_in(text: Column, unit: str) -> Column:
     if unit == "char":
-        return at - 1
+        return F.length(text)
     if unit == "byte":
-        return F.when(at == 0, -1).otherwise(F.octet_length(F.left(text, at - 1)))
+        return F.octet_length(text)
     raise ValueError(f"unit must be 'char' or 'byte', not {unit!r}")
 
 
-def first_line_match(column: Column | str, needle: str, unit: str = "char") -> Column:
-    """STRUCT<line_no, col> of the first line that contains ``needle``; NULL without a match."""
-    lines = body_lines(column)
+def in_first_line(lines: Column, needle: str, unit: str) -> Column:
+    """STRUCT<line_no, col> of the first of ``lines`` that contains ``needle``; NULL without one."""
     line_no = F.array_position(F.transform(lines, lambda line: F.contains(line, F.lit(needle))), True) - 1
     line = F.get(lines, line_no.cast("int"))
+    before = F.left(line, F.instr(line, F.lit(needle)) - 1)
     return F.when(
-        line_no >= 0,
-        F.struct(line_no.cast("int").alias("line_no"), first_index(line, needle, unit).alias("col")),
-    )
-
-
-def split_at_match(
-    column: Column | str, needle: str, after: int | None = None, width: int | None = None
-) -> Column:
-    """STRUCT<before, match, after> around the first match; NULL without one.
-
-    ``after`` limits the text behind the match; ``width`` cuts the whole row at that many characters.
-    """
-    text = as_text(column)
-    at = F.instr(text, F.lit(needle))
-    behind = at + len(needle)
-    room = F.length(text)
-    if after is not None:
-        room = F.least(room, F.lit(after))
-    if width is not None:
-        room = F.least(room, F.greatest(F.lit(width) - behind + 1, F.lit(0)))
-    return F.when(
-        at > 0,
-        F.struct(
-            F.left(text, at - 1).alias("before"),
-            F.lit(needle).alias("match"),
-            F.substring(text, behind, room).alias("after"),
-        ),
+        line_no >= 0, F.struct(line_no.cast("int").alias("line_no"), length_in(before, unit).alias("col"))
     )

@@ -27,9 +27,9 @@ def list_topics(log: DataFrame, declared: DataFrame | None = None) -> list[str]:
     rows = held_rows(topic_catalog(log, declared).select("topic"))
     if rows is None:
         raise ValueError(f"more than {HELD_ROWS} topics: use topic_catalog and page through it")
-    if rows.num_rows == 0:
+    if not rows:
         raise LookupError("no topics found in the log")
-    return sorted(rows.column("topic").to_pylist())
+    return sorted(row["topic"] for row in rows)
 
 
 def partition_offsets(log: DataFrame, declared: DataFrame | None = None) -> DataFrame:

@@ -6,20 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsift.operators.ranges import in_range
-from logsift.operators.scan import first_n
-from logsift.sources.log import ADDRESS
-
-
-def page_messages(log: DataFrame, cursors: DataFrame, page: int, height: int, dense: bool = False) -> DataFrame:
+from logsift.operators.scan import filtered_head
+from logsift.sources.log import ADDRESS, Log
+
+
+def page_messages(
+    log: Log,
+    cursors: DataFrame,
+    page: int,
+    height: int,
+    dense: bool = False,
+    step: int | None = None,
+) -> DataFrame:
     """Page ``page`` of every partition: the first ``height`` messages from ``start + page * height``.
 
-    On a ``dense`` log the page is the offset range itself; no ranking is needed.
+    On a ``dense`` log the page is the offset range itself; no ranking is needed. On a log with
+    gaps ``step`` reads growing offset ranges until every partition has its page, for logs stored
+    in offset order.
     """
     first = F.col("start") + page * height
     seek = cursors.withColumn("offset", first)
     if dense:
         return in_range(log, seek.withColumn("end", F.least("end", first + height)))
-    return first_n(in_range(log, seek), height)
+    return filtered_head(log, F.lit(True), height, seek, step=step)
 
 
 def page_ids(log: DataFrame, cursors: DataFrame, height: int) -> DataFrame:

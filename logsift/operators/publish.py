@@ -41,21 +41,25 @@ LAST_PARTS = (
 )
 
 
-def assign_offsets(records: DataFrame, order_by: list[str], base: DataFrame | None = None) -> DataFrame:
-    """Give the records of every (topic, partition) the next dense offsets in the given order.
-
-    ``order_by`` must make the order unique. The records are range-partitioned by their full order,
-    so a hot partition spreads over many tasks, and written once to the checkpoint folder. A second
-    pass counts the run of every partition in every task; the offset is the place in the run plus
-    the runs before it. ``base`` is the cursor table of the log appended to: offsets go on from
-    its ends.
+def assign_offsets(
+    records: DataFrame, order_by: list[str] | None = None, base: DataFrame | None = None
+) -> DataFrame:
+    """Give the records of every (topic, partition) the next dense offsets.
+
+    With ``order_by``, which must make the order unique, offsets follow that order: the records are
+    range-partitioned by it, so a hot partition spreads over many tasks. Without it they are taken
+    as they arrive and nothing is shuffled. Either way they are written once to the checkpoint
+    folder, sorted inside each task; a second pass counts the run of every partition in every task,
+    and the offset is the place in the run plus the runs before it. ``base`` is the cursor table of
+    the log appended to: offsets go on from its ends.
     """
-    order = [*KEYS, *order_by]
-    ordered = materialise(
-        records.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_row", F.monotonically_increasing_id())
-    ).withColumn("_task", F.shiftright("_row", 33))
+    if order_by:
+        order = [*KEYS, *order_by]
+        placed = records.repartitionByRange(*order).sortWithinPartitions(*order)
+    else:
+        placed = records.sortWithinPartitions(*KEYS)
+    ordered = materialise(placed.withColumn("_row", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("_task", F.shiftright("_row", 33))
     run = [*KEYS, "_task"]
     runs = ordered.groupBy(*run).agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     earlier = Window.partitionBy(*KEYS).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,15 +68,19 @@ def assign_offsets(records: DataFrame, order_by: list[str], base: DataFrame | No
         runs = runs.join(base.select(*KEYS, F.col("end").alias("_end")), KEYS, "left")
         before = before + F.coalesce(F.col("_end"), F.lit(0))
     shifts = runs.select(*run, (before - F.col("_first")).alias("_shift"))
-    placed = join_small(ordered, shifts, run)
-    return placed.withColumn("offset", F.col("_row") + F.col("_shift")).drop("_row", "_task", "_shift")
+    numbered = join_small(ordered, shifts, run)
+    return numbered.withColumn("offset", F.col("_row") + F.col("_shift")).drop("_row", "_task", "_shift")
 
 
 def append_to_log(
-    records: DataFrame, partitions: int | Column, order_by: list[str], base: DataFrame | None = None
+    records: DataFrame,
+    partitions: int | Column,
+    order_by: list[str] | None = None,
+    base: DataFrame | None = None,
+    method: str = "spark",
 ) -> DataFrame:
     """Keyed records (topic, key, value) as log rows: partition by key, then dense offsets."""
-    placed = records.withColumn("partition", key_partition(F.col("key"), partitions))
+    placed = records.withColumn("partition", key_partition(F.col("key"), partitions, method))
     return assign_offsets(placed, order_by, base)
 
 

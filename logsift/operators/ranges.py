@@ -2,67 +2,67 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.plans.sizing import held_rows, local_frame
-from logsift.sources.log import ADDRESS, KEYS
+from logsift.plans.sizing import small_side
+from logsift.sources.log import ADDRESS, KEYS, Log
 
 LISTED_NAMES = 500
 
 
-def in_range(log: DataFrame, cursors: DataFrame | None, keep: tuple[str, ...] = ()) -> DataFrame:
+def in_range(log: Log, cursors: DataFrame | None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Messages with ``cursor <= offset < end`` of their partition.
 
     Without cursors the whole log is meant: a batch read is its own snapshot. ``keep`` names cursor
-    columns to carry along. Cursors are joined by broadcast after a check of their number; their
-    topics, partitions and outermost offsets also go to the scan as constants, where they prune
-    folders and row groups. A larger cursor table is joined by shuffle.
+    columns to carry along. The cursors are counted before they are broadcast; when they are few,
+    their topics, partitions and outermost offsets also go to the scan as constants, where they
+    prune folders and row groups.
     """
     if cursors is None:
+        if callable(log):
+            raise ValueError("a log that is read by ranges needs cursors")
         return log
+    if callable(log):
+        log = log(cursors)
     spans = cursors.select(*KEYS, F.col("offset").alias("_cursor"), F.col("end").alias("_end"), *keep)
     spans = spans.where("_cursor < _end")
-    rows = held_rows(spans)
+    spans, rows = small_side(spans)
     if rows is not None:
         log = log.where(_outer_bounds(rows))
-        spans = F.broadcast(local_frame(spans, rows))
     inside = (F.col("offset") >= F.col("_cursor")) & (F.col("offset") < F.col("_end"))
     return log.join(spans, KEYS).where(inside).select(*log.columns, *keep)
 
 
-def at_addresses(log: DataFrame, requests: DataFrame) -> DataFrame:
+def at_addresses(log: Log, requests: DataFrame) -> DataFrame:
     """Messages at the requested (topic, partition, offset), once per request."""
     wanted = requests.select(*ADDRESS)
-    rows = held_rows(wanted)
+    if callable(log):
+        spans = wanted.groupBy(*KEYS).agg(F.min("offset").alias("start"), (F.max("offset") + 1).alias("end"))
+        log = log(spans.withColumn("offset", F.col("start")))
+    wanted, rows = small_side(wanted)
     if rows is None:
-        return log.join(wanted, ADDRESS)
-    if rows.num_rows == 0:
+        return log.join(wanted, ADDRESS).select(*log.columns)
+    if not rows:
         return log.where(F.lit(False))
-    offsets = pc.unique(rows.column("offset"))
-    bounds = _names(rows) & F.col("offset").between(*_span(offsets, offsets))
+    offsets = {row["offset"] for row in rows}
+    bounds = _names(rows) & F.col("offset").between(min(offsets), max(offsets))
     if len(offsets) <= LISTED_NAMES:
-        bounds = bounds & F.col("offset").isin(offsets.to_pylist())
-    return log.where(bounds).join(F.broadcast(local_frame(wanted, rows)), ADDRESS).select(*log.columns)
+        bounds = bounds & F.col("offset").isin(sorted(offsets))
+    return log.where(bounds).join(wanted, ADDRESS).select(*log.columns)
 
 
-def _outer_bounds(rows: pa.Table) -> Column:
-    if rows.num_rows == 0:
+def _outer_bounds(rows: list[dict]) -> Column:
+    if not rows:
         return F.lit(False)
-    first, end = _span(rows.column("_cursor"), rows.column("_end"))
+    first, end = min(row["_cursor"] for row in rows), max(row["_end"] for row in rows)
     return _names(rows) & (F.col("offset") >= first) & (F.col("offset") < end)
 
 
-def _names(rows: pa.Table) -> Column:
+def _names(rows: list[dict]) -> Column:
     condition = F.lit(True)
     for key in KEYS:
-        names = pc.unique(rows.column(key)).to_pylist()
+        names = {row[key] for row in rows}
         if len(names) <= LISTED_NAMES:
-            condition = condition & F.col(key).isin(names)
+            condition = condition & F.col(key).isin(sorted(names))
     return condition
-
-
-def _span(low: pa.ChunkedArray, high: pa.ChunkedArray) -> tuple[int, int]:
-    return pc.min(low).as_py(), pc.max(high).as_py()

@@ -9,22 +9,22 @@ from logsift.functions.text import byte_cut, char_cut
 from logsift.operators.decode import decode
 from logsift.operators.ranges import at_addresses, in_range
 from logsift.operators.waves import match_ranges
-from logsift.sources.log import ADDRESS, KEYS
+from logsift.sources.log import ADDRESS, KEYS, Log
 
-BLOCK = 1 << 24
+BLOCK_BITS = 24
 
 
-def range_scan(log: DataFrame, cursors: DataFrame | None = None) -> DataFrame:
+def range_scan(log: Log, cursors: DataFrame | None = None) -> DataFrame:
     """Messages from every cursor to the end snapshot, all partitions in one job."""
     return in_range(log, cursors)
 
 
-def lookup(log: DataFrame, requests: DataFrame) -> DataFrame:
+def lookup(log: Log, requests: DataFrame) -> DataFrame:
     """Messages at a table of (topic, partition, offset) requests."""
     return at_addresses(log, requests)
 
 
-def message_at_position(log: DataFrame, cursors: DataFrame, n: int, dense: bool = False) -> DataFrame:
+def message_at_position(log: Log, cursors: DataFrame, n: int, dense: bool = False) -> DataFrame:
     """The ``n``-th message (from 0) after the start of every partition.
 
     On a ``dense`` log, one without gaps, that is the offset ``start + n`` and only it is read.
@@ -42,7 +42,7 @@ def first_n(log: DataFrame, n: int, rank: str | None = None) -> DataFrame:
     Ranked in three steps, so that a hot partition never meets in one task: the window limit keeps
     ``n`` per map task, then ``n`` per block of offsets, and only those are ranked together.
     """
-    block = F.floor(F.col("offset") / BLOCK)
+    block = F.shiftright("offset", BLOCK_BITS)
     in_block = Window.partitionBy(*KEYS, block).orderBy("offset")
     in_partition = Window.partitionBy(*KEYS).orderBy("offset")
     nearest = log.withColumn("_rank", F.row_number().over(in_block)).where(F.col("_rank") <= n)
@@ -51,7 +51,7 @@ def first_n(log: DataFrame, n: int, rank: str | None = None) -> DataFrame:
 
 
 def filtered_head(
-    log: DataFrame,
+    log: Log,
     predicate: Column,
     n: int,
     cursors: DataFrame | None = None,
@@ -84,7 +84,7 @@ def preview(log: DataFrame, width: int, unit: str = "byte") -> DataFrame:
     return log.select(*ADDRESS, cut("value", width).alias("preview"))
 
 
-def with_context(log: DataFrame, cursors: DataFrame) -> DataFrame:
+def with_context(log: Log, cursors: DataFrame) -> DataFrame:
     """Start and end of the partition beside each message from its cursor on."""
     return in_range(log, cursors, keep=("start", "end"))
 

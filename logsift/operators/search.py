@@ -4,30 +4,42 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.functions.text import first_line_match, has, split_at_match
-from logsift.operators.ranges import in_range
+from logsift.functions.text import as_text, body_lines, has, in_first_line, length_in
+from logsift.operators.ranges import at_addresses, in_range
 from logsift.operators.waves import match_ranges
 from logsift.plans.sizing import join_small, materialise, pin
-from logsift.sources.log import ADDRESS, KEYS
+from logsift.sources.log import ADDRESS, KEYS, Log
 
 CURSOR = [*KEYS, "start", "end", "offset"]
 
 
 def search_partition(
-    log: DataFrame, needle: str, cursors: DataFrame | None = None, column: str = "value"
+    log: Log,
+    needle: str,
+    cursors: DataFrame | None = None,
+    column: str = "value",
+    step: int | None = None,
 ) -> DataFrame:
-    """First matching message of every partition at or after its cursor."""
-    hits = in_range(log, cursors).where(has(log, needle, column))
+    """First matching message of every partition at or after its cursor.
+
+    ``step`` reads growing offset ranges as in ``search_topic``.
+    """
+    found = has(log, needle, column)
+    ranges = _waves(log, cursors, found, step)
+    if ranges is not None:
+        first = ranges.select(*KEYS, F.col("first").alias("offset"))
+        return at_addresses(log, first).select(*ADDRESS, "value")
+    hits = in_range(log, cursors).where(found)
     return hits.groupBy(*KEYS).agg(
         F.min("offset").alias("offset"), F.min_by("value", "offset").alias("value")
     )
 
 
 def search_topic(
-    log: DataFrame,
+    log: Log,
     needle: str,
     cursors: DataFrame | None = None,
     column: str = "value",
@@ -40,9 +52,10 @@ def search_topic(
     waves that leave out partitions already matched. ``column`` may name a decoded value.
     """
     found = has(log, needle, column)
+    ranges = _waves(log, cursors, found, step)
+    if ranges is not None:
+        return ranges.select(*KEYS, "start", "end", F.col("first").alias("offset")).orderBy(*KEYS)
     if cursors is None:
-        if step is not None:
-            raise ValueError("step needs cursors")
         return (
             log.groupBy(*KEYS)
             .agg(
@@ -53,10 +66,6 @@ def search_topic(
             .where(F.col("offset").isNotNull())
             .orderBy(*KEYS)
         )
-    if step is not None:
-        ranges = match_ranges(log, cursors, found, 1, step)
-        if ranges is not None:
-            return ranges.select(*KEYS, "start", "end", F.col("first").alias("offset")).orderBy(*KEYS)
     first = in_range(log, cursors).where(found).groupBy(*KEYS).agg(F.min("offset").alias("_first"))
     return _narrow(cursors, first).orderBy(*KEYS)
 
@@ -72,7 +81,7 @@ def match_count(found: DataFrame) -> DataFrame:
     return found.groupBy("topic").agg(F.count("*").alias("n_partitions"))
 
 
-def search_chained(log: DataFrame, needles: list[str], cursors: DataFrame | None = None) -> DataFrame:
+def search_chained(log: Log, needles: list[str], cursors: DataFrame | None = None) -> DataFrame:
     """Each search runs on the partitions and from the cursors the one before it left.
 
     ``first_match`` lists the offset found by each needle; the same message may serve several.
@@ -95,22 +104,51 @@ def search_chained(log: DataFrame, needles: list[str], cursors: DataFrame | None
 def search_body(log: DataFrame, needle: str, unit: str = "char") -> DataFrame:
     """First line of every message that contains ``needle``, with line number and column from 0.
 
-    Row-local: the lines stay an array inside the row, nothing is exploded or shuffled.
+    Row-local, nothing is exploded or shuffled. A needle without line ends sits inside one line, so
+    the text before its first match tells both numbers; only other needles need the lines.
     """
-    place = first_line_match("value", needle, unit).alias("_at")
-    return (
-        log.where(has(log, needle)).select(*ADDRESS, place).where("_at is not null").select(*ADDRESS, "_at.*")
-    )
+    rows = log.where(has(log, needle)).select(*ADDRESS, as_text("value").alias("_text"))
+    if needle == "" or "\n" in needle or "\r" in needle:
+        lines = rows.select(*ADDRESS, body_lines("_text").alias("_lines"))
+        places = lines.select(*ADDRESS, in_first_line(F.col("_lines"), needle, unit).alias("_at"))
+        return places.where("_at is not null").select(*ADDRESS, "_at.*")
+    before = F.left("_text", F.instr("_text", F.lit(needle)) - 1)
+    rows = rows.select(*ADDRESS, before.alias("_before"))
+    breaks = F.length("_before") - F.length(F.replace("_before", F.lit("\n"), F.lit("")))
+    column = length_in(F.substring_index("_before", "\n", -1), unit)
+    return rows.select(*ADDRESS, breaks.alias("line_no"), column.alias("col"))
 
 
 def match_context(
     log: DataFrame, needle: str, after: int | None = None, width: int | None = None
 ) -> DataFrame:
-    """Text before, at and after the first match of every matching message."""
-    around = split_at_match("value", needle, after, width).alias("_around")
-    return log.where(has(log, needle)).select(*ADDRESS, around).select(*ADDRESS, "_around.*")
+    """Text before, at and after the first match of every matching message.
+
+    ``after`` limits the text behind the match; ``width`` cuts the whole value at that many
+    characters.
+    """
+    rows = log.where(has(log, needle)).select(*ADDRESS, as_text("value").alias("_text"))
+    rows = rows.withColumn("_at", F.instr("_text", F.lit(needle)))
+    behind = F.col("_at") + len(needle)
+    room = F.length("_text") if after is None else F.lit(after)
+    if width is not None:
+        room = F.least(room, F.greatest(F.lit(width + 1) - behind, F.lit(0)))
+    return rows.select(
+        *ADDRESS,
+        F.left("_text", F.col("_at") - 1).alias("before"),
+        F.lit(needle).alias("match"),
+        F.substring("_text", behind, room).alias("after"),
+    )
 
 
 def _narrow(cursors: DataFrame, first: DataFrame) -> DataFrame:
     moved = cursors.select(*KEYS, "start", "end").join(first, KEYS)
     return moved.withColumnRenamed("_first", "offset").select(*CURSOR)
+
+
+def _waves(log: Log, cursors: DataFrame | None, found: Column, step: int | None) -> DataFrame | None:
+    if step is None:
+        return None
+    if cursors is None:
+        raise ValueError("step needs cursors")
+    return match_ranges(log, cursors, found, 1, step)

@@ -7,19 +7,18 @@ offset is read twice, and the offsets of a wave reach the scan as constants.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.operators.ranges import in_range
-from logsift.plans.sizing import held_rows
-from logsift.sources.log import KEYS
+from logsift.plans.sizing import held_rows, local_frame
+from logsift.sources.log import KEYS, Log
 
 GROWTH = 4
 
 
 def match_ranges(
-    log: DataFrame, cursors: DataFrame, predicate: Column, n: int, step: int
+    log: Log, cursors: DataFrame, predicate: Column, n: int, step: int
 ) -> DataFrame | None:
     """For every partition with a match, the part ``[first, stop)`` of its range that holds its
     first ``n`` matches, or all it has. None when there are too many cursors to hold.
@@ -28,28 +27,23 @@ def match_ranges(
     """
     if n < 1 or step < 1:
         raise ValueError("n and step must be at least 1")
-    rows = held_rows(cursors.select(*KEYS, "start", "end", "offset"))
+    cursors = cursors.select(*KEYS, "start", "end", "offset")
+    rows = held_rows(cursors)
     if rows is None:
         return None
-    schema = rows.schema
-    waiting = [{**row, "seen": 0, "first": None, "stop": None} for row in rows.to_pylist()]
+    waiting = [{**row, "seen": 0, "first": None, "stop": None} for row in rows]
     done = []
-    while waiting:
+    while True:
         done += [row for row in waiting if row["seen"] >= n or row["offset"] >= row["end"]]
         waiting = [row for row in waiting if row["seen"] < n and row["offset"] < row["end"]]
         if not waiting:
             break
         wave = [{**row, "end": min(row["offset"] + step, row["end"])} for row in waiting]
-        part = log.sparkSession.createDataFrame(pa.Table.from_pylist(wave, schema=schema))
-        matches = (
-            in_range(log, part)
-            .where(predicate)
-            .groupBy(*KEYS)
-            .agg(F.count("*").alias("n"), F.min("offset").alias("first"), F.max("offset").alias("last"))
-            .toArrow()
-            .to_pylist()
+        part = in_range(log, local_frame(cursors, wave)).where(predicate)
+        matches = part.groupBy(*KEYS).agg(
+            F.count("*").alias("n"), F.min("offset").alias("first"), F.max("offset").alias("last")
         )
-        by_key = {(m["topic"], m["partition"]): m for m in matches}
+        by_key = {(m["topic"], m["partition"]): m for m in matches.collect()}
         for row, read in zip(waiting, wave, strict=True):
             row["offset"] = read["end"]
             match = by_key.get((row["topic"], row["partition"]))
@@ -58,6 +52,7 @@ def match_ranges(
                 row["first"] = match["first"] if row["first"] is None else row["first"]
                 row["stop"] = match["last"] + 1
         step *= GROWTH
-    fields = [*[schema.field(c) for c in (*KEYS, "start", "end")], ("first", pa.int64()), ("stop", pa.int64())]
-    found = pa.Table.from_pylist([row for row in done if row["seen"]], schema=pa.schema(fields))
-    return log.sparkSession.createDataFrame(found)
+    found = cursors.select(
+        *KEYS, "start", "end", F.col("offset").alias("first"), F.col("offset").alias("stop")
+    )
+    return local_frame(found, [row for row in done if row["seen"]])

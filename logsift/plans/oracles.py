@@ -154,6 +154,14 @@ select topic, "partition", "start", "start" as "offset", "end", "end" - "start"
     "message_preview": f"""
 with {DOCS}
 select topic, "partition", "offset", left("value", 40) as preview from log""",
+    "page_preview": """
+with page as (
+  select page_id, html, list_max(list_filter(range(61), lambda i: strlen(left(html, i)) <= 60)) as whole
+  from pages)
+select 'pages' as topic, cast(page_id % 4 as integer) as "partition", page_id as "offset",
+       left(html, whole) || case when strlen(left(html, whole)) < 60 and strlen(html) > 60
+                                 then chr(65533) else '' end as preview
+from page""",
     "message_context": f"""
 with {EVENTS}, {CURSORS}
 select l.topic, l."partition", l."offset", c."start", c."end"

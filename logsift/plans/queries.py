@@ -23,6 +23,7 @@ from logsift.streaming.replay import replay_first_match
 Query = Callable[[SparkSession, str], DataFrame]
 
 NEEDLE = "87"
+STEP = 1 << 16
 ROW = [*ADDRESS, "value"]
 
 
@@ -87,7 +88,7 @@ def synthetic_log(spark, folder):
     count = F.lit(0)
     for topic, n in publish.TOPIC_PARTITIONS.items():
         count = F.when(F.col("topic") == topic, n).otherwise(count)
-    return publish.append_to_log(records, count, ["id"]).select(*ADDRESS, "key", "value")
+    return publish.append_to_log(records, count, ["id"], method="fnv1a").select(*ADDRESS, "key", "value")
 
 
 def partition_table(spark, folder):
@@ -109,7 +110,7 @@ def message_context(spark, folder):
 
 def filtered_head(spark, folder):
     log = _events(spark, folder)
-    return scan.filtered_head(log, has(log, "8"), 5)
+    return scan.filtered_head(log, has(log, "8"), 5, _cursors(log), step=STEP)
 
 
 def non_empty_partitions(spark, folder):
@@ -178,7 +179,7 @@ def match_context(spark, folder):
 
 def page_messages(spark, folder):
     log = _events(spark, folder).select(*ADDRESS)
-    return paging.page_messages(log, _cursors(log), 2, 20)
+    return paging.page_messages(log, _cursors(log), 2, 20, step=STEP)
 
 
 def page_ids(spark, folder):

@@ -1,8 +1,7 @@
 """Size checks in front of everything that is broadcast or held on the driver.
 
 Cursor tables hold one row per partition of the log, so they are normally small, but nothing
-guarantees it. Every use goes through ``held_rows``: at most ``HELD_ROWS`` rows come to the driver,
-and a larger table stays distributed and is joined by shuffle.
+guarantees it. Every use counts first: see ``small_side``.
 """
 
 from __future__ import annotations
@@ -10,22 +9,26 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from logsift.plans.session import checkpoint_dir
 
 HELD_ROWS = 50_000
+BROADCAST_ROWS = 1_000_000
 
 
-def held_rows(table: DataFrame, limit: int | None = None) -> pa.Table | None:
+def held_rows(table: DataFrame, limit: int | None = None) -> list[dict] | None:
     """The rows of ``table`` on the driver, or None when there are more than ``limit``."""
     limit = HELD_ROWS if limit is None else limit
-    rows = table.limit(limit + 1).toArrow()
-    return rows if rows.num_rows <= limit else None
+    rows = table.limit(limit + 1).collect()
+    return [row.asDict() for row in rows] if len(rows) <= limit else None
 
 
-def local_frame(like: DataFrame, rows: pa.Table) -> DataFrame:
-    """``rows`` as a local relation with the column types of ``like``."""
-    return like.sparkSession.createDataFrame(rows, like.schema)
+def local_frame(like: DataFrame, rows: list[dict]) -> DataFrame:
+    """``rows`` as a local relation with the column types of ``like``; its size is exact."""
+    schema = to_arrow_schema(like.schema)
+    columns = [pa.array([row[f.name] for row in rows], f.type) for f in schema]
+    return like.sparkSession.createDataFrame(pa.Table.from_arrays(columns, schema=schema), like.schema)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -43,9 +46,19 @@ def pin(table: DataFrame, limit: int | None = None) -> DataFrame:
     return materialise(table) if rows is None else local_frame(table, rows)
 
 
+def small_side(table: DataFrame) -> tuple[DataFrame, list[dict] | None]:
+    """``table`` as the small side of a join, with its rows when they are held on the driver.
+
+    Up to ``HELD_ROWS`` rows it is a broadcast local relation, up to ``BROADCAST_ROWS`` a broadcast
+    checkpoint, beyond that a checkpoint that the planner joins by shuffle.
+    """
+    rows = held_rows(table)
+    if rows is not None:
+        return F.broadcast(local_frame(table, rows)), rows
+    table = materialise(table)
+    return (F.broadcast(table) if table.count() <= BROADCAST_ROWS else table), None
+
+
 def join_small(big: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join ``big`` with ``table``: by broadcast when it is proven small, else by shuffle."""
-    rows = held_rows(table)
-    if rows is None:
-        return big.join(table, keys, how)
-    return big.join(F.broadcast(local_frame(table, rows)), keys, how)
+    return big.join(small_side(table)[0], keys, how)

@@ -8,7 +8,6 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +46,12 @@ def kafka_options(
     return options
 
 
-def offset_options(cursors: pa.Table) -> dict[str, str]:
+def offset_options(cursors: list[dict]) -> dict[str, str]:
     """``assign`` and the offset bounds that make the source seek to every cursor."""
     assign: dict[str, list[int]] = {}
     starting: dict[str, dict[str, int]] = {}
     ending: dict[str, dict[str, int]] = {}
-    for row in cursors.to_pylist():
+    for row in cursors:
         topic, partition = row["topic"], row["partition"]
         assign.setdefault(topic, []).append(partition)
         starting.setdefault(topic, {})[str(partition)] = row["offset"]
@@ -70,7 +69,7 @@ def read_options(
     """Source options for a bounded read. ``min_partitions`` splits hot partitions by offset range."""
     options = {} if min_partitions is None else {"minPartitions": str(min_partitions)}
     rows = None if cursors is None else held_rows(cursors.where(F.col("offset") < F.col("end")))
-    if rows is not None and rows.num_rows:
+    if rows:
         return options | offset_options(rows)
     if topics is None:
         raise ValueError("name the topics, or give cursors with something to read")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from logsift.plans.sizing import pin
 KEYS = ["topic", "partition"]
 ADDRESS = [*KEYS, "offset"]
 
+# A log is a DataFrame, or a function that reads the ranges of a cursor table. The function suits
+# sources that seek by their own options instead of by a filter, such as ``read_kafka``.
+Log = DataFrame | Callable[[DataFrame], DataFrame]
+
 LOG_SCHEMA = "topic STRING, partition INT, offset BIGINT, key BINARY, timestamp TIMESTAMP, value BINARY"
 CURSOR_SCHEMA = "topic STRING, partition INT, start BIGINT, end BIGINT, offset BIGINT"
 

@@ -41,9 +41,9 @@ def _plain(value):
     return value
 
 
-def compare(spark, connection, name: str, query, sql: str, folder: str) -> str | None:
-    """None when equal, else what differs."""
-    got = rows_of(query(spark, folder).toArrow())
+def compare(result, connection, sql: str) -> str | None:
+    """None when the DataFrame equals the SQL, else what differs."""
+    got = rows_of(result.toArrow())
     want = rows_of(connection.sql(sql).to_arrow_table())
     for label, left, right in zip(("columns", "types", "rows"), got, want, strict=True):
         if left == right:
@@ -65,6 +65,7 @@ def main() -> None:
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
@@ -80,7 +81,7 @@ def main() -> None:
         begin = time.time()
         if name in oracles:
             try:
-                difference = compare(spark, connection, name, query, oracles[name], folder)
+                difference = compare(query(spark, folder), connection, oracles[name])
             except Exception as error:
                 difference = f"{type(error).__name__}: {str(error)[:1500]}"
         else:

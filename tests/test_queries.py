@@ -1,0 +1,59 @@
+"""Every registered query against its SQL on a second engine, and the plans that matter at scale."""
+
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+import __spark_entry__ as contract
+import oracle
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+ROW_LOCAL = {
+    "partition_dump", "message_preview", "page_preview", "search_body_lines", "match_context", "page_ids",
+    "body_lines", "json_canonical", "json_children", "decode_dispatch", "decode_passthrough", "string_cut",
+    "log_range_scan", "tail_scan", "message_context", "message_lookup", "dump_until_bad", "open_topic",
+}
+COMBINED = {"search_topic", "partition_json", "json_field_sum"}
+SCANS = {
+    "search_partition": "StringContains(props,87)",
+    "open_topic": "EqualTo(event_type,click)",
+    "partition_json": "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>",
+    "tail_scan": "GreaterThanOrEqual(event_id,",
+}
+
+
+@pytest.fixture(scope="module")
+def connection():
+    return oracle.connect(FOLDER)
+
+
+def test_every_query_has_sql():
+    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(contract.queries()) >= ROW_LOCAL | COMBINED | set(SCANS)
+
+
+@pytest.mark.parametrize("name", contract.queries())
+def test_query(spark, connection, name):
+    """Equal to its SQL, by a plan that would hold on a large log."""
+    result = contract.queries()[name](spark, FOLDER)
+    plan = result._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    assert oracle.compare(result, connection, contract.oracle_sql()[name]) is None
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    if name in ROW_LOCAL:
+        assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    if name in COMBINED:
+        assert "HashAggregate" in plan and "partial_" in plan and "SortAggregate" not in plan
+    assert SCANS.get(name, "") in plan
+
+
+def test_entry(spark):
+    assert contract.entry(spark).count() > 0

@@ -1,6 +1,8 @@
 """Search and inspection of partitioned message logs as Spark DataFrames."""
 
 from logsift.functions.decoders import delimited, json_body, labelled
+from logsift.functions.protobuf import person_body
+from logsift.operators.bodies import body_line_rows, canonical_bodies, field_sum, json_children
 from logsift.operators.catalog import (
     as_cursors,
     list_topics,
@@ -15,7 +17,13 @@ from logsift.operators.cursor import jump, move, move_back, move_forward, remain
 from logsift.operators.decode import decode
 from logsift.operators.dump import dump, write_catalog, write_dump
 from logsift.operators.paging import page_ids, page_messages
-from logsift.operators.publish import append_to_log, assign_offsets, templated_records
+from logsift.operators.publish import (
+    append_to_log,
+    assign_offsets,
+    protobuf_records,
+    sample_records,
+    templated_records,
+)
 from logsift.operators.scan import (
     filtered_head,
     lookup,
@@ -46,12 +54,16 @@ __all__ = [
     "as_cursors",
     "as_log",
     "assign_offsets",
+    "body_line_rows",
+    "canonical_bodies",
     "decode",
     "delimited",
     "dump",
+    "field_sum",
     "filtered_head",
     "first_result",
     "json_body",
+    "json_children",
     "jump",
     "kafka_options",
     "labelled",
@@ -72,14 +84,17 @@ __all__ = [
     "partition_json",
     "partition_offsets",
     "partition_table",
+    "person_body",
     "pin",
     "prepare",
     "preview",
+    "protobuf_records",
     "range_scan",
     "read_kafka",
     "read_log",
     "remaining",
     "replay_first_match",
+    "sample_records",
     "search_body",
     "search_chained",
     "search_partition",

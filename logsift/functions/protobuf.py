@@ -38,6 +38,11 @@ def decode_person(value: Column) -> Column:
     return F.when(row["first"].isNotNull(), row)
 
 
+def person_body(value: Column) -> Column:
+    """Decoder for person messages: JSON text, NULL when undecodable."""
+    return F.to_json(decode_person(value))
+
+
 def encode_person(first: Column, last: Column, age: Column) -> Column:
     """Columns to message bytes."""
     make_class = _class_maker()

@@ -15,12 +15,17 @@ POLICIES = ("fail", "stop", "passthrough")
 
 
 def decoded(decoders: Mapping[str, Decoder]) -> Column:
-    """One expression that decodes each value by its topic; ``*`` names the decoder of the rest."""
+    """One expression that decodes each value by its topic; ``*`` names the decoder of the rest.
+
+    A decoder sees only the values of its own topic: a Python decoder runs on every row of the
+    batch, whatever condition stands around it, so the other values are blanked before it.
+    """
     value = F.col("value")
     text = decoders.get("*", plain)(value)
     for topic, decoder in decoders.items():
         if topic != "*":
-            text = F.when(F.col("topic") == topic, decoder(value)).otherwise(text)
+            mine = F.col("topic") == topic
+            text = F.when(mine, decoder(F.when(mine, value))).otherwise(text)
     return text
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.functions.hashing import key_partition
+from logsift.functions.protobuf import encode_person
 from logsift.plans.sizing import join_small, materialise
 from logsift.sources.log import KEYS
 
@@ -48,8 +49,8 @@ def assign_offsets(
 
     With ``order_by``, which must make the order unique, offsets follow that order: the records are
     range-partitioned by it, so a hot partition spreads over many tasks. Without it they are taken
-    as they arrive and nothing is shuffled. Either way they are written once to the checkpoint
-    folder, sorted inside each task; a second pass counts the run of every partition in every task,
+    as they arrive and nothing is shuffled. Either way they are written once below the
+    checkpoint folder, sorted inside each task; a second pass counts the run of every partition in every task,
     and the offset is the place in the run plus the runs before it. ``base`` is the cursor table of
     the log appended to: offsets go on from its ends.
     """
@@ -89,8 +90,7 @@ def templated_records(source: DataFrame, id_column: str, seed: int = 42) -> Data
 
     Everything follows from the id and the seed by integer arithmetic, so a lost task gives the
     same rows again. ``miscellany`` holds JSON arrays of ``ITEMS_PER_ARRAY`` items each; ``id`` is
-    the order of the records inside their topic. The protobuf topic is made by
-    ``functions.protobuf.encode_person``.
+    the order of the records inside their topic. ``protobuf_records`` makes the binary topic.
     """
     ids = source.select(F.col(id_column).cast("bigint").alias("id"))
     topics = [
@@ -106,20 +106,34 @@ def templated_records(source: DataFrame, id_column: str, seed: int = 42) -> Data
     return keyed.unionByName(_item_arrays(ids, seed))
 
 
-def person_of(ids: DataFrame, seed: int = 42) -> DataFrame:
-    """first, last and age for every id."""
-    return _person(ids.withColumn("_number", F.lit(len(TOPIC_TEMPLATES)).cast("bigint")), "_number", seed)
+def protobuf_records(source: DataFrame, id_column: str, seed: int = 42) -> DataFrame:
+    """The persons of ``miscellany`` as protobuf messages, one per source row, keyed by first name."""
+    persons = _numbered_person(source.select(F.col(id_column).cast("bigint").alias("id")), seed)
+    value = encode_person(F.col("first"), F.col("last"), F.col("age"))
+    return persons.select(F.lit("proto").alias("topic"), "id", F.col("first").alias("key"), value.alias("value"))
 
 
-def _person(rows: DataFrame, number: str, seed: int) -> DataFrame:
+def sample_records(source: DataFrame, id_column: str, seed: int = 42) -> DataFrame:
+    """Small JSON records with a name and an age from 1 to 100, one per source row."""
+    ids = source.select(F.col(id_column).cast("bigint").alias("id"))
+    drawn = _numbered_person(ids, seed, youngest=1, ages=100)
+    return drawn.select("id", F.format_string('{"name": "%s", "age": %d}', "first", "age").alias("value"))
+
+
+def _numbered_person(ids: DataFrame, seed: int, **ages: int) -> DataFrame:
+    number = F.lit(len(TOPIC_TEMPLATES)).cast("bigint")
+    return _person(ids.withColumn("_number", number), "_number", seed, **ages)
+
+
+def _person(rows: DataFrame, number: str, seed: int, youngest: int = YOUNGEST, ages: int = AGES) -> DataFrame:
     # One step of the Park-Miller generator from a state that differs for every id and topic.
     state = F.pmod((F.col("id") * 7 + F.col(number) + seed) * 48271, F.lit(2147483647))
-    first, last, age = state % 100, F.floor(state / 100) % 100, F.floor(state / 10000) % AGES
+    first, last, age = state % 100, F.floor(state / 100) % 100, F.floor(state / 10000) % ages
     return rows.withColumns(
         {
             "first": _name(first, FIRST_PARTS),
             "last": _name(last, LAST_PARTS),
-            "age": (age + YOUNGEST).cast("int"),
+            "age": (age + youngest).cast("int"),
         }
     )
 
@@ -133,7 +147,7 @@ def _name(number: Column, parts: tuple[list[str], list[str]]) -> Column:
 
 def _item_arrays(ids: DataFrame, seed: int) -> DataFrame:
     item = F.format_string('{"first":"%s","last":"%s","name":%d}', "first", "last", "age")
-    items = person_of(ids, seed).select(
+    items = _numbered_person(ids, seed).select(
         F.floor(F.col("id") / ITEMS_PER_ARRAY).alias("id"), F.struct("id", item.alias("text")).alias("item")
     )
     arrays = items.groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("items"))

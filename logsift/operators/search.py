@@ -85,7 +85,7 @@ def search_chained(log: Log, needles: list[str], cursors: DataFrame | None = Non
     """Each search runs on the partitions and from the cursors the one before it left.
 
     ``first_match`` lists the offset found by each needle; the same message may serve several.
-    The values are read once: the addresses of all hits are written to the checkpoint folder and
+    The values are read once: the addresses of all hits are written below the checkpoint folder, and
     every step works on those.
     """
     flags = [has(log, needle).alias(f"_hit{i}") for i, needle in enumerate(needles)]

@@ -275,6 +275,12 @@ union all
 select event_id, 'type', '"' || event_type || '"', 'string' from events
 union all
 select event_id, 'props', replace(props, ': ', ':'), 'object' from events""",
+    "json_leaves": """
+select event_id, '$.user' as path, cast(user_id as varchar) as "value", 'number' as type from events
+union all
+select event_id, '$.type', '"' || event_type || '"', 'string' from events
+union all
+select event_id, '$.props.k', cast(json_extract(props, '$.k') as varchar), 'number' from events""",
     "body_lines": f"""
 with {DOCS},
 line as (
@@ -294,4 +300,10 @@ from log""",
 with {EVENTS}
 select topic, "partition", cast(sum(cast(json_extract("value", '$.k') as bigint)) as bigint) as sum_k
 from log group by topic, "partition" """,
+    "json_field_sum_topic": f"""
+with {EVENTS}, {CURSORS}
+select l.topic, cast(sum(cast(json_extract(l."value", '$.k') as bigint)) as bigint) as sum_k
+from log l join cur c on l.topic = c.topic and l."partition" = c."partition"
+where l."offset" >= greatest(c."end" - 500, c."start")
+group by l.topic""",
 }

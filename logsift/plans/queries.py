@@ -8,16 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.functions.decoders import delimited, json_body, labelled, plain
-from logsift.functions.jsontext import canonical_json, json_kind, json_number, json_value
 from logsift.functions.protobuf import decode_person, encode_person
-from logsift.functions.text import body_lines, has, string_cut
-from logsift.operators import catalog, cursor, dump, paging, publish, scan, search
+from logsift.functions.text import has, string_cut
+from logsift.operators import bodies, catalog, cursor, dump, paging, publish, scan, search
 from logsift.operators.decode import decode
-from logsift.operators.ranges import in_range
 from logsift.plans import views
 from logsift.plans.session import prepare
 from logsift.plans.sizing import pin
-from logsift.sources.log import ADDRESS, KEYS, stream_log
+from logsift.sources.log import ADDRESS, KEYS
 from logsift.streaming.replay import replay_first_match
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,21 +218,22 @@ def decode_passthrough(spark, folder):
 
 def json_canonical(spark, folder):
     log = views.log_json(spark, folder)
-    return log.select(F.col("offset").alias("event_id"), canonical_json("value").alias("json"))
+    return bodies.canonical_bodies(log).select(F.col("offset").alias("event_id"), "json")
 
 
 def json_children(spark, folder):
-    log = views.log_json(spark, folder).select(
-        F.col("offset").alias("event_id"), json_value("value").alias("body")
-    )
-    children = log.lateralJoin(spark.tvf.variant_explode_outer(F.col("body").outer()))
-    child = F.col("value")
-    return children.select("event_id", "key", F.to_json(child).alias("value"), json_kind(child).alias("type"))
+    children = bodies.json_children(views.log_json(spark, folder))
+    return children.select(F.col("offset").alias("event_id"), "key", "value", "type")
+
+
+def json_leaves(spark, folder):
+    """Two levels deep, with the path of every value."""
+    leaves = bodies.json_children(views.log_json(spark, folder), depth=2)
+    return leaves.select(F.col("offset").alias("event_id"), "path", "value", "type")
 
 
 def body_line_rows(spark, folder):
-    log = views.log_docs(spark, folder)
-    return log.select(*ADDRESS, F.posexplode(body_lines("value")).alias("line_no", "line"))
+    return bodies.body_line_rows(views.log_docs(spark, folder))
 
 
 def cut_strings(spark, folder):
@@ -242,9 +241,15 @@ def cut_strings(spark, folder):
 
 
 def json_field_sum(spark, folder):
-    log = in_range(_events(spark, folder), None)
-    total = F.sum(json_number("value", "$.k"))
-    return log.groupBy(*KEYS).agg(F.coalesce(total, F.lit(0.0)).cast("bigint").alias("sum_k"))
+    total = bodies.field_sum(_events(spark, folder), "$.k")
+    return total.select(*KEYS, F.col("total").cast("bigint").alias("sum_k"))
+
+
+def json_field_sum_topic(spark, folder):
+    """The documented pipeline on the tail of every partition, added up per topic."""
+    log = _events(spark, folder)
+    total = bodies.field_sum(log, "$.k", cursor.move(_cursors(log), -500), by=["topic"])
+    return total.select("topic", F.col("total").cast("bigint").alias("sum_k"))
 
 
 REGISTRY: dict[str, Query] = {
@@ -284,9 +289,11 @@ REGISTRY: dict[str, Query] = {
     "decode_passthrough": decode_passthrough,
     "json_canonical": json_canonical,
     "json_children": json_children,
+    "json_leaves": json_leaves,
     "body_lines": body_line_rows,
     "string_cut": cut_strings,
     "json_field_sum": json_field_sum,
+    "json_field_sum_topic": json_field_sum_topic,
 }
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from logsift.plans.session import checkpoint_dir
+from logsift.plans.session import scratch_path
 
 HELD_ROWS = 50_000
 BROADCAST_ROWS = 1_000_000
@@ -32,15 +32,20 @@ def local_frame(like: DataFrame, rows: list[dict]) -> DataFrame:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the reliable checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a table below the checkpoint folder and go on from there.
+
+    It cuts the lineage, survives lost executors, and unlike a checkpoint of rows it is compressed
+    and lets later passes read single columns.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def pin(table: DataFrame, limit: int | None = None) -> DataFrame:
     """Fix a catalog-sized table at this moment, so that later steps do not compute it again.
 
-    Small tables become a local relation; larger ones a checkpoint.
+    Small tables become a local relation; larger ones a written table.
     """
     rows = held_rows(table, limit)
     return materialise(table) if rows is None else local_frame(table, rows)
@@ -50,7 +55,7 @@ def small_side(table: DataFrame) -> tuple[DataFrame, list[dict] | None]:
     """``table`` as the small side of a join, with its rows when they are held on the driver.
 
     Up to ``HELD_ROWS`` rows it is a broadcast local relation, up to ``BROADCAST_ROWS`` a broadcast
-    checkpoint, beyond that a checkpoint that the planner joins by shuffle.
+    written table, beyond that a written table that is joined by shuffle.
     """
     rows = held_rows(table)
     if rows is not None:

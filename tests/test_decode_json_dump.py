@@ -86,6 +86,44 @@ def test_protobuf_round_trip_and_wire_format(spark):
     assert rows(bad.select(decode_person(F.col("value")).isNull())) == [(True,), (True,)]
 
 
+def test_only_the_named_topic_is_decoded_as_protobuf(spark):
+    people = logsift.protobuf_records(spark.range(0, 20), "id")
+    other = people.withColumn("topic", F.lit("other")).withColumn("value", F.lit("text").cast("binary"))
+    log = people.union(other).selectExpr("topic", "0 as partition", "id as offset", "value")
+    got = logsift.decode(log, {"proto": logsift.person_body}, "fail")
+    texts = got.where("topic = 'proto'").select(F.from_json("value", "first string, age int").alias("p"))
+    assert texts.where("p.first is not null and p.age between 5 and 84").count() == 20
+    assert rows(got.where("topic = 'other'").select("value").distinct()) == [("text",)]
+
+
+def test_children_of_nested_bodies(make_log):
+    bodies = ['{"b":{"y":[1,"s"],"x":{}},"a":null}', "[true,[2.5]]", "7", "not json", "{}"]
+    log = make_log([("t", 0, i, body) for i, body in enumerate(bodies)])
+    children = lambda depth: rows(logsift.json_children(log, depth), "offset", "path", "key", "value", "type")
+    nothing = [(2, None, None, None, None), (3, None, None, None, None), (4, None, None, None, None)]
+    assert children(1) == sorted(nothing + [
+        (0, "$.a", "a", "null", "null"), (0, "$.b", "b", '{"x":{},"y":[1,"s"]}', "object"),
+        (1, "$[0]", None, "true", "bool"), (1, "$[1]", None, "[2.5]", "array"),
+    ], key=repr)
+    assert children(3) == sorted(nothing + [
+        (0, "$.a", "a", "null", "null"), (0, "$.b.x", "x", "{}", "object"),
+        (0, "$.b.y[0]", None, "1", "number"), (0, "$.b.y[1]", None, '"s"', "string"),
+        (1, "$[0]", None, "true", "bool"), (1, "$[1][0]", None, "2.5", "number"),
+    ], key=repr)
+
+
+def test_canonical_bodies_keep_what_is_not_json(make_log):
+    log = make_log([("t", 0, 0, '{"b":1,"a":2}'), ("t", 0, 1, "plain")])
+    assert rows(logsift.canonical_bodies(log), "json", "is_json") == [("plain", False), ('{"a":2,"b":1}', True)]
+
+
+def test_field_sum_over_the_range_of_the_cursors(make_log, make_cursors):
+    log = make_log([("t", 0, o, f'{{"age": {o}}}') for o in range(5)] + [("t", 1, 0, "no"), ("t", 1, 1, '{"age": "9"}')])
+    assert rows(logsift.field_sum(log, "$.age"), "partition", "total") == [(0, 10.0), (1, 0.0)]
+    cursors = make_cursors([("t", 0, 0, 4, 2)])
+    assert rows(logsift.field_sum(log, "$.age", cursors, by=["topic"])) == [("t", 5.0)]
+
+
 CANONICAL = {
     '{"b":{"z":1,"y":[2,{"d":4,"c":3}]},"a":null}': '{"a":null,"b":{"y":[2,{"c":3,"d":4}],"z":1}}',
     "{}": "{}",

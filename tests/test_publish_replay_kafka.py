@@ -79,6 +79,14 @@ def test_templated_records(spark):
     assert records.exceptAll(again).count() == 0 and again.exceptAll(records).count() == 0
 
 
+def test_sample_records(spark):
+    ages = logsift.sample_records(spark.range(0, 3000), "id").select(
+        F.from_json("value", "name string, age int").alias("v")
+    )
+    bounds = ages.agg(F.min("v.age"), F.max("v.age"), F.count("v.name")).first()
+    assert tuple(bounds) == (1, 100, 3000)
+
+
 def test_replay_equals_batch_search_over_many_batches(spark, tmp_path):
     log = spark.range(0, 3000).selectExpr(
         "if(id % 3 = 0, 'a', 'b') as topic", "cast(id % 4 as int) as partition", "id as offset",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +102,7 @@ def templated_records(source: DataFrame, id_column: str, seed: int = 42) -> Data
     drawn = _person(ids.select("id", F.inline(F.array(*topics))), "number", seed)
     value = F.lit(None).cast("string")
     for topic, template in TOPIC_TEMPLATES.items():
-        text = F.format_string(template, "first", "last", "age")
+        text = _filled(template, "first", "last", "age")
         value = F.when(F.col("topic") == topic, text).otherwise(value)
     keyed = drawn.select("topic", "id", F.col("last").alias("key"), value.alias("value"))
     return keyed.unionByName(_item_arrays(ids, seed))
@@ -117,7 +119,7 @@ def sample_records(source: DataFrame, id_column: str, seed: int = 42) -> DataFra
     """Small JSON records with a name and an age from 1 to 100, one per source row."""
     ids = source.select(F.col(id_column).cast("bigint").alias("id"))
     drawn = _numbered_person(ids, seed, youngest=1, ages=100)
-    return drawn.select("id", F.format_string('{"name": "%s", "age": %d}', "first", "age").alias("value"))
+    return drawn.select("id", _filled('{"name": "%s", "age": %d}', "first", "age").alias("value"))
 
 
 def _numbered_person(ids: DataFrame, seed: int, **ages: int) -> DataFrame:
@@ -138,6 +140,13 @@ def _person(rows: DataFrame, number: str, seed: int, youngest: int = YOUNGEST, a
     )
 
 
+def _filled(template: str, *columns: str) -> Column:
+    """A template as a concatenation, which generated code handles better than a formatter call."""
+    texts = [F.lit(text) for text in re.split("%[sd]", template)]
+    values = [F.col(c).cast("string") for c in columns]
+    return F.concat(*[piece for pair in zip(texts, values) for piece in pair], texts[-1])
+
+
 def _name(number: Column, parts: tuple[list[str], list[str]]) -> Column:
     begin, end = (F.array(*[F.lit(p) for p in side]) for side in parts)
     return F.concat(
@@ -146,7 +155,7 @@ def _name(number: Column, parts: tuple[list[str], list[str]]) -> Column:
 
 
 def _item_arrays(ids: DataFrame, seed: int) -> DataFrame:
-    item = F.format_string('{"first":"%s","last":"%s","name":%d}', "first", "last", "age")
+    item = _filled('{"first":"%s","last":"%s","name":%d}', "first", "last", "age")
     items = _numbered_person(ids, seed).select(
         F.floor(F.col("id") / ITEMS_PER_ARRAY).alias("id"), F.struct("id", item.alias("text")).alias("item")
     )

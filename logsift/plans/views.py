@@ -33,7 +33,10 @@ def log_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def log_json(spark: SparkSession, folder: str) -> DataFrame:
     """Events as nested JSON objects with unordered keys."""
-    text = F.format_string('{"user": %d, "type": "%s", "props": %s}', "user_id", "event_type", "props")
+    text = F.concat(
+        F.lit('{"user": '), F.col("user_id").cast("string"), F.lit(', "type": "'), "event_type",
+        F.lit('", "props": '), "props", F.lit("}"),
+    )
     return as_log(
         table(spark, folder, "events"),
         topic="event_type", partition=part_of("user_id"), offset="event_id", value=text,
@@ -43,7 +46,8 @@ def log_json(spark: SparkSession, folder: str) -> DataFrame:
 def log_mixed(spark: SparkSession, folder: str) -> DataFrame:
     """A different text format for each of two topics, JSON for the others."""
     delimited = F.concat_ws(",", "user_id", "event_type", "event_id")
-    labelled = F.format_string("user: %d, type: %s, id: %d", "user_id", "event_type", "event_id")
+    user, number = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    labelled = F.concat(F.lit("user: "), user, F.lit(", type: "), "event_type", F.lit(", id: "), number)
     text = (
         F.when(F.col("event_type") == "click", delimited)
         .when(F.col("event_type") == "view", labelled)

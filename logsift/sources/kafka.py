@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from logsift.operators.ranges import in_range
 from logsift.plans.sizing import held_rows
-from logsift.sources.log import KEYS
+from logsift.sources.log import LOG_SCHEMA
 
 LOG_COLUMNS = ["topic", "partition", "offset", "key", "timestamp", "value"]
 
@@ -64,16 +64,17 @@ def offset_options(cursors: list[dict]) -> dict[str, str]:
 
 
 def read_options(
-    cursors: DataFrame | None, topics: list[str] | None, min_partitions: int | None
+    rows: list[dict] | None, topics: list[str] | None = None, min_partitions: int | None = None
 ) -> dict[str, str]:
-    """Source options for a bounded read. ``min_partitions`` splits hot partitions by offset range."""
+    """Source options for a bounded read: the ranges of held cursor rows, else whole topics.
+
+    ``min_partitions`` makes the source split hot partitions by offset range.
+    """
     options = {} if min_partitions is None else {"minPartitions": str(min_partitions)}
-    rows = None if cursors is None else held_rows(cursors.where(F.col("offset") < F.col("end")))
     if rows:
         return options | offset_options(rows)
-    if topics is None:
-        raise ValueError("name the topics, or give cursors with something to read")
-    return options | {"subscribe": ",".join(topics), "startingOffsets": "earliest", "endingOffsets": "latest"}
+    whole = {"subscribe": ",".join(topics)} if topics else {"subscribePattern": ".*"}
+    return options | whole | {"startingOffsets": "earliest", "endingOffsets": "latest"}
 
 
 def read_kafka(
@@ -83,12 +84,17 @@ def read_kafka(
     topics: list[str] | None = None,
     min_partitions: int | None = None,
 ) -> DataFrame:
-    """Bounded scan of a cluster as a log: from the cursors to their ends, or whole topics."""
-    if cursors is not None and topics is None:
-        topics = [row["topic"] for row in cursors.select("topic").distinct().collect()]
-    options = read_options(cursors, topics, min_partitions)
+    """Bounded scan of a cluster as a log: from the cursors to their ends, or whole topics.
+
+    The offsets of cursors go into the source options, so only their ranges are fetched; a cursor
+    table too large for that is joined instead.
+    """
+    rows = None if cursors is None else held_rows(cursors.where(F.col("offset") < F.col("end")))
+    if rows == []:
+        return spark.createDataFrame([], LOG_SCHEMA)
+    options = read_options(rows, topics, min_partitions)
     log = spark.read.format("kafka").options(**connection, **options).load().select(*LOG_COLUMNS)
-    return log if "assign" in options or cursors is None else in_range(log, cursors)
+    return log if cursors is None or rows else in_range(log, cursors)
 
 
 def stream_kafka(

@@ -132,11 +132,21 @@ def test_connection_options(tmp_path):
         logsift.kafka_options([])
 
 
-def test_cursor_options_seek_and_skip_empty_ranges(make_cursors):
-    cursors = make_cursors([("t", 0, 0, 10, 4), ("t", 1, 0, 5, 5), ("u", 2, 1, 3, 1)])
-    options = kafka.read_options(cursors, None, 64)
-    assert json.loads(options["assign"]) == {"t": [0], "u": [2]}
-    assert json.loads(options["startingOffsets"]) == {"t": {"0": 4}, "u": {"2": 1}}
-    assert json.loads(options["endingOffsets"]) == {"t": {"0": 10}, "u": {"2": 3}}
+def test_cursor_options_seek():
+    rows = [
+        {"topic": "t", "partition": 0, "offset": 4, "end": 10},
+        {"topic": "t", "partition": 3, "offset": 0, "end": 1},
+        {"topic": "u", "partition": 2, "offset": 1, "end": 3},
+    ]
+    options = kafka.read_options(rows, min_partitions=64)
+    assert json.loads(options["assign"]) == {"t": [0, 3], "u": [2]}
+    assert json.loads(options["startingOffsets"]) == {"t": {"0": 4, "3": 0}, "u": {"2": 1}}
+    assert json.loads(options["endingOffsets"]) == {"t": {"0": 10, "3": 1}, "u": {"2": 3}}
     assert options["minPartitions"] == "64"
-    assert kafka.read_options(None, ["t", "u"], None)["subscribe"] == "t,u"
+    assert kafka.read_options(None, ["t", "u"])["subscribe"] == "t,u"
+    assert kafka.read_options(None)["subscribePattern"] == ".*"
+
+
+def test_empty_ranges_read_nothing(spark, make_cursors):
+    cursors = make_cursors([("t", 1, 0, 5, 5)])
+    assert logsift.read_kafka(spark, logsift.kafka_options("a:1"), cursors).count() == 0

@@ -45,9 +45,15 @@ from logsift.operators.search import (
 )
 from logsift.plans.session import prepare
 from logsift.plans.sizing import pin
-from logsift.sources.kafka import kafka_options, read_kafka, stream_kafka, write_kafka
+from logsift.sources.kafka import (
+    cursors_from_offsets,
+    kafka_options,
+    read_kafka,
+    stream_kafka,
+    write_kafka,
+)
 from logsift.sources.log import as_log, read_log, stored_offsets, stream_log, write_log
-from logsift.streaming.replay import replay_first_match
+from logsift.streaming.replay import first_matches, replay_first_match
 
 __all__ = [
     "append_to_log",
@@ -56,11 +62,13 @@ __all__ = [
     "assign_offsets",
     "body_line_rows",
     "canonical_bodies",
+    "cursors_from_offsets",
     "decode",
     "delimited",
     "dump",
     "field_sum",
     "filtered_head",
+    "first_matches",
     "first_result",
     "json_body",
     "json_children",

@@ -22,25 +22,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable checkpoint folder of the session.
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the checkpoint folder of the session.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a local-mode session without one gets a
     temporary folder; on a cluster executors could not share that, so it is an error there.
     """
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="logsift-")
-    context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logsift-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"

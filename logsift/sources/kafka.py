@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.operators.ranges import in_range
-from logsift.plans.sizing import held_rows
+from logsift.plans.sizing import held_rows, pin
 from logsift.sources.log import LOG_SCHEMA
 
 LOG_COLUMNS = ["topic", "partition", "offset", "key", "timestamp", "value"]
@@ -63,6 +63,22 @@ def offset_options(cursors: list[dict]) -> dict[str, str]:
     }
 
 
+def cursors_from_offsets(spark: SparkSession, starting: str, ending: str) -> DataFrame:
+    """Cursor table from two offset documents of the source, ``{"topic": {"0": 23}}``.
+
+    That is the form of its options and of the ``startOffset``, ``endOffset`` and ``latestOffset``
+    that a streaming query reports, so the ranges of a cluster are known without reading a message.
+    """
+    first, last = json.loads(starting), json.loads(ending)
+    rows = [
+        (topic, int(partition), first.get(topic, {}).get(partition, 0), end)
+        for topic, partitions in last.items()
+        for partition, end in partitions.items()
+    ]
+    ranges = spark.createDataFrame(rows, "topic STRING, partition INT, start BIGINT, end BIGINT")
+    return pin(ranges.select("*", F.col("start").alias("offset")))
+
+
 def read_options(
     rows: list[dict] | None, topics: list[str] | None = None, min_partitions: int | None = None
 ) -> dict[str, str]:

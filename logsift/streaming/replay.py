@@ -43,5 +43,8 @@ def replay_first_match(
 
 
 def first_matches(stream: DataFrame, needle: str) -> DataFrame:
-    """The same as a running aggregate: state is one number per partition."""
+    """First matches of a live log as a running aggregate, for a query that does not end.
+
+    Its state is one number per partition.
+    """
     return stream.where(has(stream, needle)).groupBy(*KEYS).agg(F.min("offset").alias("offset"))

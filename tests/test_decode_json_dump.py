@@ -56,7 +56,7 @@ def test_ready_decoders(make_log):
     log = make_log(
         [
             ("items", 0, 0, "Al,Hill,7"), ("items", 0, 1, "Al,Hill"), ("items", 0, 2, "Al,Hill,old"),
-            ("items", 0, 3, '"A,l",Hill,7'),
+            ("items", 0, 3, '"A,l",Hill,7'), ("items", 0, 4, "Al,Hill,7,x"),
             ("things", 0, 0, "first_name: Al, last_name: Hill, age: 7"),
             ("things", 0, 1, "first_name: Al, last_name: Hill"),
             ("things", 0, 2, "first_name: Al, last_name: Hill, age: x"),
@@ -70,7 +70,7 @@ def test_ready_decoders(make_log):
     good = '{"first_name":"Al","last_name":"Hill","age":7}'
     assert got == [
         ("items", 0, good, True), ("items", 1, "Al,Hill", False), ("items", 2, "Al,Hill,old", False),
-        ("items", 3, good.replace("Al", "A,l"), True),
+        ("items", 3, good.replace("Al", "A,l"), True), ("items", 4, "Al,Hill,7,x", False),
         ("json", 0, '{"a":2,"b":1}', True), ("raw", 0, "as it is", True),
         ("things", 0, good, True), ("things", 1, "first_name: Al, last_name: Hill", False),
         ("things", 2, "first_name: Al, last_name: Hill, age: x", False),

@@ -147,6 +147,46 @@ def test_cursor_options_seek():
     assert kafka.read_options(None)["subscribePattern"] == ".*"
 
 
+def test_cursors_from_offset_documents(spark):
+    cursors = logsift.cursors_from_offsets(spark, '{"t":{"0":3}}', '{"t":{"0":9,"1":4},"u":{"0":0}}')
+    assert rows(cursors) == [("t", 0, 3, 9, 3), ("t", 1, 0, 4, 0), ("u", 0, 0, 0, 0)]
+
+
+def test_running_first_matches(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.createDataFrame([("t", 0, 5, "hit"), ("t", 0, 2, "hit"), ("t", 1, 1, "no")], LOG).write.parquet(path)
+    found = logsift.first_matches(logsift.stream_log(spark, path, LOG), "hit")
+    query = (
+        found.writeStream.format("memory").queryName("found").outputMode("complete")
+        .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert rows(spark.table("found")) == [("t", 0, 2)]
+
+
+def test_a_cluster_session_needs_a_shared_folder():
+    from logsift.plans.session import scratch_folder
+
+    class Conf:
+        def __init__(self, folder):
+            self.folder = folder
+
+        def get(self, name, default):
+            return self.folder
+
+    class Session:
+        def __init__(self, folder, master):
+            self.conf, self.sparkContext = Conf(folder), self
+            self.master = master
+
+        def getCheckpointDir(self):
+            return None
+
+    assert scratch_folder(Session("hdfs:///shared", "yarn")) == "hdfs:///shared"
+    with pytest.raises(RuntimeError):
+        scratch_folder(Session(None, "yarn"))
+
+
 def test_empty_ranges_read_nothing(spark, make_cursors):
     cursors = make_cursors([("t", 1, 0, 5, 5)])
     assert logsift.read_kafka(spark, logsift.kafka_options("a:1"), cursors).count() == 0

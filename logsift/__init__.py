@@ -2,6 +2,7 @@
 
 from logsift.functions.decoders import delimited, json_body, labelled
 from logsift.functions.protobuf import person_body
+from logsift.functions.text import string_cut
 from logsift.operators.bodies import body_line_rows, canonical_bodies, field_sum, json_children
 from logsift.operators.catalog import (
     as_cursors,
@@ -110,6 +111,7 @@ __all__ = [
     "stored_offsets",
     "stream_kafka",
     "stream_log",
+    "string_cut",
     "templated_records",
     "topic_catalog",
     "with_context",

@@ -44,10 +44,11 @@ def json_kind(value: Column) -> Column:
     )
 
 
-def json_number(column: Column | str, path: str) -> Column:
-    """The number at ``path`` (``$.a`` or ``$.a.b``) as DOUBLE; NULL for anything but a number.
+def json_field(column: Column | str, path: str) -> Column:
+    """The field at ``path`` (``$.a`` or ``$.a.b``) as DOUBLE; NULL unless it is written as a number.
 
-    Only the named field is decoded, the rest of the body is skipped.
+    Only the named field is decoded, the rest of the body is skipped. The texts "NaN" and
+    "Infinity" pass as well; see ``finite``.
     """
     names = path.removeprefix("$.").split(".")
     if not path.startswith("$.") or not all(names):
@@ -55,7 +56,16 @@ def json_number(column: Column | str, path: str) -> Column:
     schema: T.DataType = T.DoubleType()
     for name in reversed(names):
         schema = T.StructType([T.StructField(name, schema)])
-    number = F.from_json(as_text(column), schema)
+    field = F.from_json(as_text(column), schema)
     for name in names:
-        number = number.getField(name)
+        field = field.getField(name)
+    return field
+
+
+def finite(number: Column | str) -> Column:
+    """The number, NULL for NaN and the infinities.
+
+    It looks at its input more than once, so give it a selected column, not a parsing expression.
+    """
+    number = F.col(number) if isinstance(number, str) else number
     return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)

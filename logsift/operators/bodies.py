@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.functions.jsontext import canonical_json, json_kind, json_number, json_value
+from logsift.functions.jsontext import canonical_json, finite, json_field, json_kind, json_value
 from logsift.functions.text import as_text, body_lines
 from logsift.operators.ranges import in_range
 from logsift.sources.log import ADDRESS, KEYS, Log
@@ -61,6 +61,6 @@ def field_sum(log: Log, path: str, cursors: DataFrame | None = None, by: list[st
 
     ``by=["topic"]`` gives the sum per topic. Anything but a number counts as nothing.
     """
-    numbers = in_range(log, cursors).select(*KEYS, json_number("value", path).alias("_number"))
-    total = F.coalesce(F.sum("_number"), F.lit(0.0))
+    numbers = in_range(log, cursors).select(*KEYS, json_field("value", path).alias("_number"))
+    total = F.coalesce(F.sum(finite("_number")), F.lit(0.0))
     return numbers.groupBy(*(by or KEYS)).agg(total.alias("total"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from logsift.plans.sizing import small_side
 from logsift.sources.log import ADDRESS, KEYS, Log
 
 LISTED_NAMES = 500
+LISTED_RANGES = 16
 
 
 def in_range(log: Log, cursors: DataFrame | None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -16,8 +19,8 @@ def in_range(log: Log, cursors: DataFrame | None, keep: tuple[str, ...] = ()) ->
 
     Without cursors the whole log is meant: a batch read is its own snapshot. ``keep`` names cursor
     columns to carry along. The cursors are counted before they are broadcast; when they are few,
-    their topics, partitions and outermost offsets also go to the scan as constants, where they
-    prune folders and row groups.
+    their topics, partitions and the union of their ranges also go to the scan as constants, where
+    they prune folders and row groups.
     """
     if cursors is None:
         if callable(log):
@@ -29,7 +32,7 @@ def in_range(log: Log, cursors: DataFrame | None, keep: tuple[str, ...] = ()) ->
     spans = spans.where("_cursor < _end")
     spans, rows = small_side(spans)
     if rows is not None:
-        log = log.where(_outer_bounds(rows))
+        log = log.where(_names(rows) & _within([(row["_cursor"], row["_end"]) for row in rows]))
     inside = (F.col("offset") >= F.col("_cursor")) & (F.col("offset") < F.col("_end"))
     return log.join(spans, KEYS).where(inside).select(*log.columns, *keep)
 
@@ -43,20 +46,36 @@ def at_addresses(log: Log, requests: DataFrame) -> DataFrame:
     wanted, rows = small_side(wanted)
     if rows is None:
         return log.join(wanted, ADDRESS).select(*log.columns)
-    if not rows:
-        return log.where(F.lit(False))
     offsets = {row["offset"] for row in rows}
-    bounds = _names(rows) & F.col("offset").between(min(offsets), max(offsets))
+    bounds = _names(rows) & _within([(offset, offset + 1) for offset in offsets])
     if len(offsets) <= LISTED_NAMES:
         bounds = bounds & F.col("offset").isin(sorted(offsets))
     return log.where(bounds).join(wanted, ADDRESS).select(*log.columns)
 
 
-def _outer_bounds(rows: list[dict]) -> Column:
-    if not rows:
-        return F.lit(False)
-    first, end = min(row["_cursor"] for row in rows), max(row["_end"] for row in rows)
-    return _names(rows) & (F.col("offset") >= first) & (F.col("offset") < end)
+def merged(ranges: list[tuple[int, int]], most: int = LISTED_RANGES) -> list[tuple[int, int]]:
+    """Union of half-open ranges as at most ``most`` ranges; the smallest gaps are closed first."""
+    joined: list[tuple[int, int]] = []
+    for first, end in sorted(ranges):
+        if joined and first <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(joined[-1][1], end))
+        else:
+            joined.append((first, end))
+    gaps = [joined[i + 1][0] - joined[i][1] for i in range(len(joined) - 1)]
+    kept = set(sorted(range(len(gaps)), key=lambda i: -gaps[i])[: most - 1])
+    result: list[tuple[int, int]] = []
+    for i, (first, end) in enumerate(joined):
+        if i and i - 1 not in kept:
+            result[-1] = (result[-1][0], end)
+        else:
+            result.append((first, end))
+    return result
+
+
+def _within(ranges: list[tuple[int, int]]) -> Column:
+    offset = F.col("offset")
+    inside = [(offset >= first) & (offset < end) for first, end in merged(ranges)]
+    return reduce(lambda a, b: a | b, inside, F.lit(False))
 
 
 def _names(rows: list[dict]) -> Column:

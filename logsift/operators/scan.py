@@ -73,7 +73,7 @@ def filtered_head(
                 *KEYS, "start", F.col("stop").alias("end"), F.col("first").alias("offset")
             )
     head = first_n(in_range(log, cursors).where(predicate), n)
-    return head if decoders is None else decode(head, decoders, "fail").drop("is_decoded")
+    return head if decoders is None else decode(head, decoders, "fail")
 
 
 def preview(log: DataFrame, width: int, unit: str = "byte") -> DataFrame:

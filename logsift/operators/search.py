@@ -66,6 +66,7 @@ def search_topic(
             .where(F.col("offset").isNotNull())
             .orderBy(*KEYS)
         )
+    cursors = pin(cursors)
     first = in_range(log, cursors).where(found).groupBy(*KEYS).agg(F.min("offset").alias("_first"))
     return _narrow(cursors, first).orderBy(*KEYS)
 

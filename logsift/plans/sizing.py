@@ -9,12 +9,13 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from logsift.plans.session import scratch_path
 
 HELD_ROWS = 50_000
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 256 << 20
 
 
 def held_rows(table: DataFrame, limit: int | None = None) -> list[dict] | None:
@@ -54,14 +55,22 @@ def pin(table: DataFrame, limit: int | None = None) -> DataFrame:
 def small_side(table: DataFrame) -> tuple[DataFrame, list[dict] | None]:
     """``table`` as the small side of a join, with its rows when they are held on the driver.
 
-    Up to ``HELD_ROWS`` rows it is a broadcast local relation, up to ``BROADCAST_ROWS`` a broadcast
+    Up to ``HELD_ROWS`` rows it is a broadcast local relation, up to ``BROADCAST_BYTES`` a broadcast
     written table, beyond that a written table that is joined by shuffle.
     """
     rows = held_rows(table)
     if rows is not None:
         return F.broadcast(local_frame(table, rows)), rows
     table = materialise(table)
-    return (F.broadcast(table) if table.count() <= BROADCAST_ROWS else table), None
+    return (F.broadcast(table) if measured_bytes(table) <= BROADCAST_BYTES else table), None
+
+
+def measured_bytes(table: DataFrame) -> int:
+    """Size in memory: 16 bytes a value, and the texts."""
+    texts = [F.octet_length(f.name) for f in table.schema if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    text = F.sum(sum(texts, F.lit(0))) if texts else F.lit(0)
+    n, length = table.agg(F.count("*"), F.coalesce(text, F.lit(0))).first()
+    return n * 16 * len(table.columns) + length
 
 
 def join_small(big: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

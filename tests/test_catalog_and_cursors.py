@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import logsift
+from logsift.operators.ranges import merged
 from logsift.plans import sizing
 
 
@@ -107,10 +108,10 @@ def test_pin_holds_small_tables_and_writes_large_ones(cursors):
     assert rows(logsift.pin(cursors, limit=2)) == rows(cursors) == rows(logsift.pin(cursors))
 
 
-@pytest.mark.parametrize("held, broadcast, expected", [(9, 9, "Broadcast"), (1, 9, "Broadcast"), (1, 1, "SortMerge")])
+@pytest.mark.parametrize("held, broadcast, expected", [(9, 0, "Broadcast"), (1, 999, "Broadcast"), (1, 9, "SortMerge")])
 def test_every_join_strategy_gives_the_same_rows(monkeypatch, spark, make_log, make_cursors, held, broadcast, expected):
     monkeypatch.setattr(sizing, "HELD_ROWS", held)
-    monkeypatch.setattr(sizing, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(sizing, "BROADCAST_BYTES", broadcast)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         log = make_log([("t", p, o, "v") for p in range(3) for o in range(10)])
@@ -124,6 +125,40 @@ def test_every_join_strategy_gives_the_same_rows(monkeypatch, spark, make_log, m
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@given(
+    ranges=st.lists(st.tuples(st.integers(0, 300), st.integers(1, 20)), min_size=1, max_size=30),
+    most=st.integers(1, 5),
+)
+def test_merged_ranges_cover_all_and_stay_few(ranges, most):
+    spans = [(first, first + size) for first, size in ranges]
+    result = merged(spans, most)
+    covered = {o for first, end in result for o in range(first, end)}
+    wanted = {o for first, end in spans for o in range(first, end)}
+    assert wanted <= covered and len(result) <= most
+    assert all(a[1] < b[0] for a, b in zip(result, result[1:]))
+    assert {o for first, end in merged(spans, 100) for o in range(first, end)} == wanted
+
+
+def test_distant_ranges_reach_the_scan_apart(spark, make_log, tmp_path):
+    log = make_log([("t", p, p * 10**9 + o, "v") for p in range(3) for o in range(20)])
+    path = str(tmp_path / "log")
+    logsift.write_log(log, path)
+    stored = logsift.read_log(spark, path, "topic string, partition int, offset bigint, value string")
+    tail = logsift.range_scan(stored, logsift.move(logsift.pin(logsift.partition_offsets(log)), -5))
+    explained = tail._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    pushed = next(line for line in explained.splitlines() if line.startswith("PushedFilters"))
+    assert all(f"GreaterThanOrEqual(offset,{p * 10**9 + 15})" in pushed for p in range(3))
+    assert tail.count() == 15
+
+
+def test_measured_bytes(cursors):
+    assert sizing.measured_bytes(cursors) == 4 * (5 * 16 + 1)
+    assert sizing.measured_bytes(cursors.where("false")) == 0
+    assert sizing.measured_bytes(cursors.select("offset")) == 64
+
+
 def test_stored_log_offsets_come_from_the_footers(spark, make_log, tmp_path):
     log = make_log([("a", 0, o, "v") for o in range(50)] + [("b", 2, 7, "w")])
     path = str(tmp_path / "log")

@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 import logsift
-from logsift.functions.jsontext import canonical_json, json_kind, json_number, json_value
+from logsift.functions.jsontext import canonical_json, finite, json_field, json_kind, json_value
 from logsift.functions.protobuf import decode_person, encode_person
 from logsift.functions.text import body_lines
 
@@ -160,12 +160,12 @@ def test_json_kinds(spark):
     assert kinds == ["string", "number", "number", "number", "bool", "null", "object", "array", None]
 
 
-def test_json_number_takes_numbers_only(spark):
-    texts = ['{"a":{"b":2}}', '{"a":{"b":"2"}}', '{"a":{"b":true}}', '{"a":3}', "no", '{"a":{"b":null}}', '{"a":{"b":1e2}}']
+def test_json_field_takes_numbers_only(spark):
+    texts = ['{"a":{"b":2}}', '{"a":{"b":"2"}}', '{"a":{"b":true}}', '{"a":3}', "no", '{"a":{"b":null}}', '{"a":{"b":1e2}}', '{"a":{"b":"NaN"}}']
     df = spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1)
-    assert [r[0] for r in df.select(json_number("value", "$.a.b")).collect()] == [2.0, None, None, None, None, None, 100.0]
+    assert [r[0] for r in df.select(json_field("value", "$.a.b").alias("n")).select(finite("n")).collect()] == [2.0, None, None, None, None, None, 100.0, None]
     with pytest.raises(ValueError):
-        json_number("value", "a.b")
+        json_field("value", "a.b")
 
 
 def brute_lines(text):

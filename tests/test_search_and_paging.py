@@ -112,6 +112,13 @@ def test_chained_search_means_then_in_the_same_partition(log):
     assert rows(logsift.search_chained(log, ["needle", "needle", "z"])) == [("t", 0, [0, 0, 12])]
 
 
+def test_the_result_of_a_search_is_a_cursor_table(log):
+    found = logsift.search_topic(log, "or", logsift.search_topic(log, "needle"))
+    assert rows(found) == [("t", 0, 0, 13, 12), ("t", 1, 100, 105, 104)]
+    assert rows(logsift.remaining(log, found), "partition", "n_records") == [(0, 1), (1, 1)]
+    assert rows(logsift.range_scan(log, found), "value") == [("or",), ("z or needle",)]
+
+
 def test_decoded_value_can_be_searched(make_log):
     from logsift.operators.decode import decoded
 

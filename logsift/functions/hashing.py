@@ -39,11 +39,13 @@ def key_partition(key: Column, n: Column | int, method: str = "spark") -> Column
     """Partition of a key among ``n``: equal keys always meet.
 
     ``spark`` is the engine's own hash and stays inside generated code; ``fnv1a`` is the placement
-    of common message producers, for records that have to join keys written by one.
+    of common message producers, for records that have to join keys written by one. Records
+    without a key share one partition.
     """
     count = F.lit(n) if isinstance(n, int) else n
+    own = F.pmod(F.hash(key), count).cast("int")
     if method == "spark":
-        return F.pmod(F.hash(key), count).cast("int")
+        return own
     if method != "fnv1a":
         raise ValueError(f"method must be 'spark' or 'fnv1a', not {method!r}")
-    return F.abs(fnv1a32(key).cast("bigint") % count).cast("int")
+    return F.coalesce(F.abs(fnv1a32(key).cast("bigint") % count).cast("int"), own)

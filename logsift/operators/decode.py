@@ -42,11 +42,9 @@ def decode(log: DataFrame, decoders: Mapping[str, Decoder], policy: str = "passt
     raw = F.col("value")
     text = F.col("_text")
     rows = log.withColumn("_text", decoded(decoders))
-    if policy == "passthrough":
-        return rows.select(
-            *others, F.coalesce(text, plain(raw)).alias("value"), text.isNotNull().alias("is_decoded")
-        )
     bad = raw.isNotNull() & text.isNull()
+    if policy == "passthrough":
+        return rows.select(*others, F.coalesce(text, plain(raw)).alias("value"), (~bad).alias("is_decoded"))
     if policy == "fail":
         where = F.format_string("cannot decode topic: %s partition: %d offset: %d", *KEYS, "offset")
         failed = F.when(bad, F.raise_error(where).cast("string")).otherwise(text)

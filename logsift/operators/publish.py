@@ -51,8 +51,8 @@ def assign_offsets(
 
     With ``order_by``, which must make the order unique, offsets follow that order: the records are
     range-partitioned by it, so a hot partition spreads over many tasks. Without it they are taken
-    as they arrive and nothing is shuffled. Either way they are written once below the
-    checkpoint folder, sorted inside each task; a second pass counts the run of every partition in every task,
+    as they arrive and nothing is shuffled. Either way they are written once below the checkpoint
+    folder, sorted inside each task; a second pass counts the run of every partition in every task,
     and the offset is the place in the run plus the runs before it. ``base`` is the cursor table of
     the log appended to: offsets go on from its ends.
     """
@@ -112,7 +112,8 @@ def protobuf_records(source: DataFrame, id_column: str, seed: int = 42) -> DataF
     """The persons of ``miscellany`` as protobuf messages, one per source row, keyed by first name."""
     persons = _numbered_person(source.select(F.col(id_column).cast("bigint").alias("id")), seed)
     value = encode_person(F.col("first"), F.col("last"), F.col("age"))
-    return persons.select(F.lit("proto").alias("topic"), "id", F.col("first").alias("key"), value.alias("value"))
+    topic, key = F.lit("proto").alias("topic"), F.col("first").alias("key")
+    return persons.select(topic, "id", key, value.alias("value"))
 
 
 def sample_records(source: DataFrame, id_column: str, seed: int = 42) -> DataFrame:

@@ -46,7 +46,8 @@ HITS = """
 hit as (
   select topic, "partition", min("offset") as "offset"
   from log where contains("value", '87') group by topic, "partition")"""
-CANONICAL = """'{"props":' || replace(props, ': ', ':') || ',"type":"' || event_type || '","user":' || user_id || '}'"""
+CANONICAL = """
+  '{"props":' || replace(props, ': ', ':') || ',"type":"' || event_type || '","user":' || user_id || '}'"""
 
 
 def _moved(offset: str) -> str:

@@ -67,7 +67,8 @@ def small_side(table: DataFrame) -> tuple[DataFrame, list[dict] | None]:
 
 def measured_bytes(table: DataFrame) -> int:
     """Size in memory: 16 bytes a value, and the texts."""
-    texts = [F.octet_length(f.name) for f in table.schema if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    kinds = (T.StringType, T.BinaryType)
+    texts = [F.octet_length(f.name) for f in table.schema if isinstance(f.dataType, kinds)]
     text = F.sum(sum(texts, F.lit(0))) if texts else F.lit(0)
     n, length = table.agg(F.count("*"), F.coalesce(text, F.lit(0))).first()
     return n * 16 * len(table.columns) + length

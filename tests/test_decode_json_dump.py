@@ -49,6 +49,7 @@ def test_a_missing_value_is_not_a_decoding_error(make_log):
     log = make_log([("t", 0, 0, None), ("t", 0, 1, "2")])
     assert rows(logsift.decode(log, {"t": only_digits}, "fail"), "value") == [("n2",), (None,)]
     assert logsift.decode(log, {"t": only_digits}, "stop").count() == 2
+    assert logsift.decode(log, {"t": only_digits}).where("is_decoded").count() == 2
 
 
 def test_ready_decoders(make_log):

@@ -63,6 +63,14 @@ def test_key_hash_against_brute_force(spark):
     assert all(0 <= r[0] < 7 for r in df.select(key_partition(F.col("key"), 7)).collect())
 
 
+@pytest.mark.parametrize("method", ["spark", "fnv1a"])
+def test_records_without_a_key_are_kept(spark, method):
+    records = spark.range(0, 50).selectExpr("'t' as topic", "if(id < 40, null, cast(id as string)) as key", "id")
+    log = logsift.append_to_log(records, 5, ["id"], method=method)
+    assert log.count() == 50
+    assert log.where("key is null").select("partition").distinct().count() == 1
+
+
 def test_templated_records(spark):
     source = spark.range(0, 1000)
     records = publish.templated_records(source, "id").cache()

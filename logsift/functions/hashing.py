@@ -30,7 +30,8 @@ def fnv1a32(key: Column) -> Column:
             inside = sizes > place
             octets = np.array([key[place] for key in raw if len(key) > place], dtype=np.uint32)
             state[inside] = (state[inside] ^ octets) * np.uint32(prime)
-        return pd.Series(state.view(np.int32)[codes]).where(codes >= 0).astype("Int32")
+        found = np.append(state.view(np.int32), 0)  # the last place stands for a missing key
+        return pd.Series(found[codes]).where(codes >= 0).astype("Int32")
 
     return hashed(key.cast("string").cast("binary"))
 

@@ -44,14 +44,14 @@ def person_body(value: Column) -> Column:
 
 
 def encode_person(first: Column, last: Column, age: Column) -> Column:
-    """Columns to message bytes."""
+    """Columns to message bytes; a missing value is the field's default."""
     make_class = _class_maker()
 
     @F.pandas_udf("binary")
     def serialise(firsts: pd.Series, lasts: pd.Series, ages: pd.Series) -> pd.Series:
         person = make_class()
-        rows = zip(firsts, lasts, ages, strict=True)
-        return pd.Series([person(first=f, last=s, age=int(a)).SerializeToString() for f, s, a in rows])
+        rows = zip(firsts, lasts, ages.fillna(0).astype("int64"), strict=True)
+        return pd.Series([person(first=f, last=s, age=a).SerializeToString() for f, s, a in rows])
 
     return serialise(first, last, age)
 

@@ -83,6 +83,9 @@ def test_protobuf_round_trip_and_wire_format(spark):
     coded = people.select("*", encode_person(F.col("f"), F.col("l"), F.col("a")).alias("value"))
     assert bytes(coded.first()["value"]) == b"\n\x02Al\x12\x04Hill\x18\x07"
     assert rows(coded.select(decode_person(F.col("value")).alias("p")).select("p.*")) == rows(people)
+    gap = spark.createDataFrame([(None, None, None)], people.schema)
+    coded = gap.select(encode_person(F.col("f"), F.col("l"), F.col("a")).alias("value"))
+    assert rows(coded.select(decode_person(F.col("value")).alias("p")).select("p.*")) == [("", "", 0)]
     bad = spark.createDataFrame([(b"\x0a\x7f",), (None,)], "value binary")
     assert rows(bad.select(decode_person(F.col("value")).isNull())) == [(True,), (True,)]
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,9 +71,8 @@ def merged(ranges: list[tuple[int, int]], most: int = LISTED_RANGES) -> list[tup
 
 
 def _within(ranges: list[tuple[int, int]]) -> Column:
-    offset = F.col("offset")
-    inside = [(offset >= first) & (offset < end) for first, end in merged(ranges)]
-    return reduce(lambda a, b: a | b, inside, F.lit(False))
+    inside = [f"(offset >= {first} and offset < {end})" for first, end in merged(ranges)]
+    return F.expr(" or ".join(inside) or "false")
 
 
 def _names(rows: list[dict]) -> Column:

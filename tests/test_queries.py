@@ -11,6 +11,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as contract
 import oracle
+from logsift.plans import oracles
+from logsift.plans import queries as registry
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -35,11 +37,12 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
-    assert set(contract.queries()) >= ROW_LOCAL | COMBINED | set(SCANS)
+    assert set(registry.registered()) == set(oracles.SQL)
+    assert set(contract.queries()) >= set(registry.registered())
+    assert set(registry.registered()) >= ROW_LOCAL | COMBINED | set(SCANS)
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", registry.registered())
 def test_query(spark, connection, name):
     """Equal to its SQL, by a plan that would hold on a large log."""
     result = contract.queries()[name](spark, FOLDER)

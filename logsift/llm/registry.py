@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logsift.llm import bpe, packing
+from logsift.llm import bpe, chat, packing, warc
 from logsift.llm.common import read_columns
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,6 +28,61 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_bpe": op3_bpe}
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read_columns(spark, folder, "pages", "page_id url html")
+    return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
-SQL: dict[str, str] = {}
+
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of ``conversations`` is one event; rows that tie in turn stay messages of their own."""
+    added = spark.createDataFrame(
+        [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))],
+        "conv_id long, turn long, role string, text string",
+    )
+    rows = read_columns(spark, folder, "conversations", "conv_id turn role text").unionByName(added)
+    tie = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    events = rows.select(
+        "conv_id", F.struct("turn", tie.alias("tie")).alias("message"), F.lit(0).alias("seq"),
+        F.lit("delta").alias("kind"), "role", "text",
+    )
+    return chat.digests(chat.render(chat.reconstruct(events)))
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_bpe": op3_bpe, "op9_warc": op9_warc, "op10_chat": op10_chat}
+
+SQL: dict[str, str] = {
+    "op9_warc": """
+with rows as (
+  select page_id, encode(coalesce(html, '')) as payload from pages
+), sums as (
+  select page_id, octet_length(payload) as payload_bytes,
+    cast(unhex(sha1(payload)) as bit)::varchar as bits, max(page_id) over (partition by payload) as response
+  from rows
+)
+select page_id, cast(payload_bytes as bigint) as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    cast(1 + 16 * substr(bits, 5 * i + 1, 1)::int + 8 * substr(bits, 5 * i + 2, 1)::int
+    + 4 * substr(bits, 5 * i + 3, 1)::int + 2 * substr(bits, 5 * i + 4, 1)::int + substr(bits, 5 * i + 5, 1)::int as int), 1)), '')
+    as payload_digest,
+  case when page_id = response then 'response' else 'revisit' end as record_type,
+  case when page_id = response then null else response end as refers_to
+from sums
+""",
+    "op10_chat": r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized as (
+  select *, length('<|' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), '|>', '|\>') || '|>'
+    || replace(replace(replace(text, '\', '\\'), '<|', '<\|'), '|>', '|\>') || '<|end|>') as n
+  from rows
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(n) as bigint) as formatted_chars
+from sized group by conv_id
+""",
+}

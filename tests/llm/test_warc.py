@@ -1,0 +1,77 @@
+import base64
+import hashlib
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+import oracle
+import pytest
+
+from logsift.llm import warc
+from logsift.llm.registry import SQL, op9_warc
+
+ROWS = [(i, f"http://x/{i}", f"<p>{i % 37}é\r\n\r\nWARC/1.1</p>" * (i % 11)) for i in range(200)]
+ROWS += [(500, None, None), (501, "a b\nc", ""), (3, "http://x/3", "twice"), (3, "http://x/3", "twice"), (None, "n", "none"), (None, "m", "none"), (None, "m", "alone"), (-5, "big", "z" * 3_000_000)]
+
+
+def sha1(text):
+    return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
+
+
+def files_of(folder):
+    return {p.name: p.read_bytes() for p in Path(folder).glob("*.warc.gz")}
+
+
+def test_archive(spark, tmp_path):
+    df = spark.createDataFrame([(*r, "x", 1) for r in ROWS], "page_id long, url string, html string, same string, shard int")
+    folder = f"file://{tmp_path}/a"
+    files = warc.write(df, folder, shard_bytes=20_000, roll_bytes=300)
+    rows = warc.read(files, folder).collect()
+    assert len(rows) == len(ROWS) and files.count() > 10
+    by = {}
+    for page, _, html in ROWS:
+        by.setdefault(html or "", []).append(page)
+    responses = [r for r in rows if r.record_type == "response"]
+    assert len(responses) == len(by)
+    for r in rows:
+        if r.record_type == "response":
+            pages = by[r.payload.decode()]
+            assert r.page_id == max((p for p in pages if p is not None), default=None) and r.refers_to is None
+    texts = {sha1(t): t for t in by}
+    for r in rows:
+        assert r.payload_bytes == len(texts[r.payload_digest].encode())
+        if r.record_type == "revisit":
+            assert r.refers_to == max((p for p in by[texts[r.payload_digest]] if p is not None), default=None)
+    assert sorted(map(repr, ((r.page_id, r.payload_digest) for r in rows))) == sorted(map(repr, ((p, sha1(t)) for p, _, t in ROWS)))
+
+    again = f"file://{tmp_path}/b"
+    warc.write(df.repartition(7), again, shard_bytes=20_000, roll_bytes=300)
+    assert files_of(tmp_path / "a") == files_of(tmp_path / "b")
+    assert not list((tmp_path / "a" / "_temporary").iterdir())
+
+
+def test_size_bound_of_revisits(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "long text"), (4, "u", "long text")], "page_id long, url string, html string")
+    folder = str(tmp_path / "w")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read(warc.write(df, folder, revisit_bytes=5), folder).collect()}
+    assert got == {1: ("response", None), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None)}
+
+
+def test_damage_is_found(spark, tmp_path):
+    good = warc.record(1, "u", b"payload", 7, warc.digest(b"payload"), None, "response")
+    assert warc.parse(good)[1] == b"payload"
+    with pytest.raises(ValueError):
+        warc.parse(good.replace(b"payload", b"payloaD"))
+    with pytest.raises(ValueError):
+        warc.parse(good[:-1])
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.archive(df).count() == 0
+
+
+def test_query(spark):
+    folder = "/root/testdata/sf0.001"
+    assert oracle.compare(op9_warc(spark, folder), oracle.connect(folder), SQL["op9_warc"]) is None

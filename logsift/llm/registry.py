@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logsift.llm import bpe, chat, packing, warc
+from logsift.llm import bpe, chat, packing, secrets, warc
 from logsift.llm.common import read_columns
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,6 +28,10 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digests(secrets.scan(read_columns(spark, folder, "documents", "doc_id text")))
+
+
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = read_columns(spark, folder, "pages", "page_id url html")
     return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -48,7 +52,7 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.render(chat.reconstruct(events)))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_bpe": op3_bpe, "op9_warc": op9_warc, "op10_chat": op10_chat}
+QUERIES = {"op1_packing": op1_packing, "op3_bpe": op3_bpe, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_chat": op10_chat}
 
 SQL: dict[str, str] = {
     "op9_warc": """

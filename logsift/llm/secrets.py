@@ -44,7 +44,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so the least size can st
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 WORDS = ("passw", "secret", "token", "api")
 
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 ESCAPES = re.compile(
     r"(?P<url>(?:%[0-9A-Fa-f]{2})+)|\\u\{(?P<brace>[0-9A-Fa-f]{1,6})\}|(?P<pair>(?:\\u[0-9A-Fa-f]{4})+)"
     r"|\\x(?P<x>[0-9A-Fa-f]{2})|\\U(?P<long>[0-9A-Fa-f]{8})|&#[xX](?P<ref>[0-9A-Fa-f]{1,6});|&#(?P<num>[0-9]{1,7});"
@@ -151,7 +151,7 @@ def unwrap(layer: Layer, room: int) -> Iterator[Layer | tuple[str, int, int]]:
     if inner := unescape(layer):
         yield inner
     for m in BASE64.finditer(layer.text):
-        run = m[0].replace("-", "+").replace("_", "/")
+        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         run = run[: len(run) - (len(run) % 4 == 1)]
         try:
             data = base64.b64decode(run + "=" * (-len(run) % 4))

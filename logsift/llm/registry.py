@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logsift.llm import bpe, chat, packing, secrets, warc
+from logsift.llm import bpe, chat, packing, secrets, topk, warc
 from logsift.llm.common import read_columns
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,6 +28,11 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read_columns(spark, folder, "embeddings", "vec_id embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digests(secrets.scan(read_columns(spark, folder, "documents", "doc_id text")))
 
@@ -52,9 +57,22 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.render(chat.reconstruct(events)))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_bpe": op3_bpe, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_chat": op10_chat}
+QUERIES = {"op1_packing": op1_packing, "op3_bpe": op3_bpe, "op5_topk": op5_topk, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_chat": op10_chat}
 
 SQL: dict[str, str] = {
+    "op5_topk": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as w
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id,
+    cast(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+from s qualify rank <= 5
+""",
     "op9_warc": """
 with rows as (
   select page_id, encode(coalesce(html, '')) as payload from pages

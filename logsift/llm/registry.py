@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logsift.llm import bpe, chat, packing, secrets, topk, warc
+from logsift.llm import bpe, chat, packing, quality, secrets, topk, warc
 from logsift.llm.common import read_columns
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,6 +17,11 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path(VOCABULARY)))
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_columns(spark, folder, "documents", "doc_id text")
+    return quality.classify(docs, read_columns(spark, folder, "labels", "doc_id quality"))
+
+
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     docs = read_columns(spark, folder, "documents", "doc_id text")
@@ -57,7 +62,7 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.render(chat.reconstruct(events)))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_bpe": op3_bpe, "op5_topk": op5_topk, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_chat": op10_chat}
+QUERIES = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_bpe": op3_bpe, "op5_topk": op5_topk, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_chat": op10_chat}
 
 SQL: dict[str, str] = {
     "op5_topk": """

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logsift.llm import bpe, chat, packing, quality, secrets, topk, warc
+from logsift.llm import bpe, chat, jaccard, packing, quality, secrets, topk, warc
 from logsift.llm.common import read_columns
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,6 +38,10 @@ def op5_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
+def op7_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(read_columns(spark, folder, "documents", "doc_id text"))
+
+
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digests(secrets.scan(read_columns(spark, folder, "documents", "doc_id text")))
 
@@ -62,9 +66,41 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.render(chat.reconstruct(events)))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_bpe": op3_bpe, "op5_topk": op5_topk, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_chat": op10_chat}
+QUERIES = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_bpe": op3_bpe, "op5_topk": op5_topk, "op7_jaccard": op7_jaccard, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_chat": op10_chat}
 
 SQL: dict[str, str] = {
+    "op7_jaccard": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then []
+    when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) end as s
+  from words
+), classes as materialized (
+  select min(doc_id) as rep, s, len(s) as n from sets where len(s) > 0 group by s
+), shingles as (
+  select rep, n, unnest(s) as shingle from classes
+), links as materialized (
+  select a.rep as x, b.rep as y
+  from shingles a join shingles b on a.shingle = b.shingle and a.rep < b.rep
+  where 7 * least(a.n, b.n) >= 3 * (a.n + b.n)
+  group by a.rep, b.rep, a.n, b.n
+  having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), edges as (
+  select x, y from links union all select y, x from links
+), reach as (
+  select rep as x, rep as y from classes
+  union
+  select r.x, e.y from reach r join edges e on r.y = e.x
+), least as (
+  select x, min(y) as component from reach group by x
+)
+select d.doc_id, cast(len(d.s) as bigint) as n_shingles, coalesce(l.component, d.doc_id) as component_id
+from sets d left join classes c on d.s = c.s left join least l on l.x = c.rep
+""",
     "op5_topk": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as w

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logsift.llm import bpe, chat, jaccard, packing, quality, secrets, topk, warc
+from logsift.llm import bpe, chat, jaccard, packing, quality, secrets, suffix_dedup, topk, warc
 from logsift.llm.common import read_columns
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,6 +38,11 @@ def op5_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_columns(spark, folder, "documents", "doc_id text")
+    return suffix_dedup.dedup(docs).withColumn("kept", F.sha2("kept", 256)).withColumnRenamed("kept", "kept_sha256")
+
+
 def op7_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(read_columns(spark, folder, "documents", "doc_id text"))
 
@@ -66,7 +71,7 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.render(chat.reconstruct(events)))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_bpe": op3_bpe, "op5_topk": op5_topk, "op7_jaccard": op7_jaccard, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_chat": op10_chat}
+QUERIES = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_bpe": op3_bpe, "op5_topk": op5_topk, "op6_suffix_dedup": op6_suffix_dedup, "op7_jaccard": op7_jaccard, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_chat": op10_chat}
 
 SQL: dict[str, str] = {
     "op7_jaccard": r"""

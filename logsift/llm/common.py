@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,40 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """The rows of each value of the named columns, from batches in the order of those columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in names], axis=1)
+        cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(marks)], strict=True):
+            mark = tuple(marks[low])
+            if held and mark != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(low, high - low))
+            last = mark
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def in_blocks(rows: DataFrame, group: list[str], node: str, size: int) -> DataFrame:
+    """``rows`` of groups with two rows or more, dealt into cells (i, j) of two blocks of a group.
+
+    A group of more than ``size`` rows is split into blocks by a hash of ``node``. A row is in the cells of its
+    block with every block, so two rows of a group meet in one cell; in those with i = j both are of one block.
+    """
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("c")).where("c > 1")
+    sizes = sizes.select(*group, F.expr(f"cast((c - 1) div {size} + 1 as int)").alias("blocks"))
+    rows = rows.join(sizes, group).withColumn("block", F.expr(f"cast(pmod(xxhash64({node}, 7), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+    return rows
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """A string column as Python texts, null as the empty text."""
     return [x or "" for x in column.to_pylist()]

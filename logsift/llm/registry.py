@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logsift.llm import bpe, chat, jaccard, packing, quality, secrets, suffix_dedup, topk, warc
+from logsift.llm import bpe, caps, chat, jaccard, packing, quality, secrets, suffix_dedup, topk, warc
 from logsift.llm.common import read_columns
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -33,6 +33,10 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_caps(spark: SparkSession, folder: str) -> DataFrame:
+    return caps.near_duplicates(read_columns(spark, folder, "embeddings", "vec_id embedding label"))
+
+
 def op5_topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = read_columns(spark, folder, "embeddings", "vec_id embedding")
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
@@ -71,9 +75,32 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.render(chat.reconstruct(events)))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_bpe": op3_bpe, "op5_topk": op5_topk, "op6_suffix_dedup": op6_suffix_dedup, "op7_jaccard": op7_jaccard, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_chat": op10_chat}
+QUERIES = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_bpe": op3_bpe, "op4_caps": op4_caps, "op5_topk": op5_topk, "op6_suffix_dedup": op6_suffix_dedup, "op7_jaccard": op7_jaccard, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_chat": op10_chat}
 
 SQL: dict[str, str] = {
+    "op4_caps": """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as x
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+    and len(list_filter(embedding, lambda c: c <> 0)) > 0
+), links as materialized (
+  select a.vec_id as x, b.vec_id as y
+  from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_dot_product(a.x, b.x) >= 0.98 * sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x))
+), reach as (
+  select vec_id as x, vec_id as y from embeddings
+  union
+  select r.x, l.y from reach r join links l on r.y = l.x
+), least as (
+  select x, min(y) as component_id from reach group by x
+), counts as (
+  select x, count(*) as n from links group by x
+)
+select e.vec_id, coalesce(c.n, 0) as n_links, l.component_id, e.vec_id = l.component_id as kept
+from embeddings e join least l on l.x = e.vec_id left join counts c on c.x = e.vec_id
+""",
     "op7_jaccard": r"""
 with recursive words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

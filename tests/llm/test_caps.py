@@ -1,0 +1,105 @@
+import math
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+import numpy as np
+import oracle
+import pytest
+
+from logsift.llm import caps
+from logsift.llm.registry import SQL, op4_caps
+
+
+def good(v, label):
+    return v is not None and label is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v)
+
+
+def brute(rows):
+    """Links of the contract, every pair of rows."""
+    n = len(rows)
+    part, links = list(range(n)), [0] * n
+
+    def root(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for i, (_, v, a) in enumerate(rows):
+        for j in range(i):
+            w, b = rows[j][1:]
+            if a == b and good(v, a) and good(w, b) and len(v) == len(w):
+                x, y = np.array(v, float), np.array(w, float)
+                x, y = x / np.abs(x).max(), y / np.abs(y).max()
+                if x @ y / math.sqrt((x @ x) * (y @ y)) >= 0.98:
+                    links[i] += 1
+                    links[j] += 1
+                    part[root(i)] = root(j)
+    least = {}
+    for i, (key, _, _) in enumerate(rows):
+        if key is not None:
+            least[root(i)] = min(least.get(root(i), key), key)
+    return sorted(((k, links[i], least.get(root(i), k), k is None or k == least[root(i)]) for i, (k, _, _) in enumerate(rows)), key=repr)
+
+
+def vectors(seed, n=400, width=64, spread=0.1):
+    draw = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        if out and draw.random() < 0.6:
+            v = np.array(out[draw.integers(len(out))][1]) + draw.normal(0, spread * draw.choice([0.3, 1, 2]), width)
+        else:
+            v = draw.normal(size=width)
+        out.append((int(i), [float(x) for x in np.float32(v)], int(draw.integers(3))))
+    return out
+
+
+def run(spark, rows, kind="float"):
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], f"vec_id long, embedding array<{kind}>, label int, node int, v string")
+    return sorted((tuple(r) for r in caps.near_duplicates(df).collect()), key=repr)
+
+
+ODD = [
+    (900, None, 1), (901, [0.0] * 64, 1), (902, [float("nan")] + [1.0] * 63, 1), (903, [float("inf")] + [1.0] * 63, 1),
+    (904, [None] + [1.0] * 63, 1), (905, [], 1), (906, [1.0] * 64, None), (907, [1.0] * 64, 1), (908, [1.0] * 64, 1),
+    (908, [1.0] * 64, 1), (909, [2.0] * 64, 1), (910, [1.0] * 64, 2), (None, [1.0] * 64, 1), (None, [-1.0] * 64, 1),
+    (911, [1.0, 0.0], 1), (912, [2.0, 0.01], 1), (913, [1e30] * 64, 1),
+]
+
+
+@pytest.mark.parametrize("seed, kind", [(1, "float"), (2, "double")])
+def test_against_brute_force(spark, seed, kind):
+    rows = vectors(seed) + ODD
+    assert run(spark, rows, kind) == brute(rows)
+
+
+def test_blocks(spark, monkeypatch):
+    monkeypatch.setattr(caps, "BLOCK", 8)
+    rows = vectors(3, 200, spread=0.01)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_empty(spark):
+    assert run(spark, []) == []
+    assert run(spark, [(1, None, 1)]) == [(1, 0, 1, True)]
+
+
+@pytest.mark.parametrize("count", [1000, 100_000, 10_000_000])
+def test_recall_of_the_filters(count):
+    """Pairs at the threshold share a filter; the list is as long as it should be at every size of the code."""
+    code, draw = caps.Code(64, count), np.random.default_rng(1)
+    x = draw.normal(size=(600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = draw.normal(size=x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.98 * x + math.sqrt(1 - 0.98**2) * z
+    a, b = code.filters(x), code.filters(y)
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)]) > 0.99
+    assert 16 <= np.mean([len(p) for p in a]) < 80 and min(map(len, a)) >= 16
+
+
+def test_query(spark):
+    folder = "/root/testdata/sf0.01"
+    assert oracle.compare(op4_caps(spark, folder), oracle.connect(folder), SQL["op4_caps"]) is None

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from logsift.functions.text import as_text
 
@@ -15,14 +16,19 @@ def json_value(column: Column | str) -> Column:
     The parser stops after the first value and would accept trailing text. So the body is parsed
     as the first element of an array that closes with a mark made from the body's own hash: only
     when the mark is read back as element 1, with nothing behind it, was all of the body one value.
+    The parsed array is bound to a variable, so that looking at it three times parses once.
     """
     text = as_text(column)
     mark = F.xxhash64(text)
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
-    complete = (F.try_variant_get(wrapped, "$[1]", "bigint") == mark) & F.try_variant_get(
-        wrapped, "$[2]", "variant"
-    ).isNull()
-    return F.when(complete, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+    def first_if_whole(array: Column) -> Column:
+        complete = (F.try_variant_get(array, "$[1]", "bigint") == mark) & F.try_variant_get(
+            array, "$[2]", "variant"
+        ).isNull()
+        return F.when(complete, F.try_variant_get(array, "$[0]", "variant"))
+
+    return F.get(F.transform(F.array(wrapped), first_if_whole), F.lit(0))
 
 
 def canonical_json(column: Column | str) -> Column:
@@ -44,22 +50,29 @@ def json_kind(value: Column) -> Column:
     )
 
 
+PATH = re.compile(r"\$(\.[A-Za-z_]\w*|\[\d+\]|\['[^'\]]+'\])+")
+NUMBER = "decimal(38,12)"
+
+
 def json_field(column: Column | str, path: str) -> Column:
-    """The field at ``path`` (``$.a`` or ``$.a.b``) as DOUBLE; NULL unless it is written as a number.
+    """The number at ``path`` (``$.a``, ``$.a.b``, ``$.a[0]``, ``$['a b']``) as an exact DECIMAL.
 
-    Only the named field is decoded, the rest of the body is skipped. The texts "NaN" and
-    "Infinity" pass as well; see ``finite``.
+    NULL unless the body is one JSON value that has a number there; texts are not numbers. Digits
+    beyond the twelfth after the point are rounded. See ``json_number`` for numbers that are too large.
     """
-    names = path.removeprefix("$.").split(".")
-    if not path.startswith("$.") or not all(names):
-        raise ValueError(f"path must look like $.a.b, not {path!r}")
-    schema: T.DataType = T.DoubleType()
-    for name in reversed(names):
-        schema = T.StructType([T.StructField(name, schema)])
-    field = F.from_json(as_text(column), schema)
-    for name in names:
-        field = field.getField(name)
-    return field
+    return json_number(json_node(column, path))
+
+
+def json_node(column: Column | str, path: str) -> Column:
+    """What a body has at ``path``, as VARIANT."""
+    if not PATH.fullmatch(path):
+        raise ValueError(f"path must look like $.a.b or $.a[0], not {path!r}")
+    return F.try_variant_get(json_value(column), path, "variant")
+
+
+def json_number(node: Column) -> Column:
+    """A VARIANT that holds a number as DECIMAL; NULL for anything else and for numbers that DECIMAL cannot hold."""
+    return F.when(json_kind(node) == "number", F.try_variant_get(node, "$", NUMBER))
 
 
 def finite(number: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.functions.jsontext import canonical_json, finite, json_field, json_kind, json_value
+from logsift.functions.jsontext import NUMBER, canonical_json, json_kind, json_node, json_number, json_value
 from logsift.functions.text import as_text, body_lines
 from logsift.operators.ranges import in_range
 from logsift.sources.log import ADDRESS, KEYS, Log
@@ -57,10 +57,14 @@ def json_children(log: DataFrame, depth: int = 1) -> DataFrame:
 
 
 def field_sum(log: Log, path: str, cursors: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
-    """Sum of the number at a JSON path over the messages from every cursor on, per partition.
+    """Exact sum of the number at a JSON path over the messages from every cursor on, per partition.
 
-    ``by=["topic"]`` gives the sum per topic. Anything but a number counts as nothing.
+    ``by=["topic"]`` gives the sum per topic. Anything but a number counts as nothing. A sum that
+    DECIMAL cannot hold, or with a number that it cannot hold, is NULL.
     """
-    numbers = in_range(log, cursors).select(*KEYS, json_field("value", path).alias("_number"))
-    total = F.coalesce(F.sum(finite("_number")), F.lit(0.0))
-    return numbers.groupBy(*(by or KEYS)).agg(total.alias("total"))
+    nodes = in_range(log, cursors).select(*KEYS, json_node("value", path).alias("_node"))
+    numbers = nodes.select(*KEYS, json_kind(F.col("_node")).alias("_kind"), json_number(F.col("_node")).alias("_number"))
+    lost = F.count_if((F.col("_kind") == "number") & F.col("_number").isNull())
+    counted = F.count("_number")
+    total = F.when(lost == 0, F.when(counted == 0, F.lit(0).cast(NUMBER)).otherwise(F.try_sum("_number")))
+    return numbers.groupBy(*(by or KEYS)).agg(total.cast(NUMBER).alias("total"))

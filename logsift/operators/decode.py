@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.functions.decoders import Decoder, plain
-from logsift.plans.sizing import join_small
+from logsift.plans.sizing import join_small, materialise
 from logsift.sources.log import KEYS
 
 POLICIES = ("fail", "stop", "passthrough")
@@ -33,14 +33,15 @@ def decode(log: DataFrame, decoders: Mapping[str, Decoder], policy: str = "passt
     """Replace ``value`` by its decoded text.
 
     ``fail``: the first undecodable message fails the query. ``stop``: every partition yields the
-    messages before its first undecodable one. ``passthrough``: the raw text stays, and
-    ``is_decoded`` says so.
+    messages before its first undecodable one; every message is decoded once, into a table below the
+    checkpoint folder. ``passthrough``: the raw text stays, and ``is_decoded`` says so. A message
+    without a value stays without one and counts as decoded.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}, not {policy!r}")
     others = [c for c in log.columns if c != "value"]
     raw = F.col("value")
-    text = F.col("_text")
+    text = F.when(raw.isNotNull(), F.col("_text"))
     rows = log.withColumn("_text", decoded(decoders))
     bad = raw.isNotNull() & text.isNull()
     if policy == "passthrough":
@@ -49,6 +50,7 @@ def decode(log: DataFrame, decoders: Mapping[str, Decoder], policy: str = "passt
         where = F.format_string("cannot decode topic: %s partition: %d offset: %d", *KEYS, "offset")
         failed = F.when(bad, F.raise_error(where).cast("string")).otherwise(text)
         return rows.select(*others, failed.alias("value"))
-    first_bad = rows.where(bad).groupBy(*KEYS).agg(F.min("offset").alias("_bad"))
-    kept = join_small(rows, first_bad, KEYS, "left").where("_bad is null or offset < _bad")
-    return kept.select(*others, text.alias("value"))
+    table = materialise(rows.select(*others, text.alias("value"), bad.alias("_is_bad")))
+    first_bad = table.where("_is_bad").groupBy(*KEYS).agg(F.min("offset").alias("_bad"))
+    kept = join_small(table, first_bad, KEYS, "left").where("_bad is null or offset < _bad")
+    return kept.select(*others, "value")

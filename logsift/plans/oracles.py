@@ -302,9 +302,7 @@ with {EVENTS}
 select topic, "partition", cast(sum(cast(json_extract("value", '$.k') as bigint)) as bigint) as sum_k
 from log group by topic, "partition" """,
     "json_field_sum_topic": f"""
-with {EVENTS}, {CURSORS}
-select l.topic, cast(sum(cast(json_extract(l."value", '$.k') as bigint)) as bigint) as sum_k
-from log l join cur c on l.topic = c.topic and l."partition" = c."partition"
-where l."offset" >= greatest(c."end" - 500, c."start")
-group by l.topic""",
+with {EVENTS}
+select topic, cast(sum(cast(json_extract("value", '$.k') as bigint)) as bigint) as sum_k
+from log group by topic""",
 }

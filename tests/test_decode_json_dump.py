@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from decimal import Decimal
 from pathlib import Path
 
 import pytest
@@ -217,3 +218,68 @@ def test_catalog_export(spark, make_cursors, tmp_path):
     table = spark.read.option("header", "true").csv(str(tmp_path / "table"))
     assert rows(table) == [("t", "0", "0", "1", "4", "4"), ("t", "1", "2", "2", "9", "7")]
     assert rows(spark.read.json(str(tmp_path / "json")), "partition", "end") == [(0, 4), (1, 9)]
+
+
+def test_field_sum_is_exact(make_log):
+    bodies = ['{"k": 9007199254740993}', '{"k": 1}', '{"k": 2} trailing', '{"k": "5"}', '{"k": 0.1}', '{"k": 0.2}', None, ""]
+    log = make_log([("t", 0, i, body) for i, body in enumerate(bodies)])
+    assert rows(logsift.field_sum(log, "$.k"), "total") == [(Decimal("9007199254740994.3"),)]
+
+
+def test_field_sum_paths(make_log):
+    log = make_log([("t", 0, 0, '{"a": [4, 5], "b": {"c d": 7}}'), ("t", 0, 1, '{"a[0]": 9}')])
+    total = lambda path: rows(logsift.field_sum(log, path), "total")[0][0]
+    assert (total("$.a[0]"), total("$.a[1]"), total("$.b['c d']"), total("$.a")) == (4, 5, 7, 0)
+    for path in ("$", "$.", "a", "$.a[x]", "$..a", "$.a[*]", "$.a.", "$.a b"):
+        with pytest.raises(ValueError):
+            logsift.field_sum(log, path)
+
+
+def test_a_number_too_large_makes_no_sum(make_log):
+    log = make_log([("t", 0, 0, '{"k": 1e300}'), ("t", 0, 1, '{"k": 1}'), ("t", 1, 0, '{"k": 1e3}')])
+    assert rows(logsift.field_sum(log, "$.k"), "partition", "total") == [(0, None), (1, Decimal(1000))]
+
+
+PERSON = {"first": "STRING", "_malformed": "STRING", "age": "INT"}
+
+
+def test_empty_and_missing_values_under_all_policies(make_log):
+    values = ["A,B,1", "", None, "A,B", "C,D,2"]
+    log = make_log([("t", 0, i, v) for i, v in enumerate(values)] + [("t", 1, 0, None), ("t", 1, 1, "E,F,3")])
+    decoders = {"*": logsift.delimited(PERSON)}
+    text = lambda a, b, n: f'{{"first":"{a}","_malformed":"{b}","age":{n}}}'
+    assert rows(logsift.decode(log, decoders, "passthrough"), "partition", "offset", "value", "is_decoded") == sorted([
+        (0, 0, text("A", "B", 1), True), (0, 1, "", False), (0, 2, None, True), (0, 3, "A,B", False),
+        (0, 4, text("C", "D", 2), True), (1, 0, None, True), (1, 1, text("E", "F", 3), True),
+    ], key=repr)
+    assert rows(logsift.decode(log, decoders, "stop"), "partition", "offset") == [(0, 0), (1, 0), (1, 1)]
+    with pytest.raises(Exception, match="cannot decode topic: t partition: 0 offset: [13]"):
+        logsift.decode(log, decoders, "fail").collect()
+    good = log.where("partition = 1")
+    assert {r[0] for r in rows(logsift.decode(good, decoders, "fail"), "value")} == {None, text("E", "F", 3)}
+
+
+def test_labels_are_split_once(make_log):
+    values = ["a: x, y, b: 1", "a: l1\nl2, b: 2", "a: , b: 3", "b: 1, a: x", "a: x", "", None, "a: x, b: y", "a: x, b: 4, b: 5", "za: x, b: 1"]
+    log = make_log([("t", 0, i, v) for i, v in enumerate(values)])
+    got = dict(rows(logsift.decode(log, {"*": logsift.labelled({"a": "STRING", "b": "INT"})}, "passthrough").where("is_decoded"), "offset", "value"))
+    assert got == {0: '{"a":"x, y","b":1}', 1: '{"a":"l1\\nl2","b":2}', 2: '{"a":"","b":3}', 6: None}
+
+
+def test_stop_decodes_every_message_once(spark, make_log, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counting(value):
+        calls.add(1)
+        return None if value == "bad" else value
+
+    log = make_log([("t", p, o, "bad" if (p, o) == (0, 50) else "x") for p in range(2) for o in range(100)])
+    logsift.write_dump(logsift.dump(log, decoders={"*": counting}, policy="stop"), str(tmp_path / "d"))
+    assert calls.value == 200
+    assert spark.read.text(str(tmp_path / "d")).count() == 150
+
+
+def test_one_parse_of_a_body(spark):
+    df = spark.createDataFrame([("{}",)], "value string").select(canonical_json("value"))
+    assert df._jdf.queryExecution().executedPlan().toString().count("parse_json") <= 1

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import components, map_batches, shared, task_count, texts
+from logsift.llm.common import components, groups, in_blocks, map_batches, shared, task_count, texts
 from logsift.llm.shingles import shingles
 from logsift.plans.sizing import join_small
 
@@ -178,42 +178,25 @@ def star_pairs(members: DataFrame, turn: int) -> DataFrame:
 def tree_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b) of different components that no signature bound rules out."""
     open_keys = members.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"))
-    rows = members.join(open_keys.where("least <> most").select("key"), "key").join(nodes.select("node", "bits"), "node")
+    rows = members.join(open_keys.where("least <> most").select("key"), "key")
     band = F.floor(F.log("n") / np.log(BAND)).cast("int")
     # A node is in the group of its own band, and meets the band below there.
     place = F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("upper")), F.struct((band - 1).alias("band"), F.lit(True).alias("upper"))))
-    rows = rows.withColumn("place", place).select("key", "place.*", "node", "n", "part", "bits")
-    sizes = rows.groupBy("key", "band").agg(
-        F.count("*").alias("c"), F.bool_and("upper").alias("above"), F.min("part").alias("least"), F.max("part").alias("most")
-    )
-    sizes = sizes.where("c > 1 and not above and least <> most").select("key", "band", F.expr(f"cast((c - 1) div {BLOCK} + 1 as int)").alias("blocks"))
-    own = F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)")
-    rows = rows.join(sizes, ["key", "band"]).withColumn("block", own)
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+    rows = rows.withColumn("place", place).select("key", "place.*", "node", "n", "part")
+    sizes = rows.groupBy("key", "band").agg(F.bool_and("upper").alias("above"), F.min("part").alias("least"), F.max("part").alias("most"))
+    open_bands = sizes.where("not above and least <> most").select("key", "band")
+    rows = in_blocks(rows.join(open_bands, ["key", "band"], "left_semi"), ["key", "band"], "node", BLOCK)
+    # Bitmaps, and the keys before this one, come last: only the deal into cells moves them.
+    rows = rows.join(nodes.select("node", "bits", "keys"), "node")
+    rows = rows.withColumn("keys", F.filter("keys", lambda k: k < F.col("key")))
     cell = ["key", "band", "i", "j"]
     dealt = rows.repartition(task_count(members.sparkSession), *cell).sortWithinPartitions(*cell)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            marks = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in cell], axis=1)
-            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
-            for low, high in zip([0, *cuts], [*cuts, len(marks)], strict=True):
-                mark = tuple(marks[low])
-                if held and mark != last:
-                    yield from found(held)
-                    held = []
-                held.append(batch.slice(low, high - low))
-                last = mark
-        if held:
-            yield from found(held)
-
-    def found(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = pa.Table.from_batches(parts)
+        for group in groups(batches, cell):
+            yield from found(group)
+
+    def found(group: pa.Table) -> Iterator[pa.RecordBatch]:
         part = group["part"].to_numpy()
         if part.min() == part.max():
             return
@@ -223,10 +206,14 @@ def tree_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
         tree = Tree(size[order], part[order], folded([maps[k] for k in order]))
         node, upper, block = (group[c].to_numpy()[order] for c in ("node", "upper", "block"))
         apart = group["i"][0].as_py() != group["j"][0].as_py()
+        keys = group["keys"].take(pa.array(order))
         for x, y in tree.pairs():
             keep = ~(upper[x] & upper[y])
             if apart:
                 keep &= block[x] != block[y]
+            # Pairs with several keys in common are those of the first.
+            for at in np.flatnonzero(keep):
+                keep[at] = set(keys[int(x[at])].as_py()).isdisjoint(keys[int(y[at])].as_py())
             if keep.any():
                 x, y = node[x[keep]], node[y[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])

@@ -41,10 +41,11 @@ from logsift.operators.search import (
     match_count,
     search_body,
     search_chained,
+    search_first,
     search_partition,
     search_topic,
 )
-from logsift.plans.session import prepare
+from logsift.plans.session import clear_scratch, prepare
 from logsift.plans.sizing import pin
 from logsift.sources.kafka import (
     cursors_from_offsets,
@@ -53,7 +54,7 @@ from logsift.sources.kafka import (
     stream_kafka,
     write_kafka,
 )
-from logsift.sources.log import as_log, read_log, stored_offsets, stream_log, write_log
+from logsift.sources.log import as_log, read_log, stored_log, stored_offsets, stream_log, write_log
 from logsift.streaming.replay import first_matches, replay_first_match
 
 __all__ = [
@@ -63,6 +64,7 @@ __all__ = [
     "assign_offsets",
     "body_line_rows",
     "canonical_bodies",
+    "clear_scratch",
     "cursors_from_offsets",
     "decode",
     "delimited",
@@ -106,8 +108,10 @@ __all__ = [
     "sample_records",
     "search_body",
     "search_chained",
+    "search_first",
     "search_partition",
     "search_topic",
+    "stored_log",
     "stored_offsets",
     "stream_kafka",
     "stream_log",

@@ -10,26 +10,36 @@ from pyspark.sql import functions as F
 # The 32-bit FNV-1a offset basis and prime.
 FNV_BASIS = 2166136261
 FNV_PRIME = 16777619
+FEW_KEYS = 32
 
 
 def fnv1a32(key: Column) -> Column:
     """32-bit FNV-1a of the key bytes, as a signed INT.
 
-    On Arrow batches, byte place by byte place over all keys at once; as a column expression it
-    would be an interpreted fold per key.
+    On Arrow batches, byte place by byte place over all keys that are that long; the few that are
+    longer than nearly all others are finished one by one. The work is that of the bytes of the distinct keys.
     """
-    basis, prime = FNV_BASIS, FNV_PRIME
+    basis, prime, few = FNV_BASIS, FNV_PRIME, FEW_KEYS
 
     @F.pandas_udf("int")
     def hashed(keys: pd.Series) -> pd.Series:
         codes, distinct = pd.factorize(keys)
-        raw = [bytes(key) for key in distinct]
-        sizes = np.array([len(key) for key in raw], dtype=np.int64)
+        raw = sorted(((bytes(key), i) for i, key in enumerate(distinct)), key=lambda x: -len(x[0]))
+        sizes = np.array([len(key) for key, _ in raw], dtype=np.int64)
+        octets = np.frombuffer(b"".join(key for key, _ in raw), dtype=np.uint8)
+        starts = np.cumsum(sizes) - sizes
         state = np.full(len(raw), basis, dtype=np.uint32)
-        for place in range(int(sizes.max(initial=0))):
-            inside = sizes > place
-            octets = np.array([key[place] for key in raw if len(key) > place], dtype=np.uint32)
-            state[inside] = (state[inside] ^ octets) * np.uint32(prime)
+        place = 0
+        # Longest first, so the keys with a byte at ``place`` are the first ones.
+        while (inside := int(np.searchsorted(-sizes, -place))) > few:
+            state[:inside] = (state[:inside] ^ octets[starts[:inside] + place]) * np.uint32(prime)
+            place += 1
+        for i in range(inside):
+            rest = int(state[i])
+            for octet in raw[i][0][place:]:
+                rest = (rest ^ octet) * prime & 0xFFFFFFFF
+            state[i] = rest
+        state[[i for _, i in raw]] = state.copy()
         found = np.append(state.view(np.int32), 0)  # the last place stands for a missing key
         return pd.Series(found[codes]).where(codes >= 0).astype("Int32")
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.plans.sizing import HELD_ROWS, held_rows
 from logsift.sources.log import KEYS
 
 
@@ -23,13 +22,11 @@ def topic_catalog(log: DataFrame, declared: DataFrame | None = None) -> DataFram
 
 
 def list_topics(log: DataFrame, declared: DataFrame | None = None) -> list[str]:
-    """Sorted topic names; a log without topics is an error."""
-    rows = held_rows(topic_catalog(log, declared).select("topic"))
-    if rows is None:
-        raise ValueError(f"more than {HELD_ROWS} topics: use topic_catalog and page through it")
-    if not rows:
+    """Sorted topic names, all of them: use ``topic_catalog`` for a table. A log without topics is an error."""
+    names = [row["topic"] for row in topic_catalog(log, declared).select("topic").toLocalIterator()]
+    if not names:
         raise LookupError("no topics found in the log")
-    return sorted(row["topic"] for row in rows)
+    return sorted(names)
 
 
 def partition_offsets(log: DataFrame, declared: DataFrame | None = None) -> DataFrame:

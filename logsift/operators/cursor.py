@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logsift.operators.ranges import in_range
 from logsift.plans.sizing import pin
-from logsift.sources.log import ADDRESS, KEYS
+from logsift.sources.log import KEYS, Log
 
 
 def move(cursors: DataFrame, n: int) -> DataFrame:
@@ -44,10 +44,10 @@ def jump(
     )
 
 
-def remaining(log: DataFrame, cursors: DataFrame) -> DataFrame:
+def remaining(log: Log, cursors: DataFrame) -> DataFrame:
     """Number of messages between every cursor and its end; reads the address columns only."""
     cursors = pin(cursors)
-    counts = in_range(log.select(*ADDRESS), cursors).groupBy(*KEYS).agg(F.count("*").alias("n_records"))
+    counts = in_range(log, cursors).groupBy(*KEYS).agg(F.count("*").alias("n_records"))
     return cursors.join(counts, KEYS, "left").fillna(0, ["n_records"])
 
 

@@ -24,13 +24,14 @@ def dump(
     return rows.select(*ADDRESS, "value")
 
 
-def write_dump(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_dump(rows: DataFrame, path: str, mode: str = "errorifexists", tasks: int | None = None) -> None:
     """One value per line, a folder per partition, files and lines in offset order.
 
-    Range partitioning cuts a hot partition into several ordered files.
+    Range partitioning cuts a hot partition into several ordered files, ``tasks`` in all (default: the
+    session's shuffle partitions).
     """
     (
-        rows.repartitionByRange(*ADDRESS)
+        rows.repartitionByRange(*([] if tasks is None else [tasks]), *ADDRESS)
         .sortWithinPartitions(*ADDRESS)
         .select(*KEYS, "value")
         .write.mode(mode)

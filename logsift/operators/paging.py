@@ -31,7 +31,7 @@ def page_messages(
     return filtered_head(log, F.lit(True), height, seek, step=step)
 
 
-def page_ids(log: DataFrame, cursors: DataFrame, height: int) -> DataFrame:
+def page_ids(log: Log, cursors: DataFrame, height: int) -> DataFrame:
     """The page of every message, by arithmetic on its offset."""
-    rows = in_range(log.select(*ADDRESS), cursors, keep=("start",))
+    rows = in_range(log, cursors, keep=("start",))
     return rows.select(*ADDRESS, F.expr(f"(offset - start) div {int(height)}").alias("page"))

@@ -45,7 +45,10 @@ LAST_PARTS = (
 
 
 def assign_offsets(
-    records: DataFrame, order_by: list[str] | None = None, base: DataFrame | None = None
+    records: DataFrame,
+    order_by: list[str] | None = None,
+    base: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Give the records of every (topic, partition) the next dense offsets.
 
@@ -54,11 +57,12 @@ def assign_offsets(
     as they arrive and nothing is shuffled. Either way they are written once below the checkpoint
     folder, sorted inside each task; a second pass counts the run of every partition in every task,
     and the offset is the place in the run plus the runs before it. ``base`` is the cursor table of
-    the log appended to: offsets go on from its ends.
+    the log appended to: offsets go on from its ends. ``tasks`` is the number of ordered ranges (default: the
+    session's shuffle partitions).
     """
     if order_by:
         order = [*KEYS, *order_by]
-        placed = records.repartitionByRange(*order).sortWithinPartitions(*order)
+        placed = records.repartitionByRange(*([] if tasks is None else [tasks]), *order).sortWithinPartitions(*order)
     else:
         placed = records.sortWithinPartitions(*KEYS)
     ordered = materialise(placed.withColumn("_row", F.monotonically_increasing_id()))
@@ -130,7 +134,9 @@ def _numbered_person(ids: DataFrame, seed: int, **ages: int) -> DataFrame:
 
 def _person(rows: DataFrame, number: str, seed: int, youngest: int = YOUNGEST, ages: int = AGES) -> DataFrame:
     # One step of the Park-Miller generator from a state that differs for every id and topic.
-    state = F.pmod((F.col("id") * 7 + F.col(number) + seed) * 48271, F.lit(2147483647))
+    # Remainders are taken early, so that no id overflows.
+    modulus = F.lit(2147483647)
+    state = F.pmod(F.pmod(F.pmod("id", modulus) * 7 + F.col(number) + seed, modulus) * 48271, modulus)
     first, last, age = state % 100, F.floor(state / 100) % 100, F.floor(state / 10000) % ages
     return rows.withColumns(
         {

@@ -9,9 +9,10 @@ from logsift.functions.text import byte_cut, char_cut
 from logsift.operators.decode import decode
 from logsift.operators.ranges import at_addresses, in_range
 from logsift.operators.waves import match_ranges
+from logsift.plans.sizing import join_small
 from logsift.sources.log import ADDRESS, KEYS, Log
 
-BLOCK_BITS = 24
+BLOCK_BITS = 16
 
 
 def range_scan(log: Log, cursors: DataFrame | None = None) -> DataFrame:
@@ -32,22 +33,43 @@ def message_at_position(log: Log, cursors: DataFrame, n: int, dense: bool = Fals
     if dense:
         at = cursors.select(*KEYS, (F.col("start") + n).alias("offset"), "end").where("offset < end")
         return at_addresses(log, at)
-    whole = cursors.withColumn("offset", F.col("start"))
-    return first_n(in_range(log, whole), n + 1, rank="_rank").where(F.col("_rank") == n + 1).drop("_rank")
+    offsets = in_range(log, cursors.withColumn("offset", F.col("start"))).select(*ADDRESS)
+    return at_addresses(log, nth_offset(offsets, n + 1))
 
 
-def first_n(log: DataFrame, n: int, rank: str | None = None) -> DataFrame:
+def nth_offset(log: DataFrame, n: int) -> DataFrame:
+    """(topic, partition, offset) of the ``n``-th message (from 1) of every partition that has as many.
+
+    Messages are counted per block of offsets with a map-side combine; the counts add up to the rank before
+    every block, and only the offsets of the one block that holds the ``n``-th are gathered.
+    """
+    block = F.shiftright("offset", BLOCK_BITS).alias("_block")
+    counts = log.groupBy(*KEYS, block).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*KEYS).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    at = counts.where((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n)).drop("_n")
+    inside = join_small(log.select(*ADDRESS, block), at, [*KEYS, "_block"])
+    offsets = F.sort_array(F.collect_list("offset"))
+    nth = F.get(offsets, (F.lit(n - 1) - F.first("_before")).cast("int"))
+    return inside.groupBy(*KEYS).agg(nth.alias("offset"))
+
+
+def first_n(log: DataFrame, n: int) -> DataFrame:
     """The ``n`` messages with the smallest offsets of every partition.
 
-    Ranked in three steps, so that a hot partition never meets in one task: the window limit keeps
-    ``n`` per map task, then ``n`` per block of offsets, and only those are ranked together.
+    A few are ranked per map task and then together. Spark limits such ranks early only up to
+    a threshold; beyond it every partition is cut at the offset of its ``n``-th message instead, so that no task
+    ever ranks the messages of a hot partition.
     """
-    block = F.shiftright("offset", BLOCK_BITS)
-    in_block = Window.partitionBy(*KEYS, block).orderBy("offset")
+    most = int(log.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if n > most:
+        last = nth_offset(log, n).withColumnRenamed("offset", "_last")
+        return join_small(log, last, KEYS, "left").where("_last is null or offset <= _last").drop("_last")
+    in_block = Window.partitionBy(*KEYS, F.shiftright("offset", BLOCK_BITS)).orderBy("offset")
     in_partition = Window.partitionBy(*KEYS).orderBy("offset")
     nearest = log.withColumn("_rank", F.row_number().over(in_block)).where(F.col("_rank") <= n)
     ranked = nearest.withColumn("_rank", F.row_number().over(in_partition)).where(F.col("_rank") <= n)
-    return ranked.select(*log.columns, *([F.col("_rank").alias(rank)] if rank else []))
+    return ranked.select(*log.columns)
 
 
 def filtered_head(
@@ -61,17 +83,14 @@ def filtered_head(
     """The first ``n`` messages of every partition, from its cursor, that satisfy ``predicate``.
 
     The predicate sees the raw value; only the kept messages are decoded, and one that cannot be
-    decoded fails the query. With ``step`` the log is read in growing offset ranges and partitions
-    that already have ``n`` matches are not read further.
+    decoded fails the query. With ``step`` the log is read in growing offset ranges, partitions
+    that already have ``n`` matches are not read further, and the ranges with the matches are read again.
     """
     if step is not None:
         if cursors is None:
             raise ValueError("step needs cursors")
         ranges = match_ranges(log, cursors, predicate, n, step)
-        if ranges is not None:
-            cursors = ranges.select(
-                *KEYS, "start", F.col("stop").alias("end"), F.col("first").alias("offset")
-            )
+        cursors = ranges.select(*KEYS, "start", F.col("stop").alias("end"), F.col("first").alias("offset"))
     head = first_n(in_range(log, cursors).where(predicate), n)
     return head if decoders is None else decode(head, decoders, "fail")
 

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.functions.text import as_text, body_lines, has, in_first_line, length_in
-from logsift.operators.ranges import at_addresses, in_range
+from logsift.operators.catalog import partition_offsets
+from logsift.operators.ranges import at_addresses, in_range, whole
 from logsift.operators.waves import match_ranges
-from logsift.plans.sizing import join_small, materialise, pin
+from logsift.plans.sizing import pin
 from logsift.sources.log import ADDRESS, KEYS, Log
 
 CURSOR = [*KEYS, "start", "end", "offset"]
@@ -25,17 +24,17 @@ def search_partition(
 ) -> DataFrame:
     """First matching message of every partition at or after its cursor.
 
-    ``step`` reads growing offset ranges as in ``search_topic``.
+    The offsets are found first, by minima with a map-side combine, and then looked up. ``step``
+    reads growing offset ranges as in ``search_topic``.
     """
     found = has(log, needle, column)
     ranges = _waves(log, cursors, found, step)
     if ranges is not None:
         first = ranges.select(*KEYS, F.col("first").alias("offset"))
-        return at_addresses(log, first).select(*ADDRESS, "value")
-    hits = in_range(log, cursors).where(found)
-    return hits.groupBy(*KEYS).agg(
-        F.min("offset").alias("offset"), F.min_by("value", "offset").alias("value")
-    )
+    else:
+        first = in_range(log, cursors).where(found).groupBy(*KEYS).agg(F.min("offset").alias("offset"))
+    matching = (lambda spans: log(spans).where(found)) if callable(log) else log.where(found)
+    return at_addresses(matching, first).select(*ADDRESS, "value")
 
 
 def search_topic(
@@ -57,7 +56,7 @@ def search_topic(
         return ranges.select(*KEYS, "start", "end", F.col("first").alias("offset")).orderBy(*KEYS)
     if cursors is None:
         return (
-            log.groupBy(*KEYS)
+            whole(log).groupBy(*KEYS)
             .agg(
                 F.min("offset").alias("start"),
                 (F.max("offset") + 1).alias("end"),
@@ -77,29 +76,40 @@ def first_result(found: DataFrame) -> DataFrame:
     return found.groupBy("topic").agg(best.alias("_best")).select("topic", "_best.partition", "_best.offset")
 
 
+def search_first(log: Log, needle: str, cursors: DataFrame, step: int, column: str = "value") -> DataFrame:
+    """``first_result`` of a search that stops: as soon as a partition has a match, the partitions of its
+    topic above it are not read further."""
+    ranges = match_ranges(log, cursors, has(log, needle, column), 1, step, lowest=True)
+    return first_result(ranges.select(*KEYS, F.col("first").alias("offset")))
+
+
 def match_count(found: DataFrame) -> DataFrame:
     """Number of matching partitions per topic."""
     return found.groupBy("topic").agg(F.count("*").alias("n_partitions"))
 
 
-def search_chained(log: Log, needles: list[str], cursors: DataFrame | None = None) -> DataFrame:
+def search_chained(
+    log: Log, needles: list[str], cursors: DataFrame | None = None, step: int | None = None
+) -> DataFrame:
     """Each search runs on the partitions and from the cursors the one before it left.
 
     ``first_match`` lists the offset found by each needle; the same message may serve several.
-    The values are read once: the addresses of all hits are written below the checkpoint folder, and
-    every step works on those.
+    A search keeps one row per partition, so what lies between the searches is a cursor table. ``step``
+    reads growing offset ranges as in ``search_topic``.
     """
-    flags = [has(log, needle).alias(f"_hit{i}") for i, needle in enumerate(needles)]
-    any_hit = reduce(lambda a, b: a | b, [has(log, needle) for needle in needles])
-    hits = materialise(in_range(log, cursors).where(any_hit).select(*ADDRESS, *flags))
-    found = None
-    for i in range(len(needles)):
-        at = hits.where(f"_hit{i}").select(*ADDRESS)
-        if found is not None:
-            at = join_small(at, found, KEYS).where(F.col("offset") >= F.col(f"match{i - 1}"))
-        first = at.groupBy(*KEYS).agg(F.min("offset").alias(f"match{i}"))
-        found = pin(first if found is None else found.join(first, KEYS))
-    return found.select(*KEYS, F.array(*[f"match{i}" for i in range(len(needles))]).alias("first_match"))
+    if cursors is None:
+        cursors = partition_offsets(whole(log))
+    now = pin(cursors.select(*CURSOR).withColumn("first_match", F.array().cast("array<bigint>")))
+    for needle in needles:
+        ranges = _waves(log, now, has(log, needle), step)
+        if ranges is None:
+            hits = in_range(log, now).where(has(log, needle))
+            first = hits.groupBy(*KEYS).agg(F.min("offset").alias("_first"))
+        else:
+            first = ranges.select(*KEYS, F.col("first").alias("_first"))
+        moved = now.join(first, KEYS).withColumn("first_match", F.array_append("first_match", F.col("_first")))
+        now = pin(moved.withColumn("offset", F.col("_first")).select(*CURSOR, "first_match"))
+    return now.select(*KEYS, "first_match")
 
 
 def search_body(log: DataFrame, needle: str, unit: str = "char") -> DataFrame:

@@ -1,8 +1,8 @@
 """Early end of a first-match search.
 
 ``min(offset)`` reads a whole range even when the first message matches. Here the ranges are read
-in waves of growing size, and a partition that has what it needs is left out of the next wave. No
-offset is read twice, and the offsets of a wave reach the scan as constants.
+in waves of growing size, and a partition that has what it needs is left out of the next wave.
+Waves of a partition do not overlap, and their partitions and offsets go to the scan.
 """
 
 from __future__ import annotations
@@ -11,48 +11,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.operators.ranges import in_range
-from logsift.plans.sizing import held_rows, local_frame
+from logsift.plans.sizing import pin
 from logsift.sources.log import KEYS, Log
 
 GROWTH = 4
 
 
 def match_ranges(
-    log: Log, cursors: DataFrame, predicate: Column, n: int, step: int
-) -> DataFrame | None:
+    log: Log, cursors: DataFrame, predicate: Column, n: int, step: int, lowest: bool = False
+) -> DataFrame:
     """For every partition with a match, the part ``[first, stop)`` of its range that holds its
-    first ``n`` matches, or all it has. None when there are too many cursors to hold.
+    first ``n`` matches, or all it has.
 
-    Per wave only one row per open partition comes back: count, first and last match.
+    Per wave every open partition gives one row: count, first and last match. The state between waves is
+    a pinned table: a local relation for some ten thousand partitions, a written table beyond.
+    With ``lowest`` only the lowest matching partition of each topic is of interest: partitions above one
+    with a match are not read further, and only the lowest is returned.
     """
     if n < 1 or step < 1:
         raise ValueError("n and step must be at least 1")
-    cursors = cursors.select(*KEYS, "start", "end", "offset")
-    rows = held_rows(cursors)
-    if rows is None:
-        return None
-    waiting = [{**row, "seen": 0, "first": None, "stop": None} for row in rows]
-    done = []
-    while True:
-        done += [row for row in waiting if row["seen"] >= n or row["offset"] >= row["end"]]
-        waiting = [row for row in waiting if row["seen"] < n and row["offset"] < row["end"]]
-        if not waiting:
-            break
-        wave = [{**row, "end": min(row["offset"] + step, row["end"])} for row in waiting]
-        part = in_range(log, local_frame(cursors, wave)).where(predicate)
+    unknown = F.lit(None).cast("bigint")
+    state = pin(
+        cursors.select(
+            *KEYS, "start", "end", "offset", F.lit(0).cast("bigint").alias("seen"),
+            unknown.alias("first"), unknown.alias("stop"),
+        )
+    )
+    open_ = (F.col("seen") < n) & (F.col("offset") < F.col("end"))
+    while not (waiting := state.where(open_)).isEmpty():
+        wave = waiting.withColumn("end", F.least(F.col("offset") + step, "end"))
+        part = in_range(log, wave).where(predicate)
         matches = part.groupBy(*KEYS).agg(
-            F.count("*").alias("n"), F.min("offset").alias("first"), F.max("offset").alias("last")
+            F.count("*").alias("_n"), F.min("offset").alias("_first"), F.max("offset").alias("_last")
         )
-        by_key = {(m["topic"], m["partition"]): m for m in matches.collect()}
-        for row, read in zip(waiting, wave, strict=True):
-            row["offset"] = read["end"]
-            match = by_key.get((row["topic"], row["partition"]))
-            if match:
-                row["seen"] += match["n"]
-                row["first"] = match["first"] if row["first"] is None else row["first"]
-                row["stop"] = match["last"] + 1
+        moved = waiting.join(matches, KEYS, "left").select(
+            *KEYS, "start", "end", F.least(F.col("offset") + step, "end").alias("offset"),
+            (F.col("seen") + F.coalesce("_n", F.lit(0))).alias("seen"), F.coalesce("first", "_first").alias("first"),
+            F.coalesce(F.col("_last") + 1, "stop").alias("stop"),
+        )
+        state = state.where(~open_).unionByName(moved)
+        if lowest:
+            state = _without_higher(pin(state))
+        state = pin(state)
         step *= GROWTH
-    found = cursors.select(
-        *KEYS, "start", "end", F.col("offset").alias("first"), F.col("offset").alias("stop")
-    )
-    return local_frame(found, [row for row in done if row["seen"]])
+    found = state.where("seen > 0")
+    return found.select(*KEYS, "start", "end", "first", "stop")
+
+
+def _without_higher(state: DataFrame) -> DataFrame:
+    best = state.where("seen > 0").groupBy("topic").agg(F.min("partition").alias("_best"))
+    return state.join(best, "topic", "left").where("_best is null or partition <= _best").drop("_best")

@@ -37,6 +37,19 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process; results that still read them can no longer be read."""
+    jvm, gone = spark._jvm, 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone

@@ -6,15 +6,16 @@ The connector is a package of its own (``spark-sql-kafka-0-10``) that the cluste
 from __future__ import annotations
 
 import json
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.operators.ranges import in_range
-from logsift.plans.sizing import held_rows, pin
+from logsift.plans.sizing import pin
 from logsift.sources.log import LOG_SCHEMA
 
+READ_CURSORS = 20_000
 LOG_COLUMNS = ["topic", "partition", "offset", "key", "timestamp", "value"]
 
 
@@ -82,15 +83,16 @@ def cursors_from_offsets(spark: SparkSession, starting: str, ending: str) -> Dat
 def read_options(
     rows: list[dict] | None, topics: list[str] | None = None, min_partitions: int | None = None
 ) -> dict[str, str]:
-    """Source options for a bounded read: the ranges of held cursor rows, else whole topics.
+    """Source options for a bounded read: the ranges of cursor rows, else whole named topics.
 
     ``min_partitions`` makes the source split hot partitions by offset range.
     """
     options = {} if min_partitions is None else {"minPartitions": str(min_partitions)}
     if rows:
         return options | offset_options(rows)
-    whole = {"subscribe": ",".join(topics)} if topics else {"subscribePattern": ".*"}
-    return options | whole | {"startingOffsets": "earliest", "endingOffsets": "latest"}
+    if not topics:
+        raise ValueError("name topics or give cursors")
+    return options | {"subscribe": ",".join(topics), "startingOffsets": "earliest", "endingOffsets": "latest"}
 
 
 def read_kafka(
@@ -102,23 +104,49 @@ def read_kafka(
 ) -> DataFrame:
     """Bounded scan of a cluster as a log: from the cursors to their ends, or whole topics.
 
-    The offsets of cursors go into the source options, so only their ranges are fetched; a cursor
-    table too large for that is joined instead.
+    The offsets of cursors go into the source options, so only their ranges are fetched, by several
+    reads where there are more than ``READ_CURSORS``. The source keeps an offset per
+    partition on the driver, and so does this. Spark's connector tells the offsets of a cluster only to a query: take them from
+    the progress of a stream (``cursors_from_offsets``) or from ``partition_offsets``, which reads the log.
     """
-    rows = None if cursors is None else held_rows(cursors.where(F.col("offset") < F.col("end")))
-    if rows == []:
+    if cursors is None:
+        reads = [read_options(None, topics, min_partitions)]
+    else:
+        rows = [row.asDict() for row in cursors.where(F.col("offset") < F.col("end")).toLocalIterator()]
+        reads = [read_options(part, None, min_partitions) for part in in_parts(rows)]
+    if not reads:
         return spark.createDataFrame([], LOG_SCHEMA)
-    options = read_options(rows, topics, min_partitions)
-    log = spark.read.format("kafka").options(**connection, **options).load().select(*LOG_COLUMNS)
-    return log if cursors is None or rows else in_range(log, cursors)
+    logs = [spark.read.format("kafka").options(**connection, **o).load().select(*LOG_COLUMNS) for o in reads]
+    return reduce(DataFrame.unionAll, logs)
+
+
+def in_parts(rows: list[dict]) -> list[list[dict]]:
+    return [rows[i : i + READ_CURSORS] for i in range(0, len(rows), READ_CURSORS)]
+
+
+def stream_options(
+    topics: list[str] | None = None, starting: str = "earliest", cursors: list[dict] | None = None
+) -> dict[str, str]:
+    """Source options of a stream: topics from a named place, or partitions from their cursors."""
+    if cursors:
+        options = offset_options(cursors)
+        return {name: options[name] for name in ("assign", "startingOffsets")}
+    if not topics:
+        raise ValueError("name topics or give cursors")
+    return {"subscribe": ",".join(topics), "startingOffsets": starting}
 
 
 def stream_kafka(
-    spark: SparkSession, connection: dict[str, str], topics: list[str], starting: str = "earliest"
+    spark: SparkSession,
+    connection: dict[str, str],
+    topics: list[str] | None = None,
+    starting: str = "earliest",
+    cursors: DataFrame | None = None,
 ) -> DataFrame:
-    """Topics of a cluster as a stream."""
-    source = spark.readStream.format("kafka").options(**connection)
-    return source.options(subscribe=",".join(topics), startingOffsets=starting).load().select(*LOG_COLUMNS)
+    """A cluster as a stream: whole topics, or the partitions of a cursor table from their cursors on."""
+    rows = None if cursors is None else [row.asDict() for row in cursors.toLocalIterator()]
+    source = spark.readStream.format("kafka").options(**connection, **stream_options(topics, starting, rows))
+    return source.load().select(*LOG_COLUMNS)
 
 
 def write_kafka(records: DataFrame, connection: dict[str, str]) -> None:

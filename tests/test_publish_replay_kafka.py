@@ -152,7 +152,8 @@ def test_cursor_options_seek():
     assert json.loads(options["endingOffsets"]) == {"t": {"0": 10, "3": 1}, "u": {"2": 3}}
     assert options["minPartitions"] == "64"
     assert kafka.read_options(None, ["t", "u"])["subscribe"] == "t,u"
-    assert kafka.read_options(None)["subscribePattern"] == ".*"
+    with pytest.raises(ValueError, match="name topics or give cursors"):
+        kafka.read_options(None)
 
 
 def test_cursors_from_offset_documents(spark):

@@ -109,14 +109,15 @@ class Tree:
         return i[x], j[y]
 
 
-def profiles(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n, same, keys, bits) of every row, as a written table."""
+def profiles(docs: DataFrame) -> DataFrame:
+    """(id, own, n, same, keys, bits) of every row, as a written table."""
 
     def run(batch: pa.RecordBatch):
         sets = [shingles(t) for t in texts(batch["text"])]
         yield pa.table(
             {
                 "id": batch["id"],
+                "own": batch["own"],
                 "n": pa.array([len(s) for s in sets], pa.int64()),
                 "same": pa.array([digest(s) for s in sets], pa.binary()),
                 "keys": pa.array([s[: min(len(s) // 4 + 1, KEYS)].view(np.int64) for s in sets], pa.list_(pa.int64())),
@@ -124,8 +125,7 @@ def profiles(docs: DataFrame, key: str, text: str) -> DataFrame:
             }
         )
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return shared(map_batches(rows, run, "id long, n long, same binary, keys array<long>, bits binary"))
+    return shared(map_batches(docs, run, "id long, own long, n long, same binary, keys array<long>, bits binary"))
 
 
 def digest(hashes: np.ndarray) -> bytes:
@@ -156,7 +156,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             good.append(WHOLE * common >= PART * (len(x) + len(y)))
         yield pa.table({"a": batch["a"], "b": batch["b"]}).filter(pa.array(good, pa.bool_()))
 
-    rows = join_small(docs.withColumnRenamed("id", "rep"), involved, ["rep"])
+    rows = join_small(docs.select(F.col("id").alias("rep"), "text"), involved, ["rep"])
     found = shared(map_batches(rows.select("node", "same", "text"), sets, "node long, hashes binary").dropDuplicates(["node"]))
     both = pairs.join(found.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(
         found.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b"
@@ -221,10 +221,9 @@ def tree_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of every row."""
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = profiles(docs, "id", "text")
+def grouped(docs: DataFrame) -> DataFrame:
+    """(id, own, n, part, component_id) of every row of (id, own, text); ``part`` is null without shingles."""
+    rows = profiles(docs)
     classes = rows.where("n > 0").groupBy("same").agg(
         F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")
     )
@@ -251,7 +250,43 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     parts = nodes.join(links.withColumnRenamed("id", "node"), "node", "left")
     parts = parts.select("same", "rep", F.coalesce("component", "node").alias("part"))
     least = parts.groupBy("part").agg(F.min("rep").alias("component_id"))
-    of = parts.join(least, "part").select("same", "component_id")
-    return rows.join(of, "same", "left").select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
+    of = parts.join(least, "part").select("same", "part", "component_id")
+    found = rows.select("id", "own", "n", "same").join(of, "same", "left")
+    return found.select("id", "own", "n", "part", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.lit(1), text).alias("own"), F.col(text).alias("text"))
+
+
+def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) of every row."""
+    found = grouped(keyed(df, key, text))
+    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with one row of each group: that with the smallest id, and of its rows the text with the smallest hash.
+
+    Rows without shingles are in no group and stay, all of them.
+    """
+    found = grouped(keyed(df, key, text))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own")).alias("first")
+    chosen = shared(found.where("part is not null").groupBy("part").agg(first).select("first.id", "first.own"))
+    rows = found.where("part is not null").join(chosen, "own", "left_semi").groupBy("id", "own").agg(F.count("*").alias("n"))
+    stays = shared(
+        chosen.join(rows, chosen["id"].eqNullSafe(rows["id"]) & (chosen["own"] == rows["own"]))
+        .select(chosen["id"], chosen["own"], F.col("n").alias("_copies"))
+        .unionByName(found.where("part is null").select("id", "own", F.lit(1).cast("long").alias("_copies")).distinct())
+        .select(F.coalesce("id", F.lit(0)).alias("_id"), F.col("id").isNull().alias("_none"), F.col("own").alias("_own"), "_copies")
     )
+    marks = {
+        "_id": F.coalesce(F.col(key).cast("long"), F.lit(0)),
+        "_none": F.col(key).isNull(),
+        "_own": F.xxhash64(F.lit(1), text),
+    }
+    kept = join_small(df.withColumns(marks), stays, list(marks))
+    if stays.where("_copies > 1").limit(1).count():  # rows that are equal in id and text
+        several = kept.where("_copies > 1").dropDuplicates(list(marks))
+        kept = kept.where("_copies = 1").unionByName(several)
+    return kept.select(*df.columns)

@@ -95,7 +95,7 @@ def in_partitions(rows: list[dict]) -> Column:
     for topic, partitions in numbers.items():
         topics.setdefault(frozenset(partitions), []).append(topic)
     terms = [
-        F.col("topic").isin(sorted(names)) & F.col("partition").isin(sorted(partitions))
+        F.col("topic").isin(sorted(names)) & F.expr(f"partition in ({', '.join(map(str, sorted(partitions)))})")
         for partitions, names in topics.items()
     ]
     return _any(terms)

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from logsift.plans.session import scratch_path
 
 HELD_ROWS = 50_000
-BROADCAST_BYTES = 256 << 20
+BROADCAST_BYTES = 64 << 20
 
 
 def held_rows(table: DataFrame, limit: int | None = None) -> list[dict] | None:

@@ -52,7 +52,7 @@ def stored_logs(spark, tmp_path_factory):
     paths = {}
     for apart in (False, True):
         paths[apart] = str(tmp_path_factory.mktemp("logs") / f"apart-{apart}")
-        logsift.write_log(log_of(spark, 1000, 200, apart), paths[apart], tasks=8, records_per_file=50)
+        logsift.write_log(log_of(spark, 1000, 100, apart), paths[apart], tasks=8, records_per_file=50)
     return paths
 
 
@@ -72,27 +72,28 @@ def test_a_tail_scan_reads_as_little_when_offset_spaces_differ(spark, stored_log
 def test_exact_partitions_of_a_stored_log(spark, stored_logs):
     path = stored_logs[False]
     log = logsift.read_log(spark, path, SCHEMA)
-    cursors = spark.createDataFrame([("t 0", 0, 0, 200, 0), ("t 1", 8, 0, 200, 0)], CURSORS)
+    cursors = spark.createDataFrame([("t 0", 0, 0, 100, 0), ("t 1", 8, 0, 100, 0)], CURSORS)
     found = in_range(log, cursors)
-    assert rows_scanned(found) == 400 == found.count()
+    assert rows_scanned(found) == 200 == found.count()
     pairs = [{"topic": f"t {i % 7}", "partition": i} for i in range(1000)]
-    assert log.where(in_partitions(pairs)).count() == 200_000
+    assert log.where(in_partitions(pairs)).count() == 100_000
     assert log.where(in_partitions([])).count() == 0
 
 
 @pytest.mark.parametrize("held", [50_000, 10])
-def test_results_are_the_same_above_the_held_size(spark, stored_logs, monkeypatch, held):
+def test_results_are_the_same_above_the_held_size(spark, tmp_path, monkeypatch, held):
     monkeypatch.setattr(sizing, "HELD_ROWS", held)
-    path = stored_logs[True]
+    path = str(tmp_path / "log")
+    logsift.write_log(log_of(spark, 60, 60, True), path, tasks=4, records_per_file=30)
     cursors = logsift.stored_offsets(spark, path, SCHEMA)
     for log in (logsift.read_log(spark, path, SCHEMA), logsift.stored_log(spark, path, SCHEMA)):
         found = logsift.search_topic(log, "v17", cursors, step=20)
         got = found.select("partition", (F.col("offset") - F.col("start")).alias("k"))
-        assert sorted(map(tuple, got.collect())) == [(p, 17) for p in range(1000)]
+        assert sorted(map(tuple, got.collect())) == [(p, 17) for p in range(60)]
     page = logsift.page_messages(logsift.stored_log(spark, path, SCHEMA), cursors, 1, 3, step=10)
-    assert page.count() == 3000
+    assert page.count() == 180
     wanted = cursors.select("topic", "partition", (F.col("start") + 5).alias("offset"))
-    assert logsift.lookup(logsift.stored_log(spark, path, SCHEMA), wanted).count() == 1000
+    assert logsift.lookup(logsift.stored_log(spark, path, SCHEMA), wanted).count() == 60
 
 
 def test_sixty_thousand_cursors(spark):
@@ -117,7 +118,7 @@ def test_manifest_follows_appends(spark, make_log, tmp_path):
         logsift.stored_log(spark, str(tmp_path / "none"))
 
 
-@pytest.mark.parametrize("n", [1, 5, 1000, 1001, 5000, 70_000, 10**6])
+@pytest.mark.parametrize("n", [5, 1000, 1001, 70_000, 5_000_000])
 def test_first_n_of_a_hot_partition(spark, n):
     log = spark.range(150_000).select(
         F.lit("t").alias("topic"), F.when(F.col("id") % 50 == 0, 1).otherwise(0).alias("partition"),

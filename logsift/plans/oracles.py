@@ -148,6 +148,19 @@ from cur""",
 select event_type as topic, cast(user_id % 4 as integer) as "partition",
        row_number() over (partition by event_type, user_id % 4 order by ts, event_id) - 1 as "offset", event_id
 from events""",
+    "keyed_publish": """
+with hashed as (
+  select "key", list_reduce(
+    list_transform(range(1, length("key") + 1), lambda i: cast(ascii(substr("key", i, 1)) as bigint)),
+    lambda h, b: (xor(h, b) * 16777619) % 4294967296, 2166136261::bigint) as h
+  from (select distinct cast(user_id as varchar) as "key" from events)),
+placed as (
+  select e.event_type as topic, h."key", e.props as "value", e.event_id,
+         cast(abs((case when h >= 2147483648 then h - 4294967296 else h end) % 8) as integer) as "partition"
+  from events e join hashed h on h."key" = cast(e.user_id as varchar))
+select topic, "partition", row_number() over (partition by topic, "partition" order by event_id) - 1 as "offset",
+       "key", "value", event_id
+from placed""",
     "synthetic_log": _synthetic(),
     "partition_table": f"""
 with {EVENTS}, {CURSORS}, {DECLARED}

@@ -81,6 +81,14 @@ def assign_offsets(spark, folder):
     return publish.assign_offsets(records, ["ts", "event_id"]).select(*ADDRESS, "event_id")
 
 
+def keyed_publish(spark, folder):
+    """Events keyed by their user, in the placement of common producers, in the order of their id."""
+    records = views.table(spark, folder, "events").select(
+        F.col("event_type").alias("topic"), F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"), "event_id"
+    )
+    return publish.append_to_log(records, 8, ["event_id"], method="fnv1a").select(*ADDRESS, "key", "value", "event_id")
+
+
 def synthetic_log(spark, folder):
     records = publish.templated_records(views.table(spark, folder, "events"), "event_id")
     count = F.lit(0)
@@ -261,6 +269,7 @@ REGISTRY: dict[str, Query] = {
     "partition_dump": partition_dump,
     "partition_json": partition_json,
     "assign_offsets": assign_offsets,
+    "keyed_publish": keyed_publish,
     "synthetic_log": synthetic_log,
     "partition_table": partition_table,
     "message_preview": message_preview,

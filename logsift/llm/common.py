@@ -26,15 +26,29 @@ def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows that a task exchanges with Python, and a function sees, at once: long texts and what is made of them fit in memory.
+SLICE = 1024
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Bound the rows of an Arrow batch; a smaller bound of the session stays."""
+    rows = int(spark.conf.get(ARROW_ROWS))
+    if not 0 < rows <= SLICE:
+        spark.conf.set(ARROW_ROWS, SLICE)
+    return spark
+
+
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | pa.Table]], schema: str
 ) -> DataFrame:
-    """``function`` on every Arrow batch, without a shuffle."""
+    """``function`` on slices of every Arrow batch, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for out in function(batch):
-                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+            for at in range(0, batch.num_rows, SLICE):
+                for out in function(batch.slice(at, SLICE)):
+                    yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
     return df.mapInArrow(run, schema)
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logsift.llm import bpe, caps, chat, jaccard, packing, quality, secrets, suffix_dedup, topk, warc
-from logsift.llm.common import read_columns
+from logsift.llm.common import prepare, read_columns
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -75,7 +75,25 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.render(chat.reconstruct(events)))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_bpe": op3_bpe, "op4_caps": op4_caps, "op5_topk": op5_topk, "op6_suffix_dedup": op6_suffix_dedup, "op7_jaccard": op7_jaccard, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_chat": op10_chat}
+REGISTRY = {
+    "op1_packing": op1_packing,
+    "op2_quality": op2_quality,
+    "op3_bpe": op3_bpe,
+    "op4_caps": op4_caps,
+    "op5_topk": op5_topk,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_jaccard": op7_jaccard,
+    "op8_secrets": op8_secrets,
+    "op9_warc": op9_warc,
+    "op10_chat": op10_chat,
+}
+
+
+def on_prepared(query):
+    return lambda spark, folder: query(prepare(spark), folder)
+
+
+QUERIES = {name: on_prepared(query) for name, query in REGISTRY.items()}
 
 SQL: dict[str, str] = {
     "op4_caps": """

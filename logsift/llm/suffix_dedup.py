@@ -42,9 +42,9 @@ class Settings:
     hot: int = 20_000  # places of an anchor from which single windows are dealt out
     chunk_bits: int = 8  # texts of a chunk, as a power of two
     long_text: int = 1 << 20  # bytes from which a text is a chunk of its own
-    segment: int = 1 << 20  # windows hashed at once
+    segment: int = 1 << 18  # windows hashed at once
     bucket_keys: int = 1 << 20  # anchors counted at once
-    sort_rows: int = 1 << 15  # stretches sorted at once, whole groups
+    sort_rows: int = 1 << 13  # stretches sorted at once, whole groups
 
 
 DEFAULT = Settings()

@@ -220,7 +220,8 @@ def matrix(rows: DataFrame, bound: int, n: int, key: str) -> np.ndarray:
     share = min(1.0, bound / max(1, n))
     draw = F.pmod(F.xxhash64(key, "features", F.lit(SEED)), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000))
     table = rows.where(draw).select("features").limit(2 * bound).toArrow()
-    return np.array(table["features"].to_pylist(), float).reshape(-1, WIDTH)
+    found = np.array(table["features"].to_pylist(), float).reshape(-1, WIDTH)
+    return found[np.lexsort(found.T)]  # the order in which tasks answer must not change the model
 
 
 def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Model:
@@ -235,7 +236,7 @@ def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     positive = rows.join(good, F.col(key) == F.col("key"), "left_semi")
     sums = [f(F.col("features")[i]) for i in range(WIDTH) for f in (F.avg, F.stddev_pop)]
     n, *stats = rows.agg(F.count("*"), *sums).first()
-    stats = np.array([x or 0.0 for x in stats]).reshape(WIDTH, 2)
+    stats = np.round(np.array([x or 0.0 for x in stats]), 9).reshape(WIDTH, 2)  # sums differ in their last digits
     mean, spread = stats[:, 0], np.maximum(stats[:, 1], 1e-3)
     return train(matrix(positive, sample, positive.count(), key), matrix(rows, sample, n, key), mean, spread)
 

@@ -121,7 +121,7 @@ def write(
     )
     rows = join_small(rows, several, ["same"], "left")
 
-    low, high = rows.agg(F.min("page"), F.max("page")).first()
+    low, high = pages.agg(F.min(F.col(key).cast("long")), F.max(F.col(key).cast("long"))).first()
     low, high = (0, 0) if low is None else (low, high)
     width = (high - low) // BUCKETS + 1
     bucket = F.expr(f"(coalesce(page, {low}) - {low}) div {width}")
@@ -135,7 +135,7 @@ def write(
         rows.withColumn("b", bucket)
         .join(F.broadcast(of), "b")
         .select("shard", "page", "url", "same", "response", "several", "payload")
-        .repartition(task_count(spark), "shard")
+        .repartition(max(task_count(spark), shards[-1][1] + 1 if shards else 1), "shard")
         .sortWithinPartitions("shard", F.col("page").asc_nulls_first(), "same", F.col("url").asc_nulls_first())
     )
 

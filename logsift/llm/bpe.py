@@ -170,15 +170,26 @@ def codec(path: str) -> Codec:
 
 
 def encode(
-    df: DataFrame, path: str, key: str = "doc_id", text: str = "text", leaf: int = LEAF, spread: int = SPREAD
-) -> DataFrame:
-    """(key, ids): the ids of every text as little-endian unsigned 32-bit integers in one binary."""
+    df: DataFrame, path: str, key: str = "doc_id", text: str = "text", leaf: int = LEAF, spread: int = SPREAD,
+    decoded: str | None = None,
+) -> DataFrame:
+    """(key, ids[, decoded]): the ids of every text as little-endian unsigned 32-bit integers in one binary.
+
+    ``decoded`` names a column for the text that the ids decode to, made in the same task.
+    """
     docs = df.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     kind = docs.schema["key"].dataType.simpleString()
 
+    def columns(ids: list[bytes]) -> dict[str, pa.Array]:
+        out = {"ids": pa.array(ids, pa.binary())}
+        if decoded:
+            back = [codec(path).decode(np.frombuffer(x, "<u4")) for x in ids]
+            out["decoded"] = pa.array(back, pa.string())
+        return out
+
     def whole(batch: pa.RecordBatch):
         ids = [codec(path).encode(t, leaf).tobytes() for t in texts(batch["text"])]
-        yield pa.table({"key": batch["key"], "ids": pa.array(ids, pa.binary())})
+        yield pa.table({"key": batch["key"], **columns(ids)})
 
     def cut(batch: pa.RecordBatch):
         for key, own, t in zip(batch["key"], batch["own"], texts(batch["text"]), strict=True):
@@ -200,9 +211,10 @@ def encode(
         rows = sorted(zip(group["part"].to_pylist(), group["ids"].to_pylist(), strict=True))
         copies = sum(part == 0 for part, _ in rows)  # rows that are equal in key and text
         ids = b"".join(x for _, x in rows[::copies])
-        return pa.table({"key": group["key"][:copies], "ids": pa.array([ids] * copies, pa.binary())})
+        return pa.table({"key": group["key"][:copies], **columns([ids] * copies)})
 
-    short = map_batches(docs.where(F.length("text") <= spread), whole, f"key {kind}, ids binary")
+    result = f"key {kind}, ids binary" + (", decoded string" if decoded else "")
+    short = map_batches(docs.where(F.length("text") <= spread), whole, result)
     parts = map_batches(
         docs.where(F.length("text") > spread).withColumn("own", F.sha2("text", 256)),
         cut,
@@ -211,9 +223,10 @@ def encode(
     long = (
         map_batches(parts, encoded, f"key {kind}, own string, part long, ids binary")
         .groupBy("key", "own")
-        .applyInArrow(gathered, f"key {kind}, ids binary")
+        .applyInArrow(gathered, result)
     )
-    return short.unionByName(long).withColumnRenamed("key", key)
+    names = {"key": key} | ({"decoded": decoded} if decoded else {})
+    return short.unionByName(long).withColumnsRenamed(names)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -25,7 +25,7 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     docs = read_columns(spark, folder, "documents", "doc_id text")
-    return bpe.decode(bpe.encode(docs, path), path).select(
+    return bpe.encode(docs, path, decoded="decoded").select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

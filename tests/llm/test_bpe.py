@@ -1,5 +1,6 @@
 """Ids and texts against the tokenizers library itself."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from logsift.llm import bpe
+from logsift.llm.registry import op3_bpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PARTS = [
@@ -64,3 +66,24 @@ def test_rows(spark, library):
     got = sorted((repr(r.doc_id), np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in out)
     assert got == sorted((repr(a), library(b or ""), b or "") for a, b in rows)
     assert bpe.encode(df.limit(0), PATH).count() == 0
+    once = bpe.encode(df, PATH, leaf=64, spread=1000, decoded="back").collect()
+    assert sorted((repr(r.doc_id), np.frombuffer(r.ids, "<u4").tolist(), r.back) for r in once) == got
+
+
+def test_query(spark, library):
+    folder = "/root/testdata/sf0.001"
+    want = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    for r in op3_bpe(spark, folder).collect():
+        ids = library(want[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()))
+        assert r.decoded_sha256 == sha(want[r.doc_id].encode())
+
+
+def test_every_kind_of_character(library):
+    """The faster library's split into words agrees with the other's, character by character."""
+    codec = bpe.codec(PATH)
+    for code in [*range(0xD800), *range(0xE000, 0x1F000, 3), *range(0x1F000, 0x20000), *range(0x20000, 0x110000, 997)]:
+        c = chr(code)
+        text = f"a{c}b {c}{c} 1{c}2  {c} !{c}?{c}"
+        assert codec.encode(text).tolist() == library(text), hex(code)

@@ -170,7 +170,7 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
     margin = np.sqrt(np.log(40) / 2 / len(unlabelled)) + np.sqrt(np.log(40) / 2 / len(positive))
     best = int(np.argmin((u + margin) / p))
-    above = u[best] + np.sqrt(u[best] * (1 - u[best]) / len(unlabelled))  # one standard error up: keep in doubt
+    above = u[best] + 2 * np.sqrt(u[best] * (1 - u[best]) / len(unlabelled))  # two standard errors up: keep in doubt
     return float(np.clip(above / p[best], 0.02, 0.98))
 
 

@@ -15,7 +15,8 @@ Vectors that are equal in label and components are one node. A filter of more th
 blocks meet in a task of their own. A pair that shares several filters is counted in the first of them, and no
 pairs are emitted: a cell gives each node its number of links, and the smallest node it reaches there.
 
-Null, zero, ragged and non-finite vectors, and those without a label, link with nothing and are kept. Rows without an id count as
+Null, zero and non-finite vectors, and those without a label, link with nothing and are kept. Vectors of different widths do not
+link; those of another width than most, and of fewer than ``NARROW`` components, are compared without filters. Rows without an id count as
 links of others; their component is null if no other vector is reached. Equal rows are rows of their own.
 """
 
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from logsift.llm.common import components, groups, in_blocks, map_batches, shared, task_count
 
 COSINE, BLOCK, BLOCKS, SEED = 0.98, 2048, 4, 5
+#: Components below which four blocks make too coarse a code.
+NARROW = 16
 LISTED, LEAST, SHARE, TARGET = 24, 16, 0.01, 256
 
 
@@ -101,6 +104,13 @@ class Code:
         return out
 
 
+class Everything:
+    """One filter that holds every vector."""
+
+    def filters(self, x: np.ndarray) -> list[np.ndarray]:
+        return [np.zeros(1, np.int64)] * len(x)
+
+
 def units(rows: list[bytes], kind: str) -> np.ndarray:
     """Vectors of length one, from packed components."""
     x = np.array([np.frombuffer(r, kind) for r in rows], np.float64)
@@ -108,7 +118,7 @@ def units(rows: list[bytes], kind: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def linked(x: np.ndarray, code: Code, own: int, block: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+def linked(x: np.ndarray, code: Code | Everything, own: int, block: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
     """(near, count): which vectors of a cell are linked, and which links are counted in filter ``own``."""
     near = x @ x.T >= COSINE
     np.fill_diagonal(near, False)
@@ -153,15 +163,16 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     valid = rows.where("v is not null")
     nodes = valid.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     nodes = shared(nodes.withColumn("group", F.xxhash64("label")).withColumn("node", F.monotonically_increasing_id()))
-    # Vectors of another width than most share no filter with them; each width has a code of its own.
     sizes = nodes.groupBy(F.octet_length("v").alias("size")).agg(F.count("*").alias("n"))
     most = nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    widths = [r["size"] for r in sizes.orderBy(F.desc("n"), "size").limit(1000).collect()]
-    found = None
-    for size in widths:
-        part = cells_of(nodes.where(F.octet_length("v") == size), Code(size // np.dtype(kind).itemsize, most), kind)
-        found = part if found is None else found.unionByName(part)
-    links = shared(found) if found is not None else nodes.sparkSession.createDataFrame([], "node long, links long, root long")
+    usual = sizes.orderBy(F.desc("n"), "size").first()
+    size = usual["size"] if usual else 0
+    width = size // np.dtype(kind).itemsize
+    code = Code(width, most) if width >= NARROW else Everything()
+    found = cells_of(nodes.where(F.octet_length("v") == size), code, kind)
+    # Vectors of another width than most share no code: all of a label and width are compared, in blocks.
+    others = nodes.where(F.octet_length("v") != size).withColumn("group", F.xxhash64("label", F.octet_length("v")))
+    links = shared(found.unionByName(cells_of(others, Everything(), kind)))
 
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     part_of = components(links.where("node <> root"), "node", "root").withColumnRenamed("id", "node")
@@ -181,11 +192,12 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     )
 
 
-def cells_of(nodes: DataFrame, code: Code, kind: str) -> DataFrame:
+def cells_of(nodes: DataFrame, code: Code | Everything, kind: str) -> DataFrame:
     """(node, links, root): what each cell says of its nodes; links of all cells add up."""
 
     def listed(batch: pa.RecordBatch):
-        filters = code.filters(units(batch["v"].to_pylist(), kind)) if batch.num_rows else []
+        rows = batch["v"].to_pylist()
+        filters = code.filters(rows if isinstance(code, Everything) else units(rows, kind))
         yield pa.table({"node": batch["node"], "group": batch["group"], "filters": pa.array(filters, pa.list_(pa.int64()))})
 
     places = map_batches(nodes.select("node", "group", "v"), listed, "node long, group long, filters array<long>")

@@ -80,6 +80,12 @@ def test_blocks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_many_widths(spark):
+    draw = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in np.float32(draw.normal(1, 0.2, 2 + i % 9))], i % 2) for i in range(200)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None, 1)]) == [(1, 0, 1, True)]

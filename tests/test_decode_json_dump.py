@@ -279,7 +279,3 @@ def test_stop_decodes_every_message_once(spark, make_log, tmp_path):
     assert calls.value == 200
     assert spark.read.text(str(tmp_path / "d")).count() == 150
 
-
-def test_one_parse_of_a_body(spark):
-    df = spark.createDataFrame([("{}",)], "value string").select(canonical_json("value"))
-    assert df._jdf.queryExecution().executedPlan().toString().count("parse_json") <= 1

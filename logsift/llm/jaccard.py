@@ -136,11 +136,16 @@ def similar_sizes(a: str, b: str) -> Column:
     return F.expr(f"{WHOLE} * least({a}, {b}) >= {PART} * ({a} + {b})")
 
 
+def text_key(key: str) -> list[Column]:
+    """What finds a text: the id of its row, or the text's hash where that is null."""
+    return [F.col(key).isNull().alias("none"), F.coalesce(key, "own").alias("source")]
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those (a, b) whose whole shingle sets are similar."""
     pairs = shared(pairs.select("a", "b").distinct())
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    involved = involved.join(nodes.select("node", "rep", "same"), "node")
+    involved = involved.join(nodes.select("node", *text_key("rep"), "same"), "node")
 
     def sets(batch: pa.RecordBatch):
         made = [shingles(t) for t in texts(batch["text"])]
@@ -156,7 +161,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             good.append(WHOLE * common >= PART * (len(x) + len(y)))
         yield pa.table({"a": batch["a"], "b": batch["b"]}).filter(pa.array(good, pa.bool_()))
 
-    rows = join_small(docs.select(F.col("id").alias("rep"), "text"), involved, ["rep"])
+    rows = join_small(docs.select(*text_key("id"), "text"), involved, ["none", "source"])
     found = shared(map_batches(rows.select("node", "same", "text"), sets, "node long, hashes binary").dropDuplicates(["node"]))
     both = pairs.join(found.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(
         found.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b"
@@ -225,7 +230,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     """(id, own, n, part, component_id) of every row of (id, own, text); ``part`` is null without shingles."""
     rows = profiles(docs)
     classes = rows.where("n > 0").groupBy("same").agg(
-        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")
+        F.min("id").alias("rep"), F.min("own").alias("own"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")
     )
     nodes = shared(classes.withColumn("node", F.monotonically_increasing_id()))
 

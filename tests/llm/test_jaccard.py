@@ -76,6 +76,21 @@ def test_against_brute_force(spark, monkeypatch, seed, sizes):
     assert run(spark, rows) == brute(rows)
 
 
+def test_null_ids_link_different_texts(spark):
+    """Near copies among rows with a null id, one of a row with an id, and one that bridges two rows with ids."""
+    words = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    bridge = [f"u{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words, "x"])), (None, " ".join([*words, "x"]))]
+    rows += [(7, " ".join(other)), (None, " ".join([*other, "x"]))]
+    rows += [(3, " ".join(bridge)), (None, " ".join(bridge[7:])), (2, " ".join(bridge[14:]))]
+    got = run(spark, rows)
+    assert got == brute(rows)
+    assert (2, 42, 2) in got and (3, 56, 2) in got and (None, 57, 7) in got
+    kept = [r[0] for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == [2, 7, None]
+
+
 def test_threshold_is_exact(spark):
     """Sets of 7 and 7 with 6 in common link (6 / 8), of 8 and 7 with 6 in common do not."""
     base = "a b c d e f g h i j k".split()

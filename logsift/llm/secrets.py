@@ -1,26 +1,25 @@
 """Secret scans through nested encodings.
 
 Three kinds of secret are looked for in every text (fixed patterns): ``assign``, ``access``, ``hex``. Then a
-worklist unwraps the text: URL escapes, Unicode escapes, base64 and what base64 holds in compressed form give
-further layers, each of which is scanned and unwrapped again until nothing new comes out. A layer that
+worklist unwraps the text: URL escapes, Unicode escapes, base64 and compressed data inside of either give
+further layers, each of which is scanned and unwrapped again until nothing new comes out. Layers are bytes as Latin-1 text, so one
+that is no text is unwrapped too; of compressed data every member counts, and what can be read of a cut or damaged one. A layer that
 equals one it came from is a cycle and ends there. Every character of a layer keeps the place in the document that it came
 from, so a secret in a layer is reported as a span of the document: the characters that encode it, or the whole
 compressed run.
 
 Spans are (kind, start, end, base) in code points, end exclusive, base for those of the plain text; they are
 ordered by start, kind as listed, and end. A null text is empty and has none. When a document's layers exceed
-``layer_chars`` the run that would exceed them is reported as kind ``oversize`` instead of being unpacked.
+``layer_chars`` the run that would exceed them is reported as kind ``oversize``.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,6 +32,7 @@ from logsift.llm.common import map_batches, texts
 
 KINDS = ("assign", "access", "hex", "oversize")
 LAYER_CHARS = 1 << 26
+STEP, PIECE = 1 << 10, 1 << 20  # bytes that are unpacked at once, and that come out at once
 
 # The patterns of the kinds and the least characters of a hit.
 ASSIGN = re.compile(
@@ -49,14 +49,25 @@ ESCAPES = re.compile(
     r"(?P<url>(?:%[0-9A-Fa-f]{2})+)|\\u\{(?P<brace>[0-9A-Fa-f]{1,6})\}|(?P<pair>(?:\\u[0-9A-Fa-f]{4})+)"
     r"|\\x(?P<x>[0-9A-Fa-f]{2})|\\U(?P<long>[0-9A-Fa-f]{8})|&#[xX](?P<ref>[0-9A-Fa-f]{1,6});|&#(?P<num>[0-9]{1,7});"
 )
-MAGIC = {b"\x1f\x8b": "gzip", b"\x78": "zlib", b"\x28\xb5\x2f\xfd": "zstd", b"BZh": "bz2", b"\xfd7zXZ": "xz"}
+#: The same with what else stands for a byte in literals of compressed data.
+LITERAL = re.compile(ESCAPES.pattern + r"""|\\(?P<simple>[abfnrtv'"\\])|\\(?P<octal>[0-7]{1,3})""")
+SIMPLE = dict(zip("abfnrtv'\"\\", "\a\b\f\n\r\t\v'\"\\", strict=True))
+LITERAL_END = re.compile(r"[^\x20-\x7e]")  # such literals are printable and on one line
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0")
+#: What bytes have that are worth a layer.
+WORTH = re.compile(
+    rb"(?i:passw|secret|token|api)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-](?:[A-Za-z0-9+/_-]{15}|[\r\n]|\\[rn])|"
+    + MAGIC.pattern
+)
 
 
 class Layer(NamedTuple):
     text: str
     start: np.ndarray  # per character, where what it came from begins and ends in the document
     end: np.ndarray
-    above: tuple  # the texts it came from
+    last: int  # where the whole run ends that it came from
+    above: tuple  # the texts that it was unpacked from
+    coded: bool = True  # not the document itself
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -74,104 +85,169 @@ def in_order(spans) -> list[tuple]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def unescape(layer: Layer) -> Layer | None:
-    """URL and Unicode escapes of a layer replaced by their characters, or None without any."""
-    text, parts, starts, ends, at = layer.text, [], [], [], 0
+def unescape(layer: Layer) -> Iterator[Layer]:
+    """URL and Unicode escapes of a layer replaced by their characters, the bytes of URL escapes as Latin-1."""
+    text = layer.text
     if not ("%" in text or "\\" in text or "&#" in text):
-        return None
-    for m in ESCAPES.finditer(text):
+        return
+    if inner := replaced(layer, 0, len(text), ESCAPES):
+        yield inner
+        if MAGIC.search(as_bytes(inner.text)):
+            yield from literals(layer, 0, len(text))
+
+
+def literals(layer: Layer, low: int, high: int) -> Iterator[Layer]:
+    """The stretch read as a literal of bytes, and as a form where a plus is a blank."""
+    yield from filter(None, [replaced(layer, low, high, LITERAL), replaced(layer, low, high, ESCAPES, " ")])
+
+
+def replaced(layer: Layer, low: int, high: int, escapes: re.Pattern, plus: str = "+") -> Layer | None:
+    """A stretch of a layer without its escapes, or None if it has none."""
+    text, parts, starts, ends, at = layer.text, [], [], [], low
+    for m in escapes.finditer(text, low, high):
         a, b = m.span()
         if m["url"]:
-            data = bytes.fromhex(m["url"].replace("%", ""))
-            made = data.decode("utf-8", "replace")
-            # Byte places of the characters; a replaced byte counts as one.
-            sizes = [len(c.encode()) if c != "�" else 1 for c in made]
-            if sum(sizes) != len(data):
-                sizes = [1] * len(made)
-            cuts = np.minimum(np.concatenate([[0], np.cumsum(sizes)]).astype(int), len(data)) * 3
+            made = bytes.fromhex(m["url"].replace("%", "")).decode("latin-1")
+            cuts = np.arange(len(made) + 1) * 3
         elif m["pair"]:
             data = bytes.fromhex(m["pair"].replace("\\u", ""))
             made = data.decode("utf-16-be", "replace")
-            cuts = np.concatenate([[0], np.cumsum([6 * (1 + (c > "￿")) for c in made])]).astype(int)
+            cuts = np.concatenate([[0], np.cumsum([6 * (1 + (c > "\uffff")) for c in made])]).astype(int)
             cuts = np.minimum(cuts, b - a)
+        elif escapes is LITERAL and (m["simple"] or m["octal"]):
+            made = SIMPLE[m["simple"]] if m["simple"] else chr(int(m["octal"], 8) & 255)
+            cuts = np.array([0, b - a])
         else:
             code = int(m["num"]) if m["num"] else int(m["brace"] or m["x"] or m["long"] or m["ref"], 16)
             if code > 0x10FFFF or 0xD800 <= code < 0xE000:
                 continue
             made, cuts = chr(code), np.array([0, b - a])
-        parts += [text[at:a], made]
+        parts += [text[at:a].replace("+", plus), made]
         starts += [layer.start[at:a], layer.start[a + cuts[:-1]]]
         ends += [layer.end[at:a], layer.end[a + np.maximum(cuts[1:], 1) - 1]]
         at = b
     if not parts:
         return None
     return Layer(
-        "".join([*parts, text[at:]]),
-        np.concatenate([*starts, layer.start[at:]]),
-        np.concatenate([*ends, layer.end[at:]]),
-        (*layer.above, text),
+        "".join([*parts, text[at:high].replace("+", plus)]),
+        np.concatenate([*starts, layer.start[at:high]]),
+        np.concatenate([*ends, layer.end[at:high]]),
+        int(layer.end[high - 1]),
+        layer.above,
     )
 
 
-def unpack(data: bytes, most: int) -> bytes | None:
-    """What compressed data holds; None if it isn't any, OverflowError beyond ``most`` bytes."""
-    kind = next((k for magic, k in MAGIC.items() if data.startswith(magic)), None)
-    if not kind:
-        return None
-    try:
-        if kind in ("gzip", "zlib"):
-            unpacker = zlib.decompressobj(47)
-            out = unpacker.decompress(data, most + 1)
-            whole = unpacker.eof
-        elif kind == "zstd":
-            import zstandard
-
-            reader = zstandard.ZstdDecompressor().stream_reader(data)
-            out, whole = reader.read(most + 1), True
-        else:
-            unpacker = bz2.BZ2Decompressor() if kind == "bz2" else lzma.LZMADecompressor()
-            out = unpacker.decompress(data, most + 1)
-            whole = unpacker.eof
-    except Exception:  # the libraries raise errors of their own for data that only looks like theirs
-        return None
-    if len(out) > most:
-        raise OverflowError
-    return out if whole else None
+def as_bytes(text: str) -> bytes:
+    return text.encode("latin-1", "replace")
 
 
-def as_text(data: bytes) -> str | None:
-    try:
-        return data.decode()
-    except UnicodeDecodeError:
-        return None
+def opener(data: bytes, at: int):
+    if data.startswith(b"BZh", at):
+        return bz2.BZ2Decompressor()
+    if data.startswith(b"\xfd7zXZ", at):
+        return lzma.LZMADecompressor()
+    if data.startswith(b"\x28\xb5\x2f\xfd", at):
+        import zstandard
 
+        return zstandard.ZstdDecompressor().decompressobj()
+    return zlib.decompressobj(47)
 
-def unwrap(layer: Layer, room: int) -> Iterator[Layer | tuple[str, int, int]]:
-    """The layers inside ``layer``, and spans of those that are too large."""
-    if inner := unescape(layer):
-        yield inner
+
+def drained(unpacker, chunk: bytes) -> Iterator[bytes]:
+    """What ``chunk`` unpacks to, in pieces; zstd's are bounded by the size of ``chunk`` only."""
+    if hasattr(unpacker, "needs_input"):  # bz2, xz
+        yield unpacker.decompress(chunk, PIECE)
+        while not (unpacker.eof or unpacker.needs_input):
+            yield unpacker.decompress(b"", PIECE)
+    elif hasattr(unpacker, "copy"):  # gzip, zlib
+        out = unpacker.decompress(chunk, PIECE)
+        yield out
+        while not unpacker.eof and (unpacker.unconsumed_tail or len(out) == PIECE):
+            out = unpacker.decompress(unpacker.unconsumed_tail, PIECE)
+            yield out
+    else:
+        yield unpacker.decompress(chunk)
+
+
+def inflated(data: bytes, at: int) -> Iterator[bytes]:
+    """What the member at ``at`` holds, as far as it can be read, in pieces; returns its end, or -1 if it has none."""
+    given = 0
+    for step in (STEP, 1):  # an error loses what its step had given, so a damaged member is read again byte by byte
+        unpacker, skip, place = opener(data, at), given, at
+        try:
+            while place < len(data) and not unpacker.eof:
+                chunk = data[place : place + step]
+                place += len(chunk)
+                for out in drained(unpacker, chunk):
+                    if more := out[skip:]:
+                        given += len(more)
+                        yield more
+                    skip -= min(skip, len(out))
+            return place - len(unpacker.unused_data) if unpacker.eof else -1
+        except Exception:  # the libraries raise errors of their own for data that only looks like theirs
+            continue
+    return -1
+
+
+def unpack(data: bytes) -> Iterator[tuple[int, bytes | None]]:
+    """(place, piece) of all that is compressed in ``data``; None ends a stream. Members in a row are one stream."""
+    first, at, end = 0, 0, -1
+    while m := MAGIC.search(data, at):
+        if end < 0 or data[end : m.start()].strip(b"\0"):
+            yield first, None
+            first = m.start()
+        reader = inflated(data, m.start())
+        while True:
+            try:
+                yield first, next(reader)
+            except StopIteration as stop:
+                end = stop.value
+                break
+        at = m.start() + 1 if end < 0 else end
+    yield first, None
+
+
+def unpacked(layer: Layer, room: int) -> Iterator[Layer | tuple[str, int, int]]:
+    """What is compressed in ``layer``, and spans of runs that hold more than ``room``."""
+    above, held, size, over = (*layer.above, layer.text), [], 0, False
+
+    def made(data: bytes) -> Layer:
+        start, end = (np.broadcast_to(np.int64(x), len(data)) for x in (first, layer.last))
+        return Layer(data.decode("latin-1"), start, end, layer.last, above)
+
+    for place, piece in unpack(as_bytes(layer.text)):
+        first = int(layer.start[place])
+        if piece is not None:
+            held.append(piece)
+            size += len(piece)
+            if size > room:
+                yield "oversize", first, layer.last
+                held, over = [], True
+        else:
+            if held and not over:
+                yield made(b"".join(held))
+            held, size, over = [], 0, False
+
+
+def runs(layer: Layer) -> Iterator[Layer]:
+    """What base64 runs of a layer hold."""
     for m in BASE64.finditer(layer.text):
         run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         run = run[: len(run) - (len(run) % 4 == 1)]
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        first, last = int(layer.start[m.start()]), int(layer.end[m.end() - 1])
-        above = (*layer.above, layer.text)
-        if (text := as_text(data)) is not None:
-            size = np.fromiter((len(c.encode()) for c in text), np.int64, len(text))
-            at = np.cumsum(size) - size
+        data = base64.b64decode(run + "=" * (-len(run) % 4))
+        if WORTH.search(data):
+            at = np.arange(len(data))
             # Byte k lies in the characters from 8k / 6 on.
-            begin, end = m.start() + at * 8 // 6, m.start() + -(-(at + size) * 8 // 6)
-            yield Layer(text, layer.start[begin], layer.end[end - 1], above)
-        try:
-            inside = unpack(data, room)
-        except OverflowError:
-            yield "oversize", first, last
-            continue
-        if inside is not None and (text := as_text(inside)) is not None:
-            yield Layer(text, np.full(len(text), first), np.full(len(text), last), above)
+            begin, end = m.start() + at * 8 // 6, m.start() + -(-(at + 1) * 8 // 6)
+            yield Layer(data.decode("latin-1"), layer.start[begin], layer.end[end - 1], int(layer.end[m.end() - 1]), layer.above)
+
+
+def unwrap(layer: Layer, room: int) -> Iterator[Layer | tuple[str, int, int]]:
+    """The layers inside ``layer``, and spans of those that are too large."""
+    yield from unescape(layer)
+    yield from runs(layer)
+    if layer.coded:
+        yield from unpacked(layer, room)
 
 
 def find(text: str, layer_chars: int = LAYER_CHARS) -> list[tuple[str, int, int, bool]]:
@@ -180,15 +256,14 @@ def find(text: str, layer_chars: int = LAYER_CHARS) -> list[tuple[str, int, int,
     if not (BASE64.search(text) or "%" in text or "\\" in text or "&#" in text):
         return [(*s, True) for s in in_order(base)]
     places = np.arange(len(text) + 1)
-    work = deque([Layer(text, places[:-1], places[1:], ())])
+    work = [unwrap(Layer(text, places[:-1], places[1:], len(text), (), coded=False), layer_chars)]
     found, seen, room = set(), set(), layer_chars
     while work:
-        for inner in unwrap(work.popleft(), room):
-            if not isinstance(inner, Layer):
-                found.add(inner)
-                continue
-            if not inner.text or inner.text in inner.above:
-                continue
+        if (inner := next(work[-1], None)) is None:
+            work.pop()
+        elif not isinstance(inner, Layer):
+            found.add(inner)
+        elif inner.text and inner.text not in inner.above:
             first, last = int(inner.start[0]), int(inner.end[-1])
             if (mark := (inner.text, first, last)) in seen:
                 continue
@@ -198,7 +273,7 @@ def find(text: str, layer_chars: int = LAYER_CHARS) -> list[tuple[str, int, int,
             seen.add(mark)
             room -= len(inner.text)
             found |= {(k, int(inner.start[a]), int(inner.end[b - 1])) for k, a, b in base_spans(inner.text)}
-            work.append(inner)
+            work.append(unwrap(inner, room))
     return [(*s, s in own) for own in [set(base)] for s in in_order(found | own)]
 
 

@@ -2,6 +2,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -127,3 +128,43 @@ def test_query(spark):
         joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+
+
+def kinds(text, *room):
+    return {s[0] for s in secrets.find(text, *room)}
+
+
+PACKERS = [lambda b: gzip.compress(b, mtime=0), zlib.compress, zstandard.compress, bz2.compress, lzma.compress]
+
+
+@pytest.mark.parametrize("inner", PACKERS)
+@pytest.mark.parametrize("outer", PACKERS)
+def test_compressed_in_compressed(outer, inner):
+    assert "access" in kinds(B64(outer(inner(KEY.encode()))))
+
+
+@pytest.mark.parametrize("pack", PACKERS)
+def test_members_and_cut_or_odd_streams(pack):
+    noise = random.Random(3).randbytes(400_000).hex(" ").encode()
+    assert "access" in kinds(B64(pack(b"first log\n") + pack(f"second {KEY}".encode())))
+    assert "access" in kinds(B64(pack(b"half AKIAABCDEFG") + pack(b"HIJKLMNOP, one stream")))
+    assert "access" in kinds(B64(pack(f"{KEY}, ".encode() + noise)[:-20_000]))  # cut off
+    damaged = bytearray(pack(f"{KEY}, ".encode() + noise))
+    damaged[-30_000:-29_000] = bytes(1000)
+    assert "access" in kinds(B64(bytes(damaged)))
+    assert "access" in kinds(B64(pack(b"\xff" + KEY.encode())))
+    assert "access" in kinds(B64(b"\xfe" + f" {KEY}".encode()))
+
+
+@pytest.mark.parametrize("pack", PACKERS)
+def test_compressed_bytes_in_escapes(pack):
+    data = pack(f"{KEY}, and more: '(\\\"+ \n".encode() + random.Random(4).randbytes(300))
+    for code in ("".join(f"%{b:02x}" for b in data), urllib.parse.quote(data), urllib.parse.quote_plus(data), "".join(f"\\x{b:02x}" for b in data), repr(data)):
+        assert "access" in kinds(f"é: {code} end"), code
+
+
+def test_cycle_through_unpacking_ends():
+    data = gzip.compress(b"x" * 50, mtime=0)
+    for _ in range(30):
+        data = gzip.compress(data, mtime=0)
+    assert kinds(B64(data)) == set()

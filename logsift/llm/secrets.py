@@ -9,14 +9,16 @@ from, so a secret in a layer is reported as a span of the document: the characte
 compressed run.
 
 Spans are (kind, start, end, base) in code points, end exclusive, base for those of the plain text; they are
-ordered by start, kind as listed, and end. A null text is empty and has none. When a document's layers exceed
-``layer_chars`` the run that would exceed them is reported as kind ``oversize``.
+ordered by start, kind as listed, and end. A null text is empty and has none. A stream that unpacks to more than
+``layer_chars`` is scanned in pieces, and what is found in it is of kind ``oversize``. Pieces end where no match can,
+or, in a stretch of more than ``layer_chars`` without such a place, anywhere, with ``OVERLAP`` characters in common.
 """
 
 from __future__ import annotations
 
 import base64
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -33,6 +35,7 @@ from logsift.llm.common import map_batches, texts
 KINDS = ("assign", "access", "hex", "oversize")
 LAYER_CHARS = 1 << 26
 STEP, PIECE = 1 << 10, 1 << 20  # bytes that are unpacked at once, and that come out at once
+OVERLAP = 1 << 16
 
 # The patterns of the kinds and the least characters of a hit.
 ASSIGN = re.compile(
@@ -53,6 +56,8 @@ ESCAPES = re.compile(
 LITERAL = re.compile(ESCAPES.pattern + r"""|\\(?P<simple>[abfnrtv'"\\])|\\(?P<octal>[0-7]{1,3})""")
 SIMPLE = dict(zip("abfnrtv'\"\\", "\a\b\f\n\r\t\v'\"\\", strict=True))
 LITERAL_END = re.compile(r"[^\x20-\x7e]")  # such literals are printable and on one line
+#: Characters in no match, run or escape: nothing that is looked for goes across them.
+APART = re.compile(r"""[^A-Za-z0-9+/_.=\-"' :%\\{}&#;\r\n]""")
 MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0")
 #: What bytes have that are worth a layer.
 WORTH = re.compile(
@@ -68,6 +73,7 @@ class Layer(NamedTuple):
     last: int  # where the whole run ends that it came from
     above: tuple  # the texts that it was unpacked from
     coded: bool = True  # not the document itself
+    over: bool = False  # in a stream of more than the room
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -86,14 +92,35 @@ def in_order(spans) -> list[tuple]:
 
 
 def unescape(layer: Layer) -> Iterator[Layer]:
-    """URL and Unicode escapes of a layer replaced by their characters, the bytes of URL escapes as Latin-1."""
+    """URL and Unicode escapes of a layer replaced by their characters, the bytes of URL escapes as Latin-1.
+
+    Only stretches with escapes are layers: as far as a match around the escapes can go.
+    """
     text = layer.text
     if not ("%" in text or "\\" in text or "&#" in text):
         return
-    if inner := replaced(layer, 0, len(text), ESCAPES):
-        yield inner
-        if MAGIC.search(as_bytes(inner.text)):
-            yield from literals(layer, 0, len(text))
+    high = bare = 0
+    while m := ESCAPES.search(text, high):
+        low = stretch_start(text, high, m.start())
+        high = after.start() if (after := APART.search(text, m.end())) else len(text)
+        if inner := replaced(layer, low, high, ESCAPES):
+            yield inner
+            if low >= bare and MAGIC.search(as_bytes(text[low - 1 : low] + inner.text)):
+                low -= text[low - 1 : low] == "("  # zstd begins with one
+                bare = end.start() if (end := LITERAL_END.search(text, high)) else len(text)
+                yield from literals(layer, low, bare)
+
+
+def stretch_start(text: str, low: int, at: int) -> int:
+    """The last place from ``low`` to ``at`` that APART ends at."""
+    width = 256
+    while True:
+        begin = max(low, at - width)
+        if ends := [m.end() for m in APART.finditer(text, begin, at)]:
+            return ends[-1]
+        if begin == low:
+            return low
+        width *= 4
 
 
 def literals(layer: Layer, low: int, high: int) -> Iterator[Layer]:
@@ -134,6 +161,7 @@ def replaced(layer: Layer, low: int, high: int, escapes: re.Pattern, plus: str =
         np.concatenate([*ends, layer.end[at:high]]),
         int(layer.end[high - 1]),
         layer.above,
+        over=layer.over,
     )
 
 
@@ -207,13 +235,13 @@ def unpack(data: bytes) -> Iterator[tuple[int, bytes | None]]:
     yield first, None
 
 
-def unpacked(layer: Layer, room: int) -> Iterator[Layer | tuple[str, int, int]]:
-    """What is compressed in ``layer``, and spans of runs that hold more than ``room``."""
-    above, held, size, over = (*layer.above, layer.text), [], 0, False
+def unpacked(layer: Layer, room: int) -> Iterator[Layer]:
+    """What is compressed in ``layer``; streams of more than ``room`` in pieces."""
+    above, held, size, over = (*layer.above, layer.text), [], 0, layer.over
 
     def made(data: bytes) -> Layer:
         start, end = (np.broadcast_to(np.int64(x), len(data)) for x in (first, layer.last))
-        return Layer(data.decode("latin-1"), start, end, layer.last, above)
+        return Layer(data.decode("latin-1"), start, end, layer.last, above, over=over)
 
     for place, piece in unpack(as_bytes(layer.text)):
         first = int(layer.start[place])
@@ -221,12 +249,19 @@ def unpacked(layer: Layer, room: int) -> Iterator[Layer | tuple[str, int, int]]:
             held.append(piece)
             size += len(piece)
             if size > room:
-                yield "oversize", first, layer.last
-                held, over = [], True
-        else:
-            if held and not over:
-                yield made(b"".join(held))
-            held, size, over = [], 0, False
+                over = True
+                data = b"".join(held)
+                cut = stretch_start(data.decode("latin-1"), 0, len(data))
+                if cut:
+                    yield made(data[:cut])
+                    held = [data[cut:]]
+                else:
+                    yield made(data)
+                    held = [data[-min(OVERLAP, room // 2) :]]
+                size = len(held[0])
+        elif held:
+            yield made(b"".join(held))
+            held, size, over = [], 0, layer.over
 
 
 def runs(layer: Layer) -> Iterator[Layer]:
@@ -239,11 +274,11 @@ def runs(layer: Layer) -> Iterator[Layer]:
             at = np.arange(len(data))
             # Byte k lies in the characters from 8k / 6 on.
             begin, end = m.start() + at * 8 // 6, m.start() + -(-(at + 1) * 8 // 6)
-            yield Layer(data.decode("latin-1"), layer.start[begin], layer.end[end - 1], int(layer.end[m.end() - 1]), layer.above)
+            yield Layer(data.decode("latin-1"), layer.start[begin], layer.end[end - 1], int(layer.end[m.end() - 1]), layer.above, over=layer.over)
 
 
-def unwrap(layer: Layer, room: int) -> Iterator[Layer | tuple[str, int, int]]:
-    """The layers inside ``layer``, and spans of those that are too large."""
+def unwrap(layer: Layer, room: int) -> Iterator[Layer]:
+    """The layers inside ``layer``."""
     yield from unescape(layer)
     yield from runs(layer)
     if layer.coded:
@@ -257,23 +292,17 @@ def find(text: str, layer_chars: int = LAYER_CHARS) -> list[tuple[str, int, int,
         return [(*s, True) for s in in_order(base)]
     places = np.arange(len(text) + 1)
     work = [unwrap(Layer(text, places[:-1], places[1:], len(text), (), coded=False), layer_chars)]
-    found, seen, room = set(), set(), layer_chars
+    found, seen = set(), set()
     while work:
         if (inner := next(work[-1], None)) is None:
             work.pop()
-        elif not isinstance(inner, Layer):
-            found.add(inner)
         elif inner.text and inner.text not in inner.above:
-            first, last = int(inner.start[0]), int(inner.end[-1])
-            if (mark := (inner.text, first, last)) in seen:
-                continue
-            if len(inner.text) > room:
-                found.add(("oversize", first, last))
-                continue
-            seen.add(mark)
-            room -= len(inner.text)
-            found |= {(k, int(inner.start[a]), int(inner.end[b - 1])) for k, a, b in base_spans(inner.text)}
-            work.append(unwrap(inner, room))
+            mark = (hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass")).digest(), int(inner.start[0]), int(inner.end[-1]))
+            if mark not in seen:
+                seen.add(mark)
+                hits = base_spans(inner.text)
+                found |= {("oversize" if inner.over else k, int(inner.start[a]), int(inner.end[b - 1])) for k, a, b in hits}
+                work.append(unwrap(inner, layer_chars))
     return [(*s, s in own) for own in [set(base)] for s in in_order(found | own)]
 
 

@@ -168,3 +168,28 @@ def test_cycle_through_unpacking_ends():
     for _ in range(30):
         data = gzip.compress(data, mtime=0)
     assert kinds(B64(data)) == set()
+
+
+def test_escapes_need_no_room():
+    """The room is for what unpacks to more than it was; texts above it are scanned whole and not masked."""
+    filler = "clean words, and more. " * 200
+    for code in ("%41", "\\x41", "%2541"):
+        text = f"{filler}{code} {filler}"
+        assert secrets.find(text, 1000) == []
+        assert secrets.mask(text, secrets.find(text, 1000)) == text
+    text = f"{filler}%2541{KEY[1:]} {filler}{CODES['gzip'](SECRET)}"
+    assert kinds(text, 1000) == {"access", "assign"}
+    long = "a b" * 3000
+    assert kinds(f"%41KIAABCDEFGHIJKLMNOP{long}%41{B64(long.encode())} {CODES['zlib'](SECRET)}", 1000) >= {"access", "assign"}
+
+
+@pytest.mark.parametrize("filler", ["z", "clean words, and more. ", "Zz/"])
+def test_bombs_are_scanned_in_pieces(filler):
+    bulk = filler * (300_000 // len(filler))
+    clean = f"before {B64(gzip.compress(bulk.encode(), mtime=0))} after"
+    assert secrets.find(clean, 100_000) == []
+    for at in (0, 99_990, 200_000, 300_000):
+        for secret in (KEY, f"%41{KEY[1:]}", CODES["base64"](SECRET), CODES["gzip"](SECRET)):
+            inside = f"{bulk[:at]} {secret} {bulk[at:]}"
+            text = f"before {B64(gzip.compress(inside.encode(), mtime=0))} after"
+            assert secrets.mask(text, secrets.find(text, 100_000)) == "before [oversize] after"

@@ -1,7 +1,8 @@
 """Secret scans through nested encodings.
 
 Three kinds of secret are looked for in every text (fixed patterns): ``assign``, ``access``, ``hex``. Then a
-worklist unwraps the text: URL escapes, Unicode escapes, base64 and compressed data inside of either give
+worklist unwraps the text: URL escapes, Unicode escapes, base64 (at all four phases of a run,
+across single line ends too) and compressed data inside of either give
 further layers, each of which is scanned and unwrapped again until nothing new comes out. Layers are bytes as Latin-1 text, so one
 that is no text is unwrapped too; of compressed data every member counts, and what can be read of a cut or damaged one. A layer that
 equals one it came from is a cycle and ends there. Every character of a layer keeps the place in the document that it came
@@ -23,6 +24,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -47,7 +49,12 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so the least size can st
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 WORDS = ("passw", "secret", "token", "api")
 
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Lines of a run are joined over single line ends, as they are or in escapes.
+LINE_END = re.compile(r"\r?\n|\r|(?:\\r)?\\n")
+BASE64 = re.compile(
+    rf"[A-Za-z0-9+/_-]++(?:(?:{LINE_END.pattern})[A-Za-z0-9+/_-]++)++={{0,2}}|[A-Za-z0-9+/_-]{{16,}}+={{0,2}}"
+)
+LEAST_RUN = 16
 ESCAPES = re.compile(
     r"(?P<url>(?:%[0-9A-Fa-f]{2})+)|\\u\{(?P<brace>[0-9A-Fa-f]{1,6})\}|(?P<pair>(?:\\u[0-9A-Fa-f]{4})+)"
     r"|\\x(?P<x>[0-9A-Fa-f]{2})|\\U(?P<long>[0-9A-Fa-f]{8})|&#[xX](?P<ref>[0-9A-Fa-f]{1,6});|&#(?P<num>[0-9]{1,7});"
@@ -265,16 +272,32 @@ def unpacked(layer: Layer, room: int) -> Iterator[Layer]:
 
 
 def runs(layer: Layer) -> Iterator[Layer]:
-    """What base64 runs of a layer hold."""
+    """What base64 runs of a layer hold at every phase; runs over several lines also line by line."""
     for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        data = base64.b64decode(run + "=" * (-len(run) % 4))
-        if WORTH.search(data):
-            at = np.arange(len(data))
-            # Byte k lies in the characters from 8k / 6 on.
-            begin, end = m.start() + at * 8 // 6, m.start() + -(-(at + 1) * 8 // 6)
-            yield Layer(data.decode("latin-1"), layer.start[begin], layer.end[end - 1], int(layer.end[m.end() - 1]), layer.above, over=layer.over)
+        raw = m[0].rstrip("=")
+        cuts = [(0, 0), *(c.span() for c in LINE_END.finditer(raw)), (len(raw), len(raw))]
+        lines = [(a, b) for (_, a), (b, _) in pairwise(cuts)]
+        if len(lines) > 1:
+            for a, b in lines:
+                if b - a >= LEAST_RUN:
+                    yield from decoded(layer, raw[a:b], np.arange(m.start() + a, m.start() + b), m.start() + b - 1)
+        text = "".join(raw[a:b] for a, b in lines)
+        if len(text) >= LEAST_RUN:
+            places = np.concatenate([np.arange(m.start() + a, m.start() + b) for a, b in lines])
+            for phase in range(4):
+                yield from decoded(layer, text[phase:], places[phase:], m.end() - 1)
+
+
+def decoded(layer: Layer, text: str, places: np.ndarray, final: int) -> Iterator[Layer]:
+    """What base64 characters at these places of a layer hold; the run ends at ``final``."""
+    run = text.replace("-", "+").replace("_", "/")
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    data = base64.b64decode(run + "=" * (-len(run) % 4))
+    if WORTH.search(data):
+        at = np.arange(len(data))
+        # Byte k lies in the characters from 8k / 6 on.
+        begin, end = places[at * 8 // 6], places[-(-(at + 1) * 8 // 6) - 1]
+        yield Layer(data.decode("latin-1"), layer.start[begin], layer.end[end], int(layer.end[final]), layer.above, over=layer.over)
 
 
 def unwrap(layer: Layer, room: int) -> Iterator[Layer]:

@@ -193,3 +193,31 @@ def test_bombs_are_scanned_in_pieces(filler):
             inside = f"{bulk[:at]} {secret} {bulk[at:]}"
             text = f"before {B64(gzip.compress(inside.encode(), mtime=0))} after"
             assert secrets.mask(text, secrets.find(text, 100_000)) == "before [oversize] after"
+
+
+@pytest.mark.parametrize("width", [10, 64, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n"])
+def test_wrapped_base64(width, end):
+    def wrapped(data):
+        code = B64(data)
+        return end.join(code[i : i + width] for i in range(0, len(code), width))
+
+    filler = random.Random(6).randbytes(90)
+    for at in range(30, 60):
+        body = f"-----BEGIN X-----{end}{wrapped(filler[:at] + f' {KEY} '.encode() + filler)}{end}-----END X-----"
+        spans = [s for s in added(body) if s[0] == "access"]
+        assert spans
+        assert all(end * 3 not in body[a:b] and b - a <= 50 + 5 * len(end) for _, a, b in spans)
+    code = wrapped(gzip.compress(filler + SECRET.encode() + filler, mtime=0))
+    assert "assign" in kinds(code)
+
+
+def test_base64_after_characters_of_its_alphabet():
+    code = B64(b"password=hunter2hunter2")
+    for before in ("/reset/", "id_", "a-b_c/", "x", "xy", "xyz", "+", "A" * 33):
+        text = f"GET {before}{code}"
+        assert "assign" in {s[0] for s in added(text)}, text
+        assert "access" in kinds(f"{before}{CODES['gzip'](KEY)}")
+        assert "access" in kinds(f"{before}{CODES['zlib'](KEY)}")
+    text = f"see /reset/{code} there"
+    assert secrets.mask(text, secrets.find(text)).startswith("see /reset/[assign]")

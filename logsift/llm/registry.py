@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logsift.llm import bpe, caps, chat, jaccard, packing, quality, secrets, suffix_dedup, topk, warc
+from logsift.llm import bpe, caps, chat, jaccard, packing, quality, secrets, spelling, suffix_dedup, topk, urls, warc, whitening
 from logsift.llm.common import prepare, read_columns
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -75,6 +75,28 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.render(chat.reconstruct(events)))
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.words(read_columns(spark, folder, "documents", "doc_id text")))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read_columns(spark, folder, "embeddings", "vec_id embedding"))
+
+
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op13_urls(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, urls.RULE_SCHEMA)
+    return urls.judge(read_columns(spark, folder, "pages", "page_id url"), rules)
+
+
 REGISTRY = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
@@ -86,6 +108,9 @@ REGISTRY = {
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_chat": op10_chat,
+    "op11_spelling": op11_spelling,
+    "op12_whitening": op12_whitening,
+    "op13_urls": op13_urls,
 }
 
 
@@ -197,5 +222,67 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   cast(sum(n) as bigint) as formatted_chars
 from sized group by conv_id
+""",
+    "op11_spelling": r"""
+with recursive crc as materialized (
+  select list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda c, b: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, i)) as t
+), runs as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run
+  from documents
+), counted as (
+  select coalesce(cast(doc_id as varchar), '') || ':' || run as mark, run, count(*) as n
+  from runs where length(run) >= 6 group by all
+), hashed as (
+  select run, n, xor(list_reduce(
+    flatten(list_transform(string_split(mark, ''), lambda c: case when unicode(c) < 128 then [cast(unicode(c) as bigint)]
+      else [192 + cast(unicode(c) as bigint) // 64, 128 + unicode(c) % 64] end)),
+    lambda h, b: xor(h // 256, t[xor(h, b) % 256 + 1]), 4294967295::bigint), 4294967295) as h
+  from counted, crc
+), words as materialized (
+  select word, cast(sum(n) as bigint) as n
+  from (select n, case when h % 199 = 0 then left(run, cast(h % length(run) as int)) || substr(run, cast(h % length(run) as int) + 2)
+    else run end as word from hashed)
+  where length(word) >= 6 group by word having sum(n) >= 5
+), skips as materialized (
+  select word, i, left(word, cast(i as int)) || substr(word, cast(i as int) + 2) as rest
+  from (select word, unnest(range(length(word))) as i from words)
+), near as materialized (
+  select a.word as x, b.word as y from skips a join skips b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select s.word, w.word from skips s join words w on w.word = s.rest
+  union select w.word, s.word from skips s join words w on w.word = s.rest
+), scored as (
+  select x, count(*) as n_near, max(n) as most, arg_min(y, {'n': -n, 'w': encode(y)}) as best
+  from near join words on word = y group by x
+), forms as materialized (
+  select word, case when most >= 5 * n then best end as form, n, coalesce(n_near, 0) as n_near,
+    case when most >= 5 * n then most end as form_n
+  from words left join scored on x = word
+), walk as (
+  select word, word as at from forms
+  union all select w.word, f.form from walk w join forms f on f.word = w.at where f.form is not null
+), tops as (
+  select w.word, w.at as root from walk w join forms f on f.word = w.at where f.form is null
+)
+select f.word, f.form, t.root, f.n, f.n_near, f.form_n from forms f join tops t on t.word = f.word
+""",
+    "op13_urls": r"""
+with parts as (
+  select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+), places as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from parts
+), rules(h, p, said) as (
+  values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+    ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), fits as (
+  select host, path, arg_max(h || p, length(h || p)) as rule, arg_max(said, length(h || p)) as said
+  from (select distinct host, path from places) join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+  group by host, path
+)
+select page_id, p.host, p.path, rule, coalesce(said, 'allow') as verdict
+from places p left join fits f on f.host = p.host and f.path = p.path
 """,
 }

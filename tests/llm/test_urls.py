@@ -1,0 +1,87 @@
+import random
+import re
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+import oracle
+
+from logsift.llm import urls
+from logsift.llm.registry import SQL, op13_urls
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def split(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest).group()
+    return host.translate(LOWER), re.match(r"[^?#]*", rest[len(host) :]).group()
+
+
+def brute(rows, rules, otherwise="allow"):
+    out = []
+    for page, url in rows:
+        host, path = split(url)
+        fits = [
+            (len(h) + len(p or ""), len(h), said == "block", h.translate(LOWER) + (p or ""), said)
+            for h, p, said in rules
+            if h and said and (host == h.translate(LOWER) or host.endswith("." + h.translate(LOWER))) and path.startswith(p or "")
+        ]
+        best = max(fits, default=(0, 0, 0, None, otherwise))
+        out.append((page, host, path, best[3], best[4]))
+    return sorted(out, key=repr)
+
+
+def run(spark, rows, rules, **options):
+    df = spark.createDataFrame([(*r, "h", "p", "r") for r in rows], "page_id long, url string, host string, path string, rule string")
+    table = spark.createDataFrame([(*r, 7) for r in rules], urls.RULE_SCHEMA + ", url int")
+    found = urls.judge(df, table, **options)
+    assert found.columns == ["page_id", "host", "path", "rule", "verdict"]
+    return sorted((tuple(r) for r in found.collect()), key=repr)
+
+
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def test_parts_and_rules(spark):
+    rows = [
+        (1, "http://WWW.Example.com/en/x?q=http://a"), (2, "http://m.example.com/en/"), (3, "http://example.com/EN/"), (4, "https://a.b.net/es/1#x"),
+        (5, "http://net/fr/"), (6, "http://xnet/fr/"), (7, "http://com"), (8, "http://com?x/"), (9, None), (10, ""), (11, "example.com/en/"),
+        (12, "://com/"), (13, "a://://com/"), (14, "http:///en/"), (15, "http://u@example.com:80/en/"), (16, "http://example.com./en/"),
+        (17, "http://..com/"), (18, "http://É.com/é?x"), (None, "http://a.com/"), (None, "http://a.com/"), (19, "http://a.com/\n/en/"), (19, "http://a.com/\n/en/"),
+        (20, "http://a.net/" + "es/" * 50_000), (21, "http://" + "a." * 50_000 + "net/es/"), (22, "http://net/es"),
+    ]
+    got = run(spark, rows, RULES)
+    assert got == brute(rows, RULES)
+    said = {r[0]: r[3:] for r in got}
+    assert said[1] == ("www.example.com/en/", "allow") and said[2] == ("example.com/en/", "block") and said[7] == (None, "allow") and said[15] == (None, "allow")
+    assert run(spark, [], RULES) == [] and run(spark, rows, []) == brute(rows, [])
+    assert run(spark, rows, RULES, otherwise="block") == brute(rows, RULES, "block")
+
+
+def test_odd_rules(spark):
+    rules = [("a.com", "", "block"), ("a.com", "/x", "allow"), ("A.com", "/xy", "block"), ("a.com", "/xy", "allow"), (None, "/", "block"), ("", "/", "block"), ("b.com", None, "block"), ("c.com", "x", "block"), ("c.com", "/q?", "block"), ("d/e", "/", "block"), ("com", "/x", None), ("com", "/x/a/", "allow"), ("b.com", "/a/b", "allow")]
+    rows = [(i, f"http://{h}{p}") for i, (h, p) in enumerate((h, p) for h in ("a.com", "z.a.com", "b.com", "c.com", "com", "d", "e") for p in ("", "/", "/x", "/xyz", "/x/a/", "/x/a", "/a/b", "/a/bc"))]
+    assert run(spark, rows, rules) == brute(rows, [r for r in rules if r[0] != "d/e"])
+
+
+def test_random_rules(spark):
+    draw = random.Random(3)
+
+    def name():
+        return ".".join(draw.choices("ab", k=draw.randint(1, 4)))
+
+    def place():
+        return draw.choice(["", "/"]) + "/".join(draw.choices(["a", "b", "ab"], k=draw.randint(0, 3))) if draw.random() < 0.8 else ""
+
+    rules = [(name(), p if (p := place()).startswith("/") else "", draw.choice(["allow", "block"])) for _ in range(60)]
+    rows = [(i, f"http://{name()}{draw.choice(['', '/', '/a', '/ab', '/a/', '/b/a', '/a/b/ab'])}{draw.choice(['', '?a', '#/a'])}") for i in range(500)]
+    assert run(spark, rows, rules) == brute(rows, rules)
+
+
+def test_query(spark):
+    folder = "/root/testdata/sf0.01"
+    assert oracle.compare(op13_urls(spark, folder), oracle.connect(folder), SQL["op13_urls"]) is None

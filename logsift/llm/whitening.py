@@ -131,8 +131,9 @@ class Model:
     def __init__(self, n: int, sums: list[int], middle: list[int], squares: dict[tuple[int, int], int | None], top: int):
         self.n, self.middle, size = n, middle, len(sums)
         self.rest = [s - n * m for s, m in zip(sums, middle, strict=True)]
-        self.known = None not in squares.values()
-        if not self.known:
+        self.values, self.vectors = None, None
+        if None in squares.values():
+            self.explained = np.full(min(top, size), np.nan)
             return
         self.covariance = np.empty((size, size))
         for i in range(size):
@@ -148,8 +149,11 @@ class Model:
         self.varies = self.values > NO_VARIANCE * max(float(values.max()), 0.0)
 
     def whitened(self, values: np.ndarray) -> np.ndarray:
+        """Rows of components, NaN for those that have no value."""
+        if self.values is None:
+            return np.full((len(values), len(self.explained)), np.nan)
         offsets = np.array([rest / self.n for rest in self.rest])
-        scale = np.sqrt(np.where(self.varies, self.values, 1.0))
+        scale = np.sqrt(np.where(self.varies, self.values, np.nan))
         return (centred(values, self.middle).astype(float) - offsets) @ self.vectors / scale
 
     def deviations(self, values: np.ndarray) -> list[int | None]:
@@ -181,12 +185,10 @@ def projected(vectors: DataFrame, models: dict[int, Model]) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for length, rows, values in by_length(batch):
             model, count = models[length], rows.num_rows
-            size = len(model.values) if model.known else 0
-            white = model.whitened(values) if size else np.empty((count, 0))
-            mask = np.tile(~model.varies, count) if size else None
+            white, size = model.whitened(values), len(model.explained)
             offsets = pa.array(np.arange(count + 1) * size, pa.int32())
-            lists = pa.ListArray.from_arrays(offsets, pa.array(white.ravel(), pa.float64(), mask=mask))
-            shares = pa.ListArray.from_arrays(offsets, pa.array(np.tile(model.explained, count) if size else [], pa.float64(), from_pandas=True))
+            parts = [pa.array(x, pa.float64(), from_pandas=True) for x in (white.ravel(), np.tile(model.explained, count))]
+            lists, shares = (pa.ListArray.from_arrays(offsets, x) for x in parts)
             constants = [pa.array([length] * count, pa.int32()), pa.array([model.n] * count, pa.int64())]
             deviations = pa.array(model.deviations(values), pa.int64())
             yield pa.RecordBatch.from_arrays(

@@ -47,6 +47,8 @@ from logsift.operators.search import (
 )
 from logsift.plans.session import clear_scratch, prepare
 from logsift.plans.sizing import pin
+from logsift.sources.commits import LogConflict, adopt_files, vacuum_log, versions
+from logsift.sources.index import index_log
 from logsift.sources.kafka import (
     cursors_from_offsets,
     kafka_options,
@@ -54,10 +56,14 @@ from logsift.sources.kafka import (
     stream_kafka,
     write_kafka,
 )
-from logsift.sources.log import as_log, read_log, stored_log, stored_offsets, stream_log, write_log
+from logsift.sources.log import as_log, manifest, read_log, stored_log, stored_offsets, stream_log, write_log
+from logsift.sources.stored import StoredLog
 from logsift.streaming.replay import first_matches, replay_first_match
 
 __all__ = [
+    "LogConflict",
+    "StoredLog",
+    "adopt_files",
     "append_to_log",
     "as_cursors",
     "as_log",
@@ -73,6 +79,7 @@ __all__ = [
     "filtered_head",
     "first_matches",
     "first_result",
+    "index_log",
     "json_body",
     "json_children",
     "jump",
@@ -80,6 +87,7 @@ __all__ = [
     "labelled",
     "list_topics",
     "lookup",
+    "manifest",
     "match_context",
     "match_count",
     "message_at_position",
@@ -118,6 +126,8 @@ __all__ = [
     "string_cut",
     "templated_records",
     "topic_catalog",
+    "vacuum_log",
+    "versions",
     "with_context",
     "write_catalog",
     "write_dump",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logsift.plans.sizing import held_rows, small_side
 from logsift.sources.log import ADDRESS, KEYS, Log
+from logsift.sources.stored import StoredLog
 
 LISTED_OFFSETS = 500
 LISTED_RANGES = 16
@@ -46,7 +47,9 @@ def at_addresses(log: Log, requests: DataFrame) -> DataFrame:
     """Messages at the requested (topic, partition, offset), once per request."""
     wanted, rows = small_side(requests.select(*ADDRESS))
     spans = wanted.groupBy(*KEYS).agg(F.min("offset").alias("_cursor"), (F.max("offset") + 1).alias("_end"))
-    if callable(log):
+    if isinstance(log, StoredLog):
+        log = log.at(wanted)
+    elif callable(log):
         log = log(spans.select(*KEYS, F.col("_cursor").alias("offset"), F.col("_end").alias("end")))
     if rows is None:
         bounds = _bounds(spans, None)

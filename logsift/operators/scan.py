@@ -9,8 +9,9 @@ from logsift.functions.text import byte_cut, char_cut
 from logsift.operators.decode import decode
 from logsift.operators.ranges import at_addresses, in_range
 from logsift.operators.waves import match_ranges
-from logsift.plans.sizing import join_small
+from logsift.plans.sizing import join_small, materialise, pin
 from logsift.sources.log import ADDRESS, KEYS, Log
+from logsift.sources.stored import StoredLog
 
 BLOCK_BITS = 16
 
@@ -28,29 +29,37 @@ def lookup(log: Log, requests: DataFrame) -> DataFrame:
 def message_at_position(log: Log, cursors: DataFrame, n: int, dense: bool = False) -> DataFrame:
     """The ``n``-th message (from 0) after the start of every partition.
 
-    On a ``dense`` log, one without gaps, that is the offset ``start + n`` and only it is read.
+    On a ``dense`` log, one without gaps, that is the offset ``start + n`` and only it is read. A ``stored_log`` tells
+    the file from its record counts, and only the file with the message is read.
     """
     if dense:
         at = cursors.select(*KEYS, (F.col("start") + n).alias("offset"), "end").where("offset < end")
         return at_addresses(log, at)
-    offsets = in_range(log, cursors.withColumn("offset", F.col("start"))).select(*ADDRESS)
-    return at_addresses(log, nth_offset(offsets, n + 1))
+    cursors = cursors.withColumn("offset", F.col("start"))
+    if isinstance(log, StoredLog):
+        places = pin(log.ranked(cursors, n))
+        inside = in_range(log, places.withColumnsRenamed({"low": "offset", "high": "end"})).select(*ADDRESS)
+        ends = cursors.select(*KEYS, "end")
+        found = nth_offset(inside, places.select(*KEYS, (F.col("skip") + 1).alias("_nth"))).join(ends, KEYS).where("offset < end")
+        return at_addresses(log, found)
+    return at_addresses(log, nth_offset(in_range(log, cursors).select(*ADDRESS), n + 1))
 
 
-def nth_offset(log: DataFrame, n: int) -> DataFrame:
+def nth_offset(log: DataFrame, n: int | DataFrame) -> DataFrame:
     """(topic, partition, offset) of the ``n``-th message (from 1) of every partition that has as many.
 
-    Messages are counted per block of offsets with a map-side combine; the counts add up to the rank before
+    ``n`` may be a table (topic, partition, _nth). Messages are counted per block of offsets with a map-side combine; the counts add up to the rank before
     every block, and only the offsets of the one block that holds the ``n``-th are gathered.
     """
     block = F.shiftright("offset", BLOCK_BITS).alias("_block")
     counts = log.groupBy(*KEYS, block).agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*KEYS).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    at = counts.where((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n)).drop("_n")
+    counts = counts.withColumn("_nth", F.lit(n)) if isinstance(n, int) else join_small(counts, n, KEYS)
+    at = counts.where("_before < _nth and _before + _n >= _nth").select(*KEYS, "_block", (F.col("_nth") - F.col("_before") - 1).alias("_at"))
     inside = join_small(log.select(*ADDRESS, block), at, [*KEYS, "_block"])
     offsets = F.sort_array(F.collect_list("offset"))
-    nth = F.get(offsets, (F.lit(n - 1) - F.first("_before")).cast("int"))
+    nth = F.get(offsets, F.first("_at").cast("int"))
     return inside.groupBy(*KEYS).agg(nth.alias("offset"))
 
 

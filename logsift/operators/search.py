@@ -11,6 +11,7 @@ from logsift.operators.ranges import at_addresses, in_range, whole
 from logsift.operators.waves import match_ranges
 from logsift.plans.sizing import pin
 from logsift.sources.log import ADDRESS, KEYS, Log
+from logsift.sources.stored import StoredLog
 
 CURSOR = [*KEYS, "start", "end", "offset"]
 
@@ -27,6 +28,7 @@ def search_partition(
     The offsets are found first, by minima with a map-side combine, and then looked up. ``step``
     reads growing offset ranges as in ``search_topic``.
     """
+    log = _may_contain(log, needle, column)
     found = has(log, needle, column)
     ranges = _waves(log, cursors, found, step)
     if ranges is not None:
@@ -50,6 +52,7 @@ def search_topic(
     map-side combine. With ``cursors`` only their ranges are read, and with ``step`` in growing
     waves that leave out partitions already matched. ``column`` may name a decoded value.
     """
+    log = _may_contain(log, needle, column)
     found = has(log, needle, column)
     ranges = _waves(log, cursors, found, step)
     if ranges is not None:
@@ -79,6 +82,7 @@ def first_result(found: DataFrame) -> DataFrame:
 def search_first(log: Log, needle: str, cursors: DataFrame, step: int, column: str = "value") -> DataFrame:
     """``first_result`` of a search that stops: as soon as a partition has a match, the partitions of its
     topic above it are not read further."""
+    log = _may_contain(log, needle, column)
     ranges = match_ranges(log, cursors, has(log, needle, column), 1, step, lowest=True)
     return first_result(ranges.select(*KEYS, F.col("first").alias("offset")))
 
@@ -101,9 +105,10 @@ def search_chained(
         cursors = partition_offsets(whole(log))
     now = pin(cursors.select(*CURSOR).withColumn("first_match", F.array().cast("array<bigint>")))
     for needle in needles:
-        ranges = _waves(log, now, has(log, needle), step)
+        some = _may_contain(log, needle, "value")
+        ranges = _waves(some, now, has(some, needle), step)
         if ranges is None:
-            hits = in_range(log, now).where(has(log, needle))
+            hits = in_range(some, now).where(has(some, needle))
             first = hits.groupBy(*KEYS).agg(F.min("offset").alias("_first"))
         else:
             first = ranges.select(*KEYS, F.col("first").alias("_first"))
@@ -157,6 +162,11 @@ def _narrow(cursors: DataFrame, first: DataFrame) -> DataFrame:
     return moved.withColumnRenamed("_first", "offset").select(*CURSOR)
 
 
+def _may_contain(log: Log, needle: str, column: str) -> Log:
+    """A stored log without the files that its index rules out; any other log as it is."""
+    return log.containing(needle) if isinstance(log, StoredLog) and column == "value" else log
+
+
 def _waves(log: Log, cursors: DataFrame | None, found: Column, step: int | None) -> DataFrame | None:
     if step is None:
         return None

@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsift.plans.session import scratch_path
-from logsift.plans.sizing import held_rows, join_small, local_frame, pin
+from logsift.plans.sizing import held_rows, local_frame, pin
+from logsift.sources import commits
+from logsift.sources.commits import KEYS, write_log
+from logsift.sources.stored import StoredLog
 
-KEYS = ["topic", "partition"]
 ADDRESS = [*KEYS, "offset"]
 
 # A log is a DataFrame, or a function that reads the ranges of a cursor table. The function suits
 # sources that seek by other means than a filter, such as ``read_kafka`` and ``stored_log``.
 Log = DataFrame | Callable[[DataFrame], DataFrame]
 
+__all__ = ["ADDRESS", "KEYS", "Log", "as_log", "manifest", "read_log", "stored_log", "stored_offsets", "stream_log", "write_log"]
+
 LOG_SCHEMA = "topic STRING, partition INT, offset BIGINT, key BINARY, timestamp TIMESTAMP, value BINARY"
 CURSOR_SCHEMA = "topic STRING, partition INT, start BIGINT, end BIGINT, offset BIGINT"
 
@@ -51,122 +53,56 @@ def as_log(
     return df.select(*columns, column(value).alias("value"))
 
 
-MANIFEST = "topic STRING, partition INT, file STRING, start BIGINT, end BIGINT, n BIGINT"
-#: Scans of a read by ranges, and distinct ranges that each of them looks for inside its files.
-SCANS, RANGES = 64, 16
-
-
-def write_log(
-    log: DataFrame, path: str, mode: str = "append", tasks: int | None = None, records_per_file: int | None = None
-) -> None:
-    """Store a log: one folder per partition, files in offset order, and the offsets of every file.
+def read_log(
+    spark: SparkSession, path: str, schema: str | T.StructType = LOG_SCHEMA, version: int | None = None
+) -> DataFrame:
+    """Read a stored log. Topic and partition prune folders, offset bounds prune row groups.
 
-    Range partitioning splits a hot partition into several files, and the order inside them gives
-    row groups with narrow offset statistics, so a later offset range skips the rest. ``tasks`` is the number of
-    those ranges (default: the session's shuffle partitions; give bytes / 1 GB or so for a large log),
-    ``records_per_file`` ends a file early. The manifest beside the log is what ``stored_log`` and
-    ``stored_offsets`` read.
+    A log that ``write_log`` stored is read as its newest version, or as ``version``; any other folder as it is.
     """
-    by = [] if tasks is None else [tasks]
-    writer = log.repartitionByRange(*by, *ADDRESS).sortWithinPartitions(*ADDRESS).write.mode(mode)
-    if records_per_file:
-        writer = writer.option("maxRecordsPerFile", records_per_file)
-    writer.partitionBy(*KEYS).parquet(path)
-    spark = log.sparkSession
-    stored = read_log(spark, path, log.schema)
-    files = stored.select(_file_name().alias("file")).distinct()
-    known = manifest(spark, path)
-    if known is not None:
-        files = files.join(known.select("file"), "file", "left_anti")
-    new = [row["file"] for row in files.collect()]  # names, as the driver lists them for every scan
-    if new:
-        rows = _files(spark, path, log.schema, new).groupBy(*KEYS, _file_name().alias("file"))
-        ranges = rows.agg(F.min("offset").alias("start"), (F.max("offset") + 1).alias("end"), F.count("*").alias("n"))
-        ranges.write.mode("append").parquet(f"{path}/_offsets")
-
-
-def manifest(spark: SparkSession, path: str) -> DataFrame | None:
-    """(topic, partition, file, start, end, n) of every file of a log that ``write_log`` stored."""
-    try:
-        return spark.read.schema(MANIFEST).parquet(f"{path}/_offsets")
-    except AnalysisException:
-        return None
-
-
-def stored_log(spark: SparkSession, path: str, schema: str | T.StructType = LOG_SCHEMA) -> Callable[[DataFrame], DataFrame]:
-    """A stored log as a function of cursors that opens only the files with wanted offsets.
-
-    It takes the place of the DataFrame in every operator that takes cursors. Files are chosen by the manifest, for any
-    number of partitions and whether or not they share an offset space. Files with neighbouring ranges are read by
-    one scan, which looks for up to ``RANGES`` ranges inside them; with more than
-    ``SCANS`` times as many, neighbouring ranges are looked for as one.
-    """
-    files = manifest(spark, path)
-    if files is None:
-        raise ValueError(f"{path!r} has no manifest: store the log with write_log, or use read_log")
-
-    def read(cursors: DataFrame) -> DataFrame:
-        spans = cursors.select(*KEYS, F.col("offset").alias("_cursor"), F.col("end").alias("_end")).where("_cursor < _end")
-        spans = spans.groupBy(*KEYS).agg(F.min("_cursor").alias("_cursor"), F.max("_end").alias("_end"))
-        wanted = join_small(files, spans, KEYS).where("start < _end and end > _cursor")
-        rows = wanted.select("file", "_cursor", "_end").orderBy("_cursor", "_end", "file").collect()
-        if not rows:
-            return spark.createDataFrame([], schema)
-        ranges = list(dict.fromkeys((row["_cursor"], row["_end"]) for row in rows))
-        size = max(RANGES, -(-len(ranges) // SCANS))
-        place = {span: i // size for i, span in enumerate(ranges)}
-        groups: dict[int, list] = {}
-        for row in rows:
-            groups.setdefault(place[row["_cursor"], row["_end"]], []).append(row)
-        scans = [
-            _files(spark, path, schema, [row["file"] for row in group]).where(
-                F.expr(" or ".join(f"(offset >= {a} and offset < {b})" for a, b in _closed(group)))
-            )
-            for group in groups.values()
-        ]
-        return reduce(DataFrame.unionAll, scans)
+    now = commits.state(spark, path, version)
+    if now is None:
+        return spark.read.schema(schema).parquet(path)
+    folder = commits.Folder(spark, path)
+    if now.whole:
+        return spark.read.schema(schema).parquet(folder.pattern)
+    return commits.open_files(folder, schema, [row["file"] for row in now.files.select("file").toLocalIterator()])
 
-    return read
 
+def manifest(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """(topic, partition, file, start, end, n, bytes) of the files of a log that ``write_log`` stored."""
+    now = commits.state(spark, path, version)
+    return now and now.files
 
-def _file_name() -> Column:
-    """The file of a row as a path; the hidden column has it as a URL."""
-    return F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
 
+def stored_log(
+    spark: SparkSession, path: str, schema: str | T.StructType = LOG_SCHEMA, version: int | None = None
+) -> StoredLog:
+    """A stored log, as it is now or at a version, that opens only the files with wanted messages.
 
-def _closed(rows: list) -> list[tuple[int, int]]:
-    """The ranges of a scan, runs of neighbours as one where there are more than ``RANGES``."""
-    spans = sorted({(row["_cursor"], row["_end"]) for row in rows})
-    step = -(-len(spans) // RANGES)
-    return [(spans[i][0], max(end for _, end in spans[i : i + step])) for i in range(0, len(spans), step)]
-
-
-def _files(spark: SparkSession, path: str, schema: str | T.StructType, names: list[str]) -> DataFrame:
-    return spark.read.schema(schema).option("basePath", path).parquet(*names)
-
-
-def read_log(spark: SparkSession, path: str, schema: str | T.StructType = LOG_SCHEMA) -> DataFrame:
-    """Read a stored log. Topic and partition prune folders, offset bounds prune row groups."""
-    return spark.read.schema(schema).parquet(path)
+    It takes the place of the DataFrame in every operator that takes cursors.
+    """
+    now = commits.state(spark, path, version)
+    if now is None:
+        raise ValueError(f"{path!r} has no manifest: store the log with write_log, or use read_log")
+    return StoredLog(commits.Folder(spark, path), schema, now.files)
 
 
 def stream_log(spark: SparkSession, path: str, schema: str = LOG_SCHEMA, **options: str) -> DataFrame:
-    """A stored log as a file stream."""
+    """A stored log as a file stream: every file once, whatever versions say."""
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
-def stored_offsets(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
+def stored_offsets(spark: SparkSession, path: str, schema: str = LOG_SCHEMA, version: int | None = None) -> DataFrame:
     """Cursor table of a stored log from its manifest, or else from the parquet footers, without reading a row.
 
     For the footers the aggregate is pushed into the columnar reader, because topic and partition are folder
     columns. The two reader settings it needs are made in a session of its own; the result belongs to
     ``spark``.
     """
-    ends = [F.min("start").alias("start"), F.max("end").alias("end")]
-    files = manifest(spark, path)
-    if files is not None:
-        ranges = files.groupBy(*KEYS).agg(*ends)
-        return pin(ranges.withColumn("offset", F.col("start")))
+    now = commits.state(spark, path, version)
+    if now is not None:
+        return pin(StoredLog(commits.Folder(spark, path), schema, now.files).offsets())
     reader = spark.newSession()
     v1_sources = reader.conf.get("spark.sql.sources.useV1SourceList").split(",")
     reader.conf.set("spark.sql.sources.useV1SourceList", ",".join(s for s in v1_sources if s != "parquet"))

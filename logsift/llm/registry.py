@@ -177,16 +177,16 @@ select d.doc_id, cast(len(d.s) as bigint) as n_shingles, coalesce(l.component, d
 from sets d left join classes c on d.s = c.s left join least l on l.x = c.rep
 """,
     "op5_topk": """
-with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as w
+with v as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as w
   from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id,
+  select q.r, q.vec_id as query_id, c.vec_id,
     cast(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+  from v q join v c on q.r <> c.r where q.vec_id % 50 = 0
 )
-select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+select query_id, cast(row_number() over (partition by r order by score desc, vec_id nulls last) as int) as rank, vec_id, score
 from s qualify rank <= 5
 """,
     "op9_warc": """

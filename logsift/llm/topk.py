@@ -6,9 +6,9 @@ list per term (component) with the rows that are not zero in it. For each term t
 scatter their weight times the posting's weights into dense score arrays. A partition selection keeps the k
 best of a block, ties to the smaller id, and a ranked merge over the blocks keeps the k best of all.
 
-Vectors that are null or hold null or non-finite components take no part, nor do rows without an id. A
-missing component of a shorter vector is zero. Rows that share an id count once, with the smallest vector. Scores
-beyond 64 bits saturate before they are ranked.
+Vectors that are null or hold null or non-finite components take no part. A missing component of a shorter vector is zero. A
+query is a row: every other row is a candidate for it, those with the same id or without an id too, and rows that share an id and are queries
+have a result each. Ties go to the smaller id, no id comes last. Ids are integers. Scores beyond 64 bits saturate before they are ranked.
 """
 
 from __future__ import annotations
@@ -60,12 +60,12 @@ def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return out
 
 
-def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to the smaller id."""
+def best(score: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, ties to the smaller place in ``order``."""
     keep = np.arange(len(score))
     if len(score) > k:
         keep = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-    return keep[np.lexsort((ids[keep], ~score[keep]))][:k]  # ~ turns the order round without overflow
+    return keep[np.lexsort((order[keep], ~score[keep]))][:k]  # ~ turns the order round without overflow
 
 
 def top_k(
@@ -73,40 +73,42 @@ def top_k(
     queries: int = QUERIES, candidates: int = CANDIDATES,
 ) -> DataFrame:
     """(query_id, rank, id, score): per query the k best of all other rows."""
-    rows = df.where(usable(vector) & F.col(key).isNotNull()).select(
-        F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q")
-    )
-    rows = shared(rows.groupBy("id").agg(F.min("v").alias("v"), F.bool_or("q").alias("q")))
+    rows = df.where(usable(vector)).select(
+        F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    rows = shared(rows)
     n, asked = rows.agg(F.count("*"), F.coalesce(F.count_if("q"), F.lit(0))).first()
     blocks, query_blocks = -(-n // candidates) or 1, -(-asked // queries) or 1
 
     def block(count: int, salt: int) -> Column:
-        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(count)).cast("int")
+        return F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(count)).cast("int")
 
     def every(count: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
     # Rows of the block they are in, once for every block of the other side.
-    asking = rows.where("q").select("id", "v", F.lit(True).alias("q"), block(query_blocks, 1).alias("qb"), every(blocks).alias("cb"))
-    offered = rows.select("id", "v", F.lit(False).alias("q"), every(query_blocks).alias("qb"), block(blocks, 2).alias("cb"))
+    asking = rows.where("q").select("row", "id", "v", F.lit(True).alias("q"), block(query_blocks, 1).alias("qb"), every(blocks).alias("cb"))
+    offered = rows.select("row", "id", "v", F.lit(False).alias("q"), every(query_blocks).alias("qb"), block(blocks, 2).alias("cb"))
 
     def meet(group: pa.Table) -> pa.Table:
-        ids, asks = group["id"].to_numpy(), group["q"].to_numpy()
+        rows, asks = group["row"].to_numpy(), group["q"].to_numpy()
         vectors = quantised([np.array(v, np.float64) for v in group["v"].to_pylist()], scale)
-        order = np.argsort(ids, kind="stable")
-        mine, others = order[asks[order]], order[~asks[order]]
+        keys = np.lexsort((rows, group["id"].fill_null(0).to_numpy(), group["id"].is_null().to_numpy()))
+        mine, others = keys[asks[keys]], keys[~asks[keys]]
         found = []
         for at in range(0, len(mine), ROWS_AT_ONCE):
             part = mine[at : at + ROWS_AT_ONCE]
             for row, score in zip(part, scores(vectors[part], vectors[others]), strict=True):
-                own = others[ids[others] != ids[row]]
-                score = score[ids[others] != ids[row]]
-                for place in best(score, ids[own], k):
-                    found.append((ids[row], ids[own[place]], score[place]))
-        columns = zip(*found, strict=True) if found else [[]] * 3
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "id", "score"), columns, strict=True)})
-
-    near = asking.unionByName(offered).groupBy("qb", "cb").applyInArrow(meet, "query_id long, id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+                foreign = rows[others] != rows[row]
+                own, score = others[foreign], score[foreign]
+                for place in best(score, np.arange(len(own)), k):
+                    found.append((row, own[place], score[place]))
+        asked, answers, points = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else [[]] * 3))
+        columns = [group["row"].take(asked), group["id"].take(asked), group["row"].take(answers), group["id"].take(answers), pa.array(points)]
+        return pa.table(dict(zip(["query", "query_id", "row", "id", "score"], columns, strict=True)))
+
+    near = asking.unionByName(offered).groupBy("qb", "cb").applyInArrow(meet, "query long, query_id long, row long, id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(key), "score")

@@ -17,24 +17,20 @@ def limited(x):
 
 
 def brute(rows, k):
-    vectors = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            vectors[i] = min(vectors.get(i, v), v)
-    whole = {i: [math.floor(256 * x) for x in v] for i, v in vectors.items()}
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in whole:
-        if q % 5 == 0:
-            best = sorted((-limited(sum(a * b for a, b in zip(whole[q], w, strict=False))), i) for i, w in whole.items() if i != q)[:k]
-            out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
-    return sorted(out)
+    for n, (q, v) in enumerate(whole):
+        if q is not None and q % 5 == 0:
+            others = [(-limited(sum(a * b for a, b in zip(v, w, strict=False))), i is None, i or 0, i) for m, (i, w) in enumerate(whole) if m != n]
+            out += [(q, n, best[3], -best[0]) for n, best in enumerate(sorted(others)[:k], 1)]
+    return sorted(out, key=repr)
 
 
 def run(spark, rows, k, **sizes):
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, rank int, q string")
     found = topk.top_k(df, F.col("vec_id") % 5 == 0, k, **sizes)
     assert found.columns == ["query_id", "rank", "vec_id", "score"]
-    return sorted(tuple(r) for r in found.collect())
+    return sorted((tuple(r) for r in found.collect()), key=repr)
 
 
 def test_against_brute_force(spark):
@@ -54,6 +50,19 @@ def test_few_rows_and_large_numbers(spark):
     assert run(spark, big, 3) == brute(big, 3)
 
 
+def test_repeated_and_missing_ids(spark):
+    rows = [(0, [1.0]), (1, [0.5]), (None, [2.0]), (2, [0.9]), (2, [0.1]), (0, [0.25]), (None, [2.0]), (None, None)]
+    got = run(spark, rows, 3)
+    assert got == brute(rows, 3) and sum(r[2] is None for r in got) == 4 and len(got) == 6
+    folder = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{folder}/embeddings.parquet")
+    odd = table.union(table.where("vec_id % 7 < 2").withColumn("vec_id", F.when(F.col("vec_id") % 2 == 0, F.col("vec_id"))))
+    connection = oracle.connect(folder)
+    connection.register("odd", odd.toArrow())
+    connection.sql("create or replace view embeddings as select * from odd")
+    assert oracle.compare(topk.top_k(odd, F.col("vec_id") % 50 == 0, 5), connection, SQL["op5_topk"]) is None
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.01"
     assert oracle.compare(op5_topk(spark, folder), oracle.connect(folder), SQL["op5_topk"]) is None

@@ -281,17 +281,17 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     rows = found.where("part is not null").join(chosen, "own", "left_semi").groupBy("id", "own").agg(F.count("*").alias("n"))
     stays = shared(
         chosen.join(rows, chosen["id"].eqNullSafe(rows["id"]) & (chosen["own"] == rows["own"]))
-        .select(chosen["id"], chosen["own"], F.col("n").alias("_copies"))
-        .unionByName(found.where("part is null").select("id", "own", F.lit(1).cast("long").alias("_copies")).distinct())
-        .select(F.coalesce("id", F.lit(0)).alias("_id"), F.col("id").isNull().alias("_none"), F.col("own").alias("_own"), "_copies")
+        .select(chosen["id"], chosen["own"], F.col("n").alias("copies"))
+        .unionByName(found.where("part is null").select("id", "own", F.lit(1).cast("long").alias("copies")).distinct())
+        .select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("none"), "own", "copies")
     )
-    marks = {
-        "_id": F.coalesce(F.col(key).cast("long"), F.lit(0)),
-        "_none": F.col(key).isNull(),
-        "_own": F.xxhash64(F.lit(1), text),
-    }
-    kept = join_small(df.withColumns(marks), stays, list(marks))
-    if stays.where("_copies > 1").limit(1).count():  # rows that are equal in id and text
-        several = kept.where("_copies > 1").dropDuplicates(list(marks))
-        kept = kept.where("_copies = 1").unionByName(several)
-    return kept.select(*df.columns)
+    number = F.col(key).cast("long")
+    whole = df.select(
+        F.struct(*df.columns).alias("row"), F.coalesce(number, F.lit(0)).alias("id"), number.isNull().alias("none"),
+        F.xxhash64(F.lit(1), text).alias("own"),
+    )
+    kept = join_small(whole, stays, ["id", "none", "own"])
+    if stays.where("copies > 1").limit(1).count():  # rows that are equal in id and text
+        several = kept.where("copies > 1").dropDuplicates(["id", "none", "own"])
+        kept = kept.where("copies = 1").unionByName(several)
+    return kept.select("row.*")

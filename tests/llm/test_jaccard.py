@@ -131,3 +131,13 @@ def test_empty(spark):
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     assert oracle.compare(op7_jaccard(spark, folder), oracle.connect(folder), SQL["op7_jaccard"]) is None
+
+
+def test_columns_of_the_user_stay(spark):
+    names = "_id _none _own _copies id none own copies part row".split()
+    rows = [(i, t, *(f"{c}{i}" for c in names)) for i, t in [(3, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (5, ""), (None, "x y"), (None, "x y")]]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)))
+    assert kept.columns == ["doc_id", "text", *names]
+    got = sorted((r[:2] for r in kept.collect()), key=repr)
+    assert got == [(1, "a b c d e f"), (5, ""), (None, "x y")]
+    assert all(r[2:] == tuple(f"{c}{r[0]}" for c in names) for r in kept.collect())

@@ -1,9 +1,9 @@
 """Secret scans through nested encodings.
 
 Three kinds of secret are looked for in every text (fixed patterns): ``assign``, ``access``, ``hex``. Then a
-worklist unwraps the text: URL escapes, Unicode escapes, base64 (at all four phases of a run,
-across single line ends too) and compressed data inside of either give
-further layers, each of which is scanned and unwrapped again until nothing new comes out. Layers are bytes as Latin-1 text, so one
+worklist unwraps the text: URL escapes (``%u`` ones too), Unicode escapes, character references, escapes of quoted literals,
+base64 (at all four phases of a run, across single line ends with blanks or quote marks too), UTF-16 and compressed data inside
+of any of them give further layers, each of which is scanned and unwrapped again until nothing new comes out. Layers are bytes as Latin-1 text, so one
 that is no text is unwrapped too; of compressed data every member counts, and what can be read of a cut or damaged one. A layer that
 equals one it came from is a cycle and ends there. Every character of a layer keeps the place in the document that it came
 from, so a secret in a layer is reported as a span of the document: the characters that encode it, or the whole
@@ -13,6 +13,7 @@ Spans are (kind, start, end, base) in code points, end exclusive, base for those
 ordered by start, kind as listed, and end. A null text is empty and has none. A stream that unpacks to more than
 ``layer_chars`` is scanned in pieces, and what is found in it is of kind ``oversize``. Pieces end where no match can,
 or, in a stretch of more than ``layer_chars`` without such a place, anywhere, with ``OVERLAP`` characters in common.
+Compressed data is known by its header, so raw deflate is not unpacked.
 """
 
 from __future__ import annotations
@@ -50,25 +51,30 @@ LEAST_VALUE, LEAST_ACCESS = 8, 16
 WORDS = ("passw", "secret", "token", "api")
 
 # Lines of a run are joined over single line ends, as they are or in escapes.
-LINE_END = re.compile(r"\r?\n|\r|(?:\\r)?\\n")
+LINE_END = re.compile(r"(?:[ \t]*+\r?\n|\r|(?:\\r)?\\n)[ \t>]*+")
 BASE64 = re.compile(
     rf"[A-Za-z0-9+/_-]++(?:(?:{LINE_END.pattern})[A-Za-z0-9+/_-]++)++={{0,2}}|[A-Za-z0-9+/_-]{{16,}}+={{0,2}}"
 )
 LEAST_RUN = 16
 ESCAPES = re.compile(
-    r"(?P<url>(?:%[0-9A-Fa-f]{2})+)|\\u\{(?P<brace>[0-9A-Fa-f]{1,6})\}|(?P<pair>(?:\\u[0-9A-Fa-f]{4})+)"
+    r"(?P<url>(?:%[0-9A-Fa-f]{2})+)|(?P<percent>(?:%u[0-9A-Fa-f]{4})+)|\\u\{(?P<brace>[0-9A-Fa-f]{1,6})\}|(?P<pair>(?:\\u[0-9A-Fa-f]{4})+)"
     r"|\\x(?P<x>[0-9A-Fa-f]{2})|\\U(?P<long>[0-9A-Fa-f]{8})|&#[xX](?P<ref>[0-9A-Fa-f]{1,6});|&#(?P<num>[0-9]{1,7});"
+    r"|&(?P<name>quot|apos|amp|lt|gt|colon|equals);"
 )
-#: The same with what else stands for a byte in literals of compressed data.
+NAMED = {"quot": '"', "apos": "'", "amp": "&", "lt": "<", "gt": ">", "colon": ":", "equals": "="}
+#: The same with what else stands for a byte in literals.
 LITERAL = re.compile(ESCAPES.pattern + r"""|\\(?P<simple>[abfnrtv'"\\])|\\(?P<octal>[0-7]{1,3})""")
 SIMPLE = dict(zip("abfnrtv'\"\\", "\a\b\f\n\r\t\v'\"\\", strict=True))
 LITERAL_END = re.compile(r"[^\x20-\x7e]")  # such literals are printable and on one line
 #: Characters in no match, run or escape: nothing that is looked for goes across them.
-APART = re.compile(r"""[^A-Za-z0-9+/_.=\-"' :%\\{}&#;\r\n]""")
-MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0")
+APART = re.compile(r"""[^A-Za-z0-9+/_.=\-"' :%\\{}&#;\r\n\t>]""")
+#: The headers of zlib streams without a preset dictionary: a window, a level, and what makes both bytes divisible by 31.
+ZLIB = b"|".join(re.escape(bytes([8 + 16 * w, 64 * f + -(256 * (8 + 16 * w) + 64 * f) % 31])) for w in range(8) for f in range(4))
+WIDE = re.compile(r"(?:[\x01-\xff]\0){8,}+|(?:\0[\x01-\xff]){8,}+")
+MAGIC = re.compile(rb"\x1f\x8b\x08|" + ZLIB + rb"|\x28\xb5\x2f\xfd|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0")
 #: What bytes have that are worth a layer.
 WORTH = re.compile(
-    rb"(?i:passw|secret|token|api)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-](?:[A-Za-z0-9+/_-]{15}|[\r\n]|\\[rn])|"
+    rb"(?i:passw|secret|token|api)|AKIA|[0-9a-f]{32}|%u?[0-9A-Fa-f]{2}|\\[uUx0-7'\x22]|&(?:#|[a-z]{2,6};)|(?:[\x20-\x7e]\0){8}|(?:\0[\x20-\x7e]){8}|[A-Za-z0-9+/_-](?:[A-Za-z0-9+/_-]{15}|[\r\n]|\\[rn])|"
     + MAGIC.pattern
 )
 
@@ -99,18 +105,22 @@ def in_order(spans) -> list[tuple]:
 
 
 def unescape(layer: Layer) -> Iterator[Layer]:
-    """URL and Unicode escapes of a layer replaced by their characters, the bytes of URL escapes as Latin-1.
+    """URL, Unicode and named escapes of a layer replaced by their characters, the bytes of URL escapes as Latin-1.
 
-    Only stretches with escapes are layers: as far as a match around the escapes can go.
+    Only stretches with escapes are layers: as far as a match around the escapes can go. A stretch that has escapes of literals too,
+    as in quoted strings of programs, is a second layer without any.
     """
     text = layer.text
-    if not ("%" in text or "\\" in text or "&#" in text):
+    if not ("%" in text or "\\" in text or "&" in text):
         return
     high = bare = 0
-    while m := ESCAPES.search(text, high):
+    while m := LITERAL.search(text, high):
         low = stretch_start(text, high, m.start())
         high = after.start() if (after := APART.search(text, m.end())) else len(text)
-        if inner := replaced(layer, low, high, ESCAPES):
+        inner, plain = replaced(layer, low, high, ESCAPES), replaced(layer, low, high, LITERAL)
+        if plain and (not inner or plain.text != inner.text):
+            yield plain
+        if inner:
             yield inner
             if low >= bare and MAGIC.search(as_bytes(text[low - 1 : low] + inner.text)):
                 low -= text[low - 1 : low] == "("  # zstd begins with one
@@ -143,11 +153,13 @@ def replaced(layer: Layer, low: int, high: int, escapes: re.Pattern, plus: str =
         if m["url"]:
             made = bytes.fromhex(m["url"].replace("%", "")).decode("latin-1")
             cuts = np.arange(len(made) + 1) * 3
-        elif m["pair"]:
-            data = bytes.fromhex(m["pair"].replace("\\u", ""))
+        elif m["pair"] or m["percent"]:
+            data = bytes.fromhex(m["pair"].replace("\\u", "") if m["pair"] else m["percent"].replace("%u", ""))
             made = data.decode("utf-16-be", "replace")
             cuts = np.concatenate([[0], np.cumsum([6 * (1 + (c > "\uffff")) for c in made])]).astype(int)
             cuts = np.minimum(cuts, b - a)
+        elif m["name"]:
+            made, cuts = NAMED[m["name"]], np.array([0, b - a])
         elif escapes is LITERAL and (m["simple"] or m["octal"]):
             made = SIMPLE[m["simple"]] if m["simple"] else chr(int(m["octal"], 8) & 255)
             cuts = np.array([0, b - a])
@@ -172,6 +184,17 @@ def replaced(layer: Layer, low: int, high: int, escapes: re.Pattern, plus: str =
     )
 
 
+def narrowed(layer: Layer) -> Iterator[Layer]:
+    """Stretches of two-byte characters, every second byte zero, without the zeros."""
+    if "\0" not in layer.text:
+        return
+    for m in WIDE.finditer(layer.text):
+        low, high = m.span()
+        at = np.arange(low + (layer.text[low] == "\0"), high, 2)
+        pair = (at - low) // 2 * 2 + low
+        yield Layer(m[0].replace("\0", ""), layer.start[pair], layer.end[pair + 1], int(layer.end[high - 1]), layer.above, over=layer.over)
+
+
 def as_bytes(text: str) -> bytes:
     return text.encode("latin-1", "replace")
 
@@ -303,6 +326,7 @@ def decoded(layer: Layer, text: str, places: np.ndarray, final: int) -> Iterator
 def unwrap(layer: Layer, room: int) -> Iterator[Layer]:
     """The layers inside ``layer``."""
     yield from unescape(layer)
+    yield from narrowed(layer)
     yield from runs(layer)
     if layer.coded:
         yield from unpacked(layer, room)
@@ -311,7 +335,7 @@ def unwrap(layer: Layer, room: int) -> Iterator[Layer]:
 def find(text: str, layer_chars: int = LAYER_CHARS) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, base) of all secrets of a text, in order."""
     base = base_spans(text)
-    if not (BASE64.search(text) or "%" in text or "\\" in text or "&#" in text):
+    if not (BASE64.search(text) or "%" in text or "\\" in text or "&" in text or "\0" in text):
         return [(*s, True) for s in in_order(base)]
     places = np.arange(len(text) + 1)
     work = [unwrap(Layer(text, places[:-1], places[1:], len(text), (), coded=False), layer_chars)]

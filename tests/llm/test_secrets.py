@@ -221,3 +221,40 @@ def test_base64_after_characters_of_its_alphabet():
         assert "access" in kinds(f"{before}{CODES['zlib'](KEY)}")
     text = f"see /reset/{code} there"
     assert secrets.mask(text, secrets.find(text)).startswith("see /reset/[assign]")
+
+
+PLAIN = "password=hunter2hunter2"
+
+
+def lines(data, width, begin="", end="\n"):
+    text = base64.b64encode(data).decode()
+    return end.join(begin + text[i : i + width] for i in range(0, len(text), width))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        base64.b64encode(PLAIN.encode("utf-16-le")).decode(),
+        "powershell -enc " + base64.b64encode(PLAIN.encode("utf-16-be")).decode() + " end",
+        base64.b64encode(gzip.compress(PLAIN.encode("utf-16"))).decode(),
+        "key: |\n" + lines(PLAIN.encode() * 3, 20, "    "),
+        lines(PLAIN.encode() * 3, 20, "> > ", "\r\n"),
+        lines(gzip.compress(PLAIN.encode()), 16, "\t", " \n"),
+        "".join(f"%u{ord(c):04X}" for c in PLAIN),
+        "".join(f"\\{ord(c):o}" for c in PLAIN),
+        'x = "password=\\"hunter2hunter2\\""',
+        "say(\"pass\\167ord=\\'hunter2hunter2\")",
+        "password=&quot;hunter2hunter2&quot;",
+        "password&equals;hunter2hunter2",
+        *(base64.b64encode((z := zlib.compressobj(wbits=w)).compress(PLAIN.encode()) + z.flush()).decode() for w in (9, 10, 12, 14, 15)),
+    ],
+)
+def test_layers_of_other_encodings(text):
+    spans = secrets.find(f"before {text} after")
+    assert any(kind == "assign" and not own for kind, _, _, own in spans), spans
+    assert "hunter2" not in secrets.mask(f"before {text} after", spans)
+
+
+def test_plain_texts_with_marks_of_encodings_are_left_alone():
+    for text in ("C:\\new\\table\\101 AT&T &amp; more", "line one\n  line two\n> quoted line\n", "a\0b\0c", "x &quot;y&quot; \\\"z\\\""):
+        assert secrets.find(text) == []

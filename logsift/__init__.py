@@ -58,7 +58,7 @@ from logsift.sources.kafka import (
 )
 from logsift.sources.log import as_log, manifest, read_log, stored_log, stored_offsets, stream_log, write_log
 from logsift.sources.stored import StoredLog
-from logsift.streaming.replay import first_matches, replay_first_match
+from logsift.streaming.replay import first_matches, replay_first_match, replay_stored
 
 __all__ = [
     "LogConflict",
@@ -113,6 +113,7 @@ __all__ = [
     "read_log",
     "remaining",
     "replay_first_match",
+    "replay_stored",
     "sample_records",
     "search_body",
     "search_chained",

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import json
+import os
+import time
+from pathlib import Path
 
 import pytest
 from conftest import LOG, rows
@@ -199,3 +202,97 @@ def test_a_cluster_session_needs_a_shared_folder():
 def test_empty_ranges_read_nothing(spark, make_cursors):
     cursors = make_cursors([("t", 1, 0, 5, 5)])
     assert logsift.read_kafka(spark, logsift.kafka_options("a:1"), cursors).count() == 0
+
+
+@pytest.fixture
+def read_rows(spark):
+    """Rows that the batches of streams have read, by query."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Rows(StreamingQueryListener):
+        def __init__(self):
+            self.batches, self.ended = [], 0
+
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            self.batches.append(event.progress.numInputRows)
+
+        def onQueryTerminated(self, event):
+            self.ended += 1
+
+        def read(self, queries):
+            begin = time.time()
+            while self.ended < queries and time.time() - begin < 20:
+                time.sleep(0.1)
+            total, self.batches, self.ended = sum(self.batches), [], 0
+            return total
+
+    listener = Rows()
+    spark.streams.addListener(listener)
+    yield listener
+    spark.streams.removeListener(listener)
+
+
+def files_in_order(spark, path, count, rows_of):
+    """A log of ``count`` files that come one after the other."""
+    for i in range(count):
+        spark.createDataFrame(rows_of(i), LOG).coalesce(1).write.mode("append").parquet(path)
+        for file in Path(path).glob("part-*.parquet"):
+            if file.stat().st_mtime > 1_600_000_000 + count:
+                os.utime(file, (1_600_000_000 + i, 1_600_000_000 + i))
+
+
+def test_an_ordered_replay_ends_with_the_answer(spark, tmp_path, read_rows):
+    path = str(tmp_path / "log")
+    files_in_order(spark, path, 100, lambda i: [("t", p, 10 * i + k, f"v{10 * i + k}") for p in (0, 1) for k in range(10)])
+    stream = logsift.stream_log(spark, path, LOG, maxFilesPerTrigger="1")
+    cursors = logsift.partition_offsets(logsift.read_log(spark, path, LOG))
+    wanted = logsift.search_topic(logsift.read_log(spark, path, LOG), "v7", cursors).select("topic", "partition", "offset")
+    assert rows(logsift.replay_first_match(stream, "v7", cursors, ordered=True)) == rows(wanted)
+    assert 0 < read_rows.read(1) <= 10 * 20
+    # One partition has its match late, the other is done before: its messages are left out.
+    late = logsift.jump(cursors, 120, "t", 1)
+    found = logsift.replay_first_match(stream, "v12", late, ordered=True)
+    assert rows(found) == [("t", 0, 12), ("t", 1, 120)]
+    assert read_rows.read(1) <= 30 * 20
+    # The snapshot ends the replay where nothing is found.
+    part = cursors.withColumn("end", F.lit(50).cast("long"))
+    assert rows(logsift.replay_first_match(stream, "absent", part, ordered=True)) == []
+    assert read_rows.read(1) <= 20 * 20
+    with pytest.raises(ValueError, match="needs cursors"):
+        logsift.replay_first_match(stream, "v7", ordered=True)
+
+
+def test_an_ordered_replay_goes_on_and_minds_its_order(spark, tmp_path):
+    path, folder = str(tmp_path / "log"), str(tmp_path / "work")
+    files_in_order(spark, path, 3, lambda i: [("t", 0, i, f"v{i}"), ("t", 1, 50 + i, f"w{i}")])
+    cursors = spark.createDataFrame([("t", 0, 0, 10, 0), ("t", 1, 50, 53, 50)], "topic string, partition int, start long, end long, offset long")
+    stream = logsift.stream_log(spark, path, LOG, maxFilesPerTrigger="1")
+    assert rows(logsift.replay_first_match(stream, "v5", cursors, folder, ordered=True)) == []
+    spark.createDataFrame([("t", 0, 5, "v5"), ("t", 1, 99, "v5")], LOG).write.mode("append").parquet(path)
+    assert rows(logsift.replay_first_match(stream, "v5", cursors, folder, ordered=True)) == [("t", 0, 5)]
+    assert rows(logsift.replay_first_match(stream, "v5", cursors, folder, ordered=True)) == [("t", 0, 5)]
+    back = str(tmp_path / "back")
+    files_in_order(spark, back, 2, lambda i: [("t", 0, 5 - i, f"v{i}")])
+    with pytest.raises(Exception, match="came after 5"):
+        logsift.replay_first_match(logsift.stream_log(spark, back, LOG, maxFilesPerTrigger="1"), "x", cursors, ordered=True)
+
+
+def test_a_replay_of_a_stored_log(spark, tmp_path, read_rows):
+    path, folder = str(tmp_path / "log"), str(tmp_path / "work")
+    log = spark.range(4000).selectExpr("if(id % 2 = 0, 'a', 'b c') as topic", "cast(id % 4 as int) as partition", "id as offset", "cast(id * 37 as string) as value")
+    logsift.write_log(log, path, tasks=8, records_per_file=20)
+    wanted = rows(logsift.search_topic(log, "37").select("topic", "partition", "offset"))
+    schema = log.schema
+    assert rows(logsift.replay_stored(spark, path, "37", schema, files=25)) == wanted
+    first = read_rows.read(1)
+    assert rows(logsift.replay_stored(spark, path, "14763", schema, files=25)) == rows(logsift.search_topic(log, "14763").select("topic", "partition", "offset"))
+    assert rows(logsift.replay_stored(spark, path, "absent", schema, files=25, folder=folder)) == []
+    # Every message is in the needle's first file of its partition: once all first files came, nothing else is read.
+    read_rows.read(2)
+    assert rows(logsift.replay_stored(spark, path, "", schema, files=1)) == [("a", 0, 0), ("a", 2, 2), ("b c", 1, 1), ("b c", 3, 3)]
+    assert first <= 4000
+    logsift.write_log(log.where("offset < 8").withColumn("offset", F.col("offset") + 5000), path, tasks=1)
+    assert rows(logsift.replay_stored(spark, path, "absent", schema, folder=folder)) == []

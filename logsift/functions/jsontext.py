@@ -28,9 +28,54 @@ def json_value(column: Column | str) -> Column:
     return F.when(complete, F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
+#: Strings, numbers that end where a value can, and everything else; possessive, so long bodies need no stack.
+TOKENS = (
+    r'"[^"\\]*+(?:\\.[^"\\]*+)*+"?'
+    r"|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+(?=[ \t\r\n]*+(?:[,\]}]|\z))"
+    r'|[^"0-9-]++|[0-9-]'
+)
+#: What a body has that holds a number with an exponent or of more digits than a DECIMAL.
+HARD = r"[0-9][eE][+-]?[0-9]|[0-9.]{38}"
+DIGITS = 38
+NUMERAL = r"^(-?)([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?$"
+#: Larger exponents are not written out.
+MOST_ZEROS = 308
+
+
 def canonical_json(column: Column | str) -> Column:
-    """Compact text with the keys of every object in order; NULL when the body is not JSON."""
-    return F.to_json(json_value(column))
+    """Compact text with the keys of every object in order; NULL when the body is not JSON.
+
+    Numbers are exact, without an exponent and without zeros at the end: ``1e3`` is 1000. One with an exponent beyond
+    ``MOST_ZEROS`` stays as it is written.
+    """
+    text = as_text(column)
+    return F.when(text.rlike(HARD), _with_numerals(text)).otherwise(F.to_json(json_value(text)))
+
+
+def _with_numerals(text: Column) -> Column:
+    """Numbers that VARIANT would round go through the parser as strings, marked by the body's own hash."""
+    mark = F.concat(F.lit("#"), F.xxhash64(text).cast("string"), F.lit("#"))
+
+    def token(part: Column) -> Column:
+        hard = part.rlike("^-?[0-9]") & (part.rlike("[eE]") | (F.length(part) > DIGITS))
+        return F.when(hard, F.concat(F.lit('"'), mark, numeral(part), mark, F.lit('"'))).otherwise(part)
+
+    marked = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)), token), "")
+    found = F.to_json(json_value(marked))
+    return F.replace(F.replace(found, F.concat(F.lit('"'), mark), F.lit("")), F.concat(mark, F.lit('"')), F.lit(""))
+
+
+def numeral(number: Column) -> Column:
+    """A JSON number as its shortest text without an exponent; anything else as it is."""
+    sign, whole, part, exponent = (F.regexp_extract(number, NUMERAL, i) for i in (1, 2, 3, 4))
+    shift = F.when(exponent == "", 0).otherwise(exponent.try_cast("int"))
+    digits, point = F.concat(whole, part), F.length(whole) + shift
+    left = F.when(point <= 0, "").otherwise(F.rpad(F.left(digits, point), F.greatest(point, F.lit(0)), "0"))
+    right = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), -point), digits)).otherwise(F.substring(digits, point + 1, F.length(digits)))
+    left, right = F.ltrim(left, F.lit("0")), F.rtrim(right, F.lit("0"))
+    value = F.concat(F.when(left == "", "0").otherwise(left), F.when(right == "", "").otherwise(F.concat(F.lit("."), right)))
+    signed = F.when(value == "0", value).otherwise(F.concat(sign, value))
+    return F.when((whole != "") & (F.abs(shift) <= MOST_ZEROS), signed).otherwise(number)
 
 
 def json_kind(value: Column) -> Column:

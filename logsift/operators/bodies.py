@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.functions.jsontext import NUMBER, canonical_json, json_kind, json_node, json_number, json_value
+from logsift.functions.jsontext import NUMBER, canonical_json, json_kind, json_node, json_number, json_value, numeral
 from logsift.functions.text import as_text, body_lines
 from logsift.operators.ranges import in_range
+from logsift.plans.sizing import materialise
 from logsift.sources.log import ADDRESS, KEYS, Log
 
 
@@ -24,35 +27,64 @@ def canonical_bodies(log: DataFrame) -> DataFrame:
     )
 
 
-def json_children(log: DataFrame, depth: int = 1) -> DataFrame:
+#: Levels that a pass opens when all are wanted.
+LEVELS = 8
+
+
+def json_children(log: DataFrame, depth: int | None = 1) -> DataFrame:
     """Children of every JSON body with their kind; one NULL row for a body without children.
 
     With ``depth`` above 1 objects and arrays are opened further, down to that level; scalars and
-    empty containers stay where they end. Every level is a row-local expansion.
+    empty containers stay where they end. Every level is a row-local expansion. Without ``depth`` all levels are opened:
+    some at a time, and what can be opened further is written and goes into the next pass, until nothing is left.
     """
-    tvf = log.sparkSession.tvf
-    rows = log.select(*ADDRESS, json_value("value").alias("_node"), F.lit("$").alias("path"))
-    rows = rows.withColumn("_key", F.lit(None).cast("string"))
-    for level in range(depth):
-        rows = rows.lateralJoin(tvf.variant_explode_outer(F.col("_node").outer()))
-        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).otherwise(
-            F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))
-        )
-        opened = F.col("pos").isNotNull()
-        ended = F.lit(None) if level == 0 else F.col("_node")
-        rows = rows.select(
-            *ADDRESS,
-            F.when(opened, F.col("value")).otherwise(ended).alias("_node"),
-            F.when(opened, F.concat("path", step)).otherwise(F.col("path")).alias("path"),
-            F.when(opened, F.col("key")).otherwise(F.col("_key")).alias("_key"),
-        )
-    found = F.col("_node").isNotNull()
+    rows = log.select(*ADDRESS, json_value("value").alias("_node"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("_key"))
+    if depth is not None:
+        for level in range(depth):
+            rows = _opened(rows, level == 0)
+        return _described(rows)
+    done, top = [], True
+    while True:
+        for level in range(LEVELS):
+            rows = _opened(rows, top and level == 0)
+        rows, top = materialise(rows.withColumn("_more", _has_children(F.col("_node")))), False
+        done.append(_described(rows.where("not _more")))
+        rows = rows.where("_more").drop("_more")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionAll, done)
+
+
+def _opened(rows: DataFrame, top: bool) -> DataFrame:
+    """``rows`` with the children of their nodes in place of them; nodes without children stay, but for a body's own (``top``)."""
+    rows = rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("_node").outer()))
+    step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).otherwise(
+        F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))
+    )
+    opened = F.col("pos").isNotNull()
+    return rows.select(
+        *ADDRESS,
+        F.when(opened, F.col("value")).otherwise(F.lit(None) if top else F.col("_node")).alias("_node"),
+        F.when(opened, F.concat("path", step)).otherwise(F.col("path")).alias("path"),
+        F.when(opened, F.col("key")).otherwise(F.col("_key")).alias("_key"),
+    )
+
+
+def _has_children(node: Column) -> Column:
+    kind = json_kind(node)
+    member = (kind == "object") & (F.schema_of_variant(node) != "OBJECT<>")
+    element = (kind == "array") & F.try_variant_get(node, "$[0]", "variant").isNotNull()
+    return F.coalesce(member | element, F.lit(False))
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    found, kind = F.col("_node").isNotNull(), json_kind(F.col("_node"))
+    text = F.to_json("_node")
     return rows.select(
         *ADDRESS,
         F.when(found, F.col("path")).alias("path"),
         F.col("_key").alias("key"),
-        F.to_json("_node").alias("value"),
-        json_kind(F.col("_node")).alias("type"),
+        F.when((kind == "number") & text.rlike("[.E]"), numeral(text)).otherwise(text).alias("value"),
+        kind.alias("type"),
     )
 
 

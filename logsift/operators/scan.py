@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logsift.functions.text import byte_cut, char_cut
 from logsift.operators.decode import decode
 from logsift.operators.ranges import at_addresses, in_range
-from logsift.operators.waves import match_ranges
+from logsift.operators.waves import first_addresses
 from logsift.plans.sizing import join_small, materialise, pin
 from logsift.sources.log import ADDRESS, KEYS, Log
 from logsift.sources.stored import StoredLog
@@ -70,8 +70,7 @@ def first_n(log: DataFrame, n: int) -> DataFrame:
     a threshold; beyond it every partition is cut at the offset of its ``n``-th message instead, so that no task
     ever ranks the messages of a hot partition.
     """
-    most = int(log.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if n > most:
+    if n > _ranked_early(log.sparkSession):
         last = nth_offset(log, n).withColumnRenamed("offset", "_last")
         return join_small(log, last, KEYS, "left").where("_last is null or offset <= _last").drop("_last")
     in_block = Window.partitionBy(*KEYS, F.shiftright("offset", BLOCK_BITS)).orderBy("offset")
@@ -91,19 +90,28 @@ def filtered_head(
 ) -> DataFrame:
     """The first ``n`` messages of every partition, from its cursor, that satisfy ``predicate``.
 
-    The predicate sees the raw value; only the kept messages are decoded, and one that cannot be
-    decoded fails the query. With ``step`` the log is read in growing offset ranges, partitions
-    that already have ``n`` matches are not read further, and the ranges with the matches are read again.
+    The predicate sees the raw value, once per message; only the kept messages are decoded, and one that cannot be
+    decoded fails the query. With ``step`` the log is read in growing offset ranges, and partitions
+    that already have ``n`` matches are not read further. Then, and for more messages than Spark ranks early, the addresses of matches are
+    kept and the messages are looked up.
     """
     if step is not None:
         if cursors is None:
             raise ValueError("step needs cursors")
-        ranges = match_ranges(log, cursors, predicate, n, step)
-        cursors = ranges.select(*KEYS, "start", F.col("stop").alias("end"), F.col("first").alias("offset"))
-    head = first_n(in_range(log, cursors).where(predicate), n)
+        head = at_addresses(log, first_addresses(log, cursors, predicate, n, step, first_n))
+    else:
+        rows = in_range(log, cursors)
+        if n > _ranked_early(rows.sparkSession):
+            head = at_addresses(log, first_n(materialise(rows.where(predicate).select(*ADDRESS)), n))
+        else:
+            head = first_n(rows.where(predicate), n)
     return head if decoders is None else decode(head, decoders, "fail")
 
 
+def _ranked_early(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+
+
 def preview(log: DataFrame, width: int, unit: str = "byte") -> DataFrame:
     """Address and the first ``width`` bytes or characters of every value."""
     if unit not in ("byte", "char"):

@@ -7,12 +7,15 @@ Waves of a partition do not overlap, and their partitions and offsets go to the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.operators.ranges import in_range
-from logsift.plans.sizing import pin
-from logsift.sources.log import KEYS, Log
+from logsift.plans.sizing import materialise, pin
+from logsift.sources.log import ADDRESS, KEYS, Log
 
 GROWTH = 4
 
@@ -23,11 +26,38 @@ def match_ranges(
     """For every partition with a match, the part ``[first, stop)`` of its range that holds its
     first ``n`` matches, or all it has.
 
-    Per wave every open partition gives one row: count, first and last match. The state between waves is
-    a pinned table: a local relation for some ten thousand partitions, a written table beyond.
     With ``lowest`` only the lowest matching partition of each topic is of interest: partitions above one
     with a match are not read further, and only the lowest is returned.
     """
+    state = _waves(log, cursors, n, step, lowest, lambda part: part.where(predicate))
+    return state.where("seen > 0").select(*KEYS, "start", "end", "first", "stop")
+
+
+def first_addresses(
+    log: Log, cursors: DataFrame, predicate: Column, n: int, step: int, first: Callable[[DataFrame, int], DataFrame]
+) -> DataFrame:
+    """Addresses of the first ``n`` matches of every partition. ``first`` takes them from a wave; they are kept as it is read,
+    so no message is looked at twice."""
+    kept: list[DataFrame] = []
+
+    def hits(part: DataFrame) -> DataFrame:
+        kept.append(materialise(first(part.where(predicate).select(*ADDRESS), n)))
+        return kept[-1]
+
+    _waves(log, cursors, n, step, False, hits)
+    if not kept:
+        return cursors.select(*ADDRESS).limit(0)
+    return first(reduce(DataFrame.unionAll, kept), n)
+
+
+def _waves(
+    log: Log, cursors: DataFrame, n: int, step: int, lowest: bool, hits: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Read until every partition has ``n`` hits or is at its end.
+
+    Per wave every open partition gives one row: count, first and last match. The state between waves is
+    a pinned table: a local relation for some ten thousand partitions, a written table beyond.
+    """
     if n < 1 or step < 1:
         raise ValueError("n and step must be at least 1")
     unknown = F.lit(None).cast("bigint")
@@ -40,8 +70,7 @@ def match_ranges(
     open_ = (F.col("seen") < n) & (F.col("offset") < F.col("end"))
     while not (waiting := state.where(open_)).isEmpty():
         wave = waiting.withColumn("end", F.least(F.col("offset") + step, "end"))
-        part = in_range(log, wave).where(predicate)
-        matches = part.groupBy(*KEYS).agg(
+        matches = hits(in_range(log, wave)).groupBy(*KEYS).agg(
             F.count("*").alias("_n"), F.min("offset").alias("_first"), F.max("offset").alias("_last")
         )
         moved = waiting.join(matches, KEYS, "left").select(
@@ -54,8 +83,7 @@ def match_ranges(
             state = _without_higher(pin(state))
         state = pin(state)
         step *= GROWTH
-    found = state.where("seen > 0")
-    return found.select(*KEYS, "start", "end", "first", "stop")
+    return state
 
 
 def _without_higher(state: DataFrame) -> DataFrame:

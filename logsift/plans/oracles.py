@@ -318,4 +318,25 @@ from log group by topic, "partition" """,
 with {EVENTS}
 select topic, cast(sum(cast(json_extract("value", '$.k') as bigint)) as bigint) as sum_k
 from log group by topic""",
+    "stored_tail": f"""
+with {EVENTS}, {CURSORS}
+select l.* from log l join cur c on l.topic = c.topic and l."partition" = c."partition"
+where l."offset" >= greatest(c."end" - 500, c."start") and l."offset" < c."end" """,
+    "stored_overwrite": f"""
+with {EVENTS}
+select topic, "partition", "offset", cast(length("value") as varchar) as "value" from log
+union all
+select topic, "partition", max("offset") + 1, cast(count(*) as varchar) from log group by topic, "partition" """,
+    "stored_position": f"""
+with {EVENTS},
+ranked as (select *, row_number() over (partition by topic, "partition" order by "offset") as n from log)
+select topic, "partition", "offset", "value" from ranked where n = 21""",
+    "json_numbers": """
+select event_id, '{"big":' || event_id || 'e400,"k":' || event_id * 100 || ',"v":' || event_id || '.5}' as json from events""",
 }
+SQL["stored_page"] = SQL["page_messages"]
+SQL["indexed_search"] = SQL["search_topic"]
+SQL["replay_until_found"] = SQL["replay_first_match"]
+SQL["search_first"] = SQL["search_topic_first"]
+SQL["filtered_head_long"] = SQL["filtered_head"].replace("n <= 5", "n <= 2000")
+SQL["json_all_leaves"] = SQL["json_leaves"]

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from logsift.functions.decoders import delimited, json_body, labelled, plain
 from logsift.functions.protobuf import decode_person, encode_person
@@ -13,10 +14,12 @@ from logsift.functions.text import has, string_cut
 from logsift.operators import bodies, catalog, cursor, dump, paging, publish, scan, search
 from logsift.operators.decode import decode
 from logsift.plans import views
-from logsift.plans.session import prepare
+from logsift.plans.session import prepare, scratch_path
 from logsift.plans.sizing import pin
-from logsift.sources.log import ADDRESS, KEYS
-from logsift.streaming.replay import replay_first_match
+from logsift.sources import commits
+from logsift.sources.index import index_log
+from logsift.sources.log import ADDRESS, KEYS, read_log, stored_log, stored_offsets
+from logsift.streaming.replay import replay_first_match, replay_stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -259,6 +262,79 @@ def json_field_sum_topic(spark, folder):
     return total.select("topic", F.col("total").cast("bigint").alias("sum_k"))
 
 
+def _stored(spark, folder) -> tuple[str, StructType]:
+    """The events as a stored log of two versions, low partitions first."""
+    log, path = _events(spark, folder), scratch_path(spark, "log")
+    commits.write_log(log.where("partition < 2"), path)
+    commits.write_log(log.where("partition >= 2"), path)
+    return path, log.schema
+
+
+def stored_tail(spark, folder):
+    """The tail of every partition of a stored log, found through its manifest."""
+    path, schema = _stored(spark, folder)
+    return scan.range_scan(stored_log(spark, path, schema), cursor.move(stored_offsets(spark, path, schema), -500))
+
+
+def stored_overwrite(spark, folder):
+    """What a stored log is after its values were overwritten with their lengths, and after a file of another writer came."""
+    path, schema = _stored(spark, folder)
+    lengths = read_log(spark, path, schema).withColumn("value", F.length("value").cast("string"))
+    commits.write_log(lengths, path, mode="overwrite")
+    later = lengths.groupBy(*KEYS).agg((F.max("offset") + 1).alias("offset"), F.count("*").cast("string").alias("value"))
+    later.write.mode("append").partitionBy(*KEYS).parquet(path)
+    return scan.range_scan(stored_log(spark, path, schema), stored_offsets(spark, path, schema)).select(*ROW)
+
+
+def stored_position(spark, folder):
+    """The 21st message of every partition, from the record counts of the files."""
+    path, schema = _stored(spark, folder)
+    return scan.message_at_position(stored_log(spark, path, schema), stored_offsets(spark, path, schema), 20)
+
+
+def stored_page(spark, folder):
+    path, schema = _stored(spark, folder)
+    return paging.page_messages(stored_log(spark, path, schema), stored_offsets(spark, path, schema), 2, 20).select(*ADDRESS)
+
+
+def indexed_search(spark, folder):
+    """``search_topic`` on a stored log with an index of its values."""
+    path, schema = _stored(spark, folder)
+    index_log(spark, path, gram=2, bits=1 << 16)
+    return search.search_topic(stored_log(spark, path, schema), NEEDLE, stored_offsets(spark, path, schema))
+
+
+def replay_until_found(spark, folder):
+    """``replay_first_match`` on a stored log: a stream that ends when every partition has its answer."""
+    path, schema = _stored(spark, folder)
+    return replay_stored(spark, path, NEEDLE, schema)
+
+
+def search_first(spark, folder):
+    """``search_topic_first`` that stops reading where an answer is known."""
+    log = _events(spark, folder)
+    return search.search_first(log, NEEDLE, _cursors(log), step=1000)
+
+
+def filtered_head_long(spark, folder):
+    log = _events(spark, folder)
+    return scan.filtered_head(log, has(log, "8"), 2000, _cursors(log))
+
+
+def json_numbers(spark, folder):
+    """Numbers with exponents and zeros at the end."""
+    number = F.col("event_id").cast("string")
+    text = F.concat(F.lit('{"v": '), number, F.lit('.50, "k": '), number, F.lit('e2, "big": '), number, F.lit("e400}"))
+    log = views.as_log(views.table(spark, folder, "events"), topic="event_type", partition=views.part_of("user_id"), offset="event_id", value=text)
+    return bodies.canonical_bodies(log).select(F.col("offset").alias("event_id"), "json")
+
+
+def json_all_leaves(spark, folder):
+    """All levels, however deep."""
+    leaves = bodies.json_children(views.log_json(spark, folder), depth=None)
+    return leaves.select(F.col("offset").alias("event_id"), "path", "value", "type")
+
+
 REGISTRY: dict[str, Query] = {
     "log_range_scan": log_range_scan,
     "topic_catalog": topic_catalog,
@@ -302,6 +378,16 @@ REGISTRY: dict[str, Query] = {
     "string_cut": cut_strings,
     "json_field_sum": json_field_sum,
     "json_field_sum_topic": json_field_sum_topic,
+    "stored_tail": stored_tail,
+    "stored_overwrite": stored_overwrite,
+    "stored_position": stored_position,
+    "stored_page": stored_page,
+    "indexed_search": indexed_search,
+    "replay_until_found": replay_until_found,
+    "search_first": search_first,
+    "filtered_head_long": filtered_head_long,
+    "json_numbers": json_numbers,
+    "json_all_leaves": json_all_leaves,
 }
 
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+import random
 from decimal import Decimal
 from pathlib import Path
 
@@ -279,3 +281,67 @@ def test_stop_decodes_every_message_once(spark, make_log, tmp_path):
     assert calls.value == 200
     assert spark.read.text(str(tmp_path / "d")).count() == 150
 
+
+
+def exact(token):
+    """The number as its shortest text, said with Python's decimals."""
+    number = Decimal(token)
+    if abs(number.as_tuple().exponent + len(token.lower().split("e")[0].partition(".")[2])) > 308:
+        return token
+    text = f"{number:f}"
+    text = text.rstrip("0").rstrip(".") if "." in text else text
+    return "0" if text.strip("-") in ("0", "") else text
+
+
+NUMBERS = [
+    "1e3", "1E+3", "-1.50e2", "1e-7", "0e5", "-0", "-0.0", "1.0", "1.50", "12.5e1", "1e308", "1e-308", "1e400", "1E-400", "1e99999999999", "0.000e3", "100e-2",
+    "123456789012345678901234567890123456789012", "-0.1234567890123456789012345678901234567890123000", "1000000000000000000000000000000000000000.000", "9007199254740993", "5e-324",
+]
+
+
+def test_numbers_are_exact(spark):
+    draw = random.Random(8)
+
+    def digits(least=0):
+        return "".join(draw.choices("0123456789", k=draw.choice([least, 1, 2, 20, 45])))
+
+    drawn = [f"{draw.choice(['', '-'])}{draw.choice(['0', '7' + digits()])}{draw.choice(['', '.' + digits(1)])}{draw.choice(['', 'e', 'E+', 'e-'])}" for _ in range(400)]
+    tokens = NUMBERS + [t.rstrip(".") if t[-1] not in "e+-E" else t + str(draw.choice([0, 1, 7, 30, 307])) for t in drawn if "." not in t or not t.endswith(".")]
+    bodies = {}
+    for i, t in enumerate(tokens):
+        want = exact(t)
+        bodies[t], bodies[f" [{t} ,\n{{\"b\": {t}, \"a\":\"{t}\"}}]"] = want, f'[{want},{{"a":"{t}","b":{want}}}]'
+    bodies |= {'{"1e3":1e3}': '{"1e3":1000}', '{1e3:1}': None, "1e3 2": None, '[1e3"a"]': None, "01e3": None, "1.e3": None, ".5e3": None, "1e3.5": None, "--1e3": None, '"1e3': None, "[1e3": None}
+    bodies |= {'["\\\\", 1e2, "\\"1e2"]': '["\\\\",100,"\\"1e2"]', "[" + '"\\n",' * 30_000 + "1e2]": "[" + '"\\n",' * 30_000 + "100]", "[" * 50 + "1e1" + "]" * 50: "[" * 50 + "10" + "]" * 50}
+    df = spark.createDataFrame([(t,) for t in bodies], "value string")
+    got = {r["value"]: r["json"] for r in df.select("value", canonical_json("value").alias("json")).collect()}
+    assert {k: (v, bodies[k]) for k, v in got.items() if v != bodies[k]} == {}
+
+
+def test_children_to_any_depth(spark, make_log):
+    draw = random.Random(9)
+
+    def tree(depth):
+        if depth == 0 or draw.random() < 0.2:
+            return draw.choice([1, "s", None, True, {}, [], 2.5])
+        return [tree(depth - 1) for _ in range(draw.randint(0, 3))] if draw.random() < 0.5 else {f"k{i}": tree(depth - 1) for i in range(draw.randint(0, 3))}
+
+    def leaves(node, path="$", key=None):
+        if isinstance(node, dict | list) and node:
+            for k, v in node.items() if isinstance(node, dict) else enumerate(node):
+                yield from leaves(v, f"{path}.{k}" if isinstance(node, dict) else f"{path}[{k}]", k if isinstance(node, dict) else None)
+        else:
+            kind = {dict: "object", list: "array", str: "string", bool: "bool", type(None): "null"}.get(type(node), "number")
+            yield path, key, json.dumps(node), kind
+
+    deep = 7
+    for level in range(200):
+        deep = {"d": deep} if level % 2 else [deep]
+    trees = [deep, *(tree(6) for _ in range(40))]
+    log = make_log([("t", 0, i, json.dumps(t)) for i, t in enumerate(trees)] + [("t", 1, 0, "no"), ("t", 1, 1, None)])
+    got = rows(logsift.json_children(log, None), "partition", "offset", "path", "key", "value", "type")
+    want = [(1, 0, None, None, None, None), (1, 1, None, None, None, None)]
+    for i, t in enumerate(trees):
+        want += [(0, i, *leaf) for leaf in leaves(t)] if isinstance(t, dict | list) and t else [(0, i, None, None, None, None)]
+    assert got == sorted(want, key=repr)
+    assert rows(logsift.json_children(log.limit(0), None)) == []

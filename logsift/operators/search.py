@@ -14,6 +14,8 @@ from logsift.sources.log import ADDRESS, KEYS, Log
 from logsift.sources.stored import StoredLog
 
 CURSOR = [*KEYS, "start", "end", "offset"]
+#: Offsets whose messages a chained search gathers in one list.
+BLOCK_BITS = 16
 
 
 def search_partition(
@@ -97,26 +99,65 @@ def search_chained(
 ) -> DataFrame:
     """Each search runs on the partitions and from the cursors the one before it left.
 
-    ``first_match`` lists the offset found by each needle; the same message may serve several.
-    A search keeps one row per partition, so what lies between the searches is a cursor table. ``step``
-    reads growing offset ranges as in ``search_topic``.
+    ``first_match`` lists the offset found by each needle; the same message may serve several. All needles are looked for in
+    one scan: see ``_chains``. ``step`` instead searches one needle after the other, in growing offset ranges as in ``search_topic``;
+    a search keeps one row per partition, so what lies between the searches is a cursor table.
     """
     if cursors is None:
         cursors = partition_offsets(whole(log))
+    if step is None and needles:
+        return _chains(log, needles, cursors)
     now = pin(cursors.select(*CURSOR).withColumn("first_match", F.array().cast("array<bigint>")))
     for needle in needles:
         some = _may_contain(log, needle, "value")
-        ranges = _waves(some, now, has(some, needle), step)
-        if ranges is None:
-            hits = in_range(some, now).where(has(some, needle))
-            first = hits.groupBy(*KEYS).agg(F.min("offset").alias("_first"))
-        else:
-            first = ranges.select(*KEYS, F.col("first").alias("_first"))
+        first = _waves(some, now, has(some, needle), step).select(*KEYS, F.col("first").alias("_first"))
         moved = now.join(first, KEYS).withColumn("first_match", F.array_append("first_match", F.col("_first")))
         now = pin(moved.withColumn("offset", F.col("_first")).select(*CURSOR, "first_match"))
     return now.select(*KEYS, "first_match")
 
 
+def _chains(log: Log, needles: list[str], cursors: DataFrame) -> DataFrame:
+    """The whole chain of every partition from one scan.
+
+    What is left to find is a number of needles, and messages that hold any are gathered per block of offsets, a bounded list. A block
+    is summed up by what it does to each such number: how far the chain gets inside it, and at which offsets. These summaries
+    are put together in the order of the blocks, again one row per block and not per message.
+    """
+    if isinstance(log, StoredLog):
+        log = log.containing_any(needles)
+    hits = F.array(*[has(log, needle) for needle in needles])
+    rows = in_range(log, cursors).select(*KEYS, "offset", hits.alias("hits")).where(F.exists("hits", lambda hit: hit))
+    block = rows.groupBy(*KEYS, F.shiftright("offset", BLOCK_BITS).alias("block"))
+    block = block.agg(F.sort_array(F.collect_list(F.struct("offset", "hits"))).alias("hits"))
+
+    def state(found: Column, offsets: Column) -> Column:
+        return F.struct(found.alias("found"), offsets.alias("offsets"))
+
+    def from_state(start: int) -> Column:
+        def message(so_far: Column, hit: Column) -> Column:
+            return F.aggregate(
+                F.sequence(F.lit(start), F.lit(len(needles) - 1)),
+                so_far,
+                lambda now, i: F.when(
+                    (now["found"] == i) & F.get(hit["hits"], i), state(i + 1, F.array_append(now["offsets"], hit["offset"]))
+                ).otherwise(now),
+            )
+
+        return F.aggregate("hits", state(F.lit(start), F.array().cast("array<bigint>")), message)
+
+    summaries = block.select(*KEYS, "block", F.array(*[from_state(i) for i in range(len(needles))]).alias("steps"))
+    ordered = F.sort_array(F.collect_list(F.struct("block", "steps")))
+    whole_chain = F.aggregate(
+        ordered,
+        state(F.lit(0), F.array().cast("array<bigint>")),
+        lambda now, part: F.when(now["found"] == len(needles), now).otherwise(
+            state(F.get(part["steps"], now["found"])["found"], F.concat(now["offsets"], F.get(part["steps"], now["found"])["offsets"]))
+        ),
+    )
+    chains = summaries.groupBy(*KEYS).agg(whole_chain.alias("chain")).where(F.col("chain.found") == len(needles))
+    return chains.select(*KEYS, F.col("chain.offsets").alias("first_match"))
+
+
 def search_body(log: DataFrame, needle: str, unit: str = "char") -> DataFrame:
     """First line of every message that contains ``needle``, with line number and column from 0.
 

@@ -70,6 +70,13 @@ class StoredLog:
         files = candidates(self.folder, self.files, needle.encode() if isinstance(needle, str) else needle)
         return self if files is None else StoredLog(self.folder, self.schema, pin(files))
 
+    def containing_any(self, needles: list[str]) -> StoredLog:
+        """The log without files that the index knows to contain none of the needles."""
+        logs = [self.containing(needle) for needle in needles]
+        if any(log is self for log in logs):
+            return self
+        return StoredLog(self.folder, self.schema, pin(reduce(DataFrame.unionAll, [log.files for log in logs]).distinct()))
+
     def ranked(self, cursors: DataFrame, n: int) -> DataFrame:
         """(topic, partition, low, high, skip): where the ``n``-th message (from 0) at or after every cursor is.
 

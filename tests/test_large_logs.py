@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import logsift
 from logsift.functions.hashing import fnv1a32
-from logsift.operators import scan, waves
+from logsift.operators import scan, search, waves
 from logsift.operators.ranges import in_partitions, in_range
 from logsift.plans import sizing
 from logsift.sources import kafka, log as stored
@@ -274,3 +275,28 @@ def test_heads_in_waves(make_log, make_cursors):
     assert rows(found, "partition", "offset") == [(0, 12), (0, 15), (0, 6), (0, 9), (1, 5)]
     none = scan.filtered_head(read, F.col("value") == "absent", 4, cursors, step=50)
     assert rows(none) == []
+
+
+def test_chained_search_in_one_scan(spark, make_log, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_BITS", 3)
+    draw = random.Random(6)
+    letters = [("t", p, o, "".join(draw.choices("abc ", k=draw.randint(0, 2)))) for p in range(6) for o in draw.sample(range(200), 60)]
+    log = make_log([*letters, ("t", 7, 0, None)])
+    cursors = logsift.move(logsift.partition_offsets(log), 3)
+    for needles in (["a"], ["a", "b"], ["c", "c", "a", ""], ["ab", "ba", "cc", "bc", "a"], ["", "", ""], ["absent", "a"], ["b"] * 6):
+        want = []
+        for p in range(8):
+            values = sorted((o, v) for _, q, o, v in [*letters, ("t", 7, 0, None)] if q == p)
+            values = [v for v in values if v[0] >= min(values[0][0] + 3, values[-1][0])]
+            at, found = 0, []
+            for needle in needles:
+                at = next((i for i in range(at, len(values)) if needle in (values[i][1] or "")), len(values))
+                found.append(values[at][0]) if at < len(values) else None
+            if len(found) == len(needles):
+                want.append(("t", p, found))
+        assert rows(logsift.search_chained(log, needles, cursors)) == sorted(want, key=repr), needles
+        assert rows(logsift.search_chained(log, needles, cursors, step=17)) == sorted(want, key=repr)
+    path = str(tmp_path / "log")
+    logsift.write_log(log, path, tasks=2)
+    whole = logsift.search_chained(logsift.read_log(spark, path, SCHEMA), ["a", "b", "c"], logsift.stored_offsets(spark, path, SCHEMA))
+    assert rows_scanned(whole) == len(letters) + 1

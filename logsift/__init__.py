@@ -3,6 +3,7 @@
 from logsift.functions.decoders import delimited, json_body, labelled
 from logsift.functions.protobuf import person_body
 from logsift.functions.text import string_cut
+from logsift.operators.balance import by_bytes
 from logsift.operators.bodies import body_line_rows, canonical_bodies, field_sum, json_children
 from logsift.operators.catalog import (
     as_cursors,
@@ -58,6 +59,7 @@ from logsift.sources.kafka import (
 )
 from logsift.sources.log import as_log, manifest, read_log, stored_log, stored_offsets, stream_log, write_log
 from logsift.sources.stored import StoredLog
+from logsift.streaming.dump import dumped, read_stream_dump, stream_dump
 from logsift.streaming.replay import first_matches, replay_first_match, replay_stored
 
 __all__ = [
@@ -69,12 +71,14 @@ __all__ = [
     "as_log",
     "assign_offsets",
     "body_line_rows",
+    "by_bytes",
     "canonical_bodies",
     "clear_scratch",
     "cursors_from_offsets",
     "decode",
     "delimited",
     "dump",
+    "dumped",
     "field_sum",
     "filtered_head",
     "first_matches",
@@ -111,6 +115,7 @@ __all__ = [
     "range_scan",
     "read_kafka",
     "read_log",
+    "read_stream_dump",
     "remaining",
     "replay_first_match",
     "replay_stored",
@@ -122,6 +127,7 @@ __all__ = [
     "search_topic",
     "stored_log",
     "stored_offsets",
+    "stream_dump",
     "stream_kafka",
     "stream_log",
     "string_cut",

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from logsift.functions.decoders import Decoder
+from logsift.operators.balance import by_bytes
 from logsift.operators.catalog import partition_json, partition_table
 from logsift.operators.decode import decode
 from logsift.operators.ranges import in_range
@@ -24,20 +25,19 @@ def dump(
     return rows.select(*ADDRESS, "value")
 
 
-def write_dump(rows: DataFrame, path: str, mode: str = "errorifexists", tasks: int | None = None) -> None:
+def write_dump(
+    rows: DataFrame, path: str, mode: str = "errorifexists", tasks: int | None = None, range_bytes: int | None = None
+) -> None:
     """One value per line, a folder per partition, files and lines in offset order.
 
     Range partitioning cuts a hot partition into several ordered files, ``tasks`` in all (default: the
-    session's shuffle partitions).
+    session's shuffle partitions). ``range_bytes`` makes ranges of about as many bytes instead, for values of very different sizes.
     """
-    (
-        rows.repartitionByRange(*([] if tasks is None else [tasks]), *ADDRESS)
-        .sortWithinPartitions(*ADDRESS)
-        .select(*KEYS, "value")
-        .write.mode(mode)
-        .partitionBy(*KEYS)
-        .text(path)
-    )
+    if range_bytes is None:
+        ordered = rows.repartitionByRange(*([] if tasks is None else [tasks]), *ADDRESS).sortWithinPartitions(*ADDRESS)
+    else:
+        ordered = by_bytes(rows, range_bytes)
+    ordered.select(*KEYS, "value").write.mode(mode).partitionBy(*KEYS).text(path)
 
 
 def write_catalog(cursors: DataFrame, path: str, form: str = "table", mode: str = "errorifexists") -> None:

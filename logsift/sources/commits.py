@@ -23,6 +23,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logsift.operators.balance import by_bytes
 from logsift.plans.sizing import join_small, pin
 
 KEYS = ["topic", "partition"]
@@ -221,14 +222,16 @@ def publish(folder: Folder, change: Callable[[DataFrame], DataFrame], what: str,
 
 
 def write_log(
-    log: DataFrame, path: str, mode: str = "append", tasks: int | None = None, records_per_file: int | None = None
-) -> int | None:
+    log: DataFrame, path: str, mode: str = "append", tasks: int | None = None, records_per_file: int | None = None,
+    range_bytes: int | None = None,
+) -> int | None:
     """Store a log as its next version: one folder per partition, files in offset order, and the offsets of every file.
 
     Range partitioning splits a hot partition into several files, and the order inside them gives
     row groups with narrow offset statistics, so a later offset range skips the rest. ``tasks`` is the number of
     those ranges (default: the session's shuffle partitions; give bytes / 1 GB or so for a large log),
-    ``records_per_file`` ends a file early. ``mode`` is one of Spark's: ``append``, ``overwrite`` (of the partitions that ``log`` has
+    ``records_per_file`` ends a file early. ``range_bytes`` makes ranges of about as many bytes instead, for values of very
+    different sizes, at the price of a pass over the sizes. ``mode`` is one of Spark's: ``append``, ``overwrite`` (of the partitions that ``log`` has
     where the session overwrites dynamically), ``error``, ``ignore``. Returns the version, None where nothing was to be written.
     """
     spark = log.sparkSession
@@ -243,8 +246,12 @@ def write_log(
     mark = uuid.uuid4().hex
     folder.write("", "_log", f"writing-{mark}")
     try:
-        ordered = log.repartitionByRange(*([] if tasks is None else [tasks]), "topic", "partition", "offset")
-        writer = ordered.sortWithinPartitions("topic", "partition", "offset").write.mode("append")
+        address = [*KEYS, "offset"]
+        if range_bytes is None:
+            ordered = log.repartitionByRange(*([] if tasks is None else [tasks]), *address).sortWithinPartitions(*address)
+        else:
+            ordered = by_bytes(log, range_bytes)
+        writer = ordered.write.mode("append")
         if records_per_file:
             writer = writer.option("maxRecordsPerFile", records_per_file)
         staged = Folder(spark, f"{path}/_log/stage-{mark}")  # writes of two jobs into one folder would remove each other's files

@@ -4,7 +4,7 @@ from logsift.functions.decoders import delimited, json_body, labelled
 from logsift.functions.protobuf import person_body
 from logsift.functions.text import string_cut
 from logsift.operators.balance import by_bytes
-from logsift.operators.bodies import body_line_rows, canonical_bodies, field_sum, json_children
+from logsift.operators.bodies import body_line_rows, canonical_bodies, field_sum, json_children, with_bodies
 from logsift.operators.catalog import (
     as_cursors,
     list_topics,
@@ -135,6 +135,7 @@ __all__ = [
     "topic_catalog",
     "vacuum_log",
     "versions",
+    "with_bodies",
     "with_context",
     "write_catalog",
     "write_dump",

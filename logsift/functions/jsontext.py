@@ -107,9 +107,14 @@ def json_field(column: Column | str, path: str) -> Column:
 
 def json_node(column: Column | str, path: str) -> Column:
     """What a body has at ``path``, as VARIANT."""
+    return json_at(json_value(column), path)
+
+
+def json_at(body: Column, path: str) -> Column:
+    """What a parsed body has at ``path``."""
     if not PATH.fullmatch(path):
         raise ValueError(f"path must look like $.a.b or $.a[0], not {path!r}")
-    return F.try_variant_get(json_value(column), path, "variant")
+    return F.try_variant_get(body, path, "variant")
 
 
 def json_number(node: Column) -> Column:

@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, VariantType
 
-from logsift.functions.jsontext import NUMBER, canonical_json, json_kind, json_node, json_number, json_value, numeral
+from logsift.functions.jsontext import NUMBER, canonical_json, json_at, json_kind, json_node, json_number, json_value, numeral
 from logsift.functions.text import as_text, body_lines
 from logsift.operators.ranges import in_range
 from logsift.plans.sizing import materialise
@@ -92,11 +93,36 @@ def field_sum(log: Log, path: str, cursors: DataFrame | None = None, by: list[st
     """Exact sum of the number at a JSON path over the messages from every cursor on, per partition.
 
     ``by=["topic"]`` gives the sum per topic. Anything but a number counts as nothing. A sum that
-    DECIMAL cannot hold, or with a number that it cannot hold, is NULL.
+    DECIMAL cannot hold, or with a number that it cannot hold, is NULL. Of a log with parsed bodies (``with_bodies``) only the path is read.
     """
-    nodes = in_range(log, cursors).select(*KEYS, json_node("value", path).alias("_node"))
+    if _has_bodies(log):
+        nodes = in_range(_pieces(log, path), cursors).select(*KEYS, "_node")
+    else:
+        nodes = in_range(log, cursors).select(*KEYS, json_node("value", path).alias("_node"))
     numbers = nodes.select(*KEYS, json_kind(F.col("_node")).alias("_kind"), json_number(F.col("_node")).alias("_number"))
     lost = F.count_if((F.col("_kind") == "number") & F.col("_number").isNull())
     counted = F.count("_number")
     total = F.when(lost == 0, F.when(counted == 0, F.lit(0).cast(NUMBER)).otherwise(F.try_sum("_number")))
     return numbers.groupBy(*(by or KEYS)).agg(total.cast(NUMBER).alias("total"))
+
+
+def with_bodies(log: DataFrame) -> DataFrame:
+    """``log`` with its bodies parsed, as VARIANT in the column ``body``; NULL where the body is not one JSON value.
+
+    ``write_log`` stores such a column in pieces, a field to a column of the file, so bodies are parsed once and reads of
+    a path open only its piece.
+    """
+    return log.withColumn("body", json_value("value"))
+
+
+def _has_bodies(log: Log) -> bool:
+    schema = getattr(log, "schema", None) or "value STRING"
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return any(f.name == "body" and isinstance(f.dataType, VariantType) for f in schema)
+
+
+def _pieces(log: Log, path: str) -> Log:
+    """Addresses with what the parsed bodies have at ``path``, next to the scan, so that it reads no more."""
+    if callable(log):
+        return lambda cursors: _pieces(log(cursors), path)
+    return log.select(*ADDRESS, json_at(F.col("body"), path).alias("_node"))

@@ -125,13 +125,16 @@ def with_context(log: Log, cursors: DataFrame) -> DataFrame:
     return in_range(log, cursors, keep=("start", "end"))
 
 
+# The headings of a partition and of a message.
+PARTITION_HEADING = "topic: %s partition: %d start: %d end: %d"
+MESSAGE_HEADING = "topic: %s partition: %d offset: %d"
+
+
 def partition_header() -> Column:
     """Heading of a partition for rows with the columns of a cursor table."""
-    return F.format_string(
-        "topic: %s partition: %d start: %d end: %d", "topic", "partition", "start", "end"
-    )
+    return F.format_string(PARTITION_HEADING, "topic", "partition", "start", "end")
 
 
 def message_header() -> Column:
     """Heading of a message."""
-    return F.format_string("topic: %s partition: %d offset: %d", "topic", "partition", "offset")
+    return F.format_string(MESSAGE_HEADING, "topic", "partition", "offset")

@@ -334,6 +334,7 @@ select topic, "partition", "offset", "value" from ranked where n = 21""",
     "json_numbers": """
 select event_id, '{"big":' || event_id || 'e400,"k":' || event_id * 100 || ',"v":' || event_id || '.5}' as json from events""",
 }
+SQL["stored_field_sum"] = SQL["json_field_sum"]
 SQL["stored_page"] = SQL["page_messages"]
 SQL["indexed_search"] = SQL["search_topic"]
 SQL["replay_until_found"] = SQL["replay_first_match"]

@@ -292,6 +292,15 @@ def stored_position(spark, folder):
     return scan.message_at_position(stored_log(spark, path, schema), stored_offsets(spark, path, schema), 20)
 
 
+def stored_field_sum(spark, folder):
+    """``json_field_sum`` over bodies that were parsed when the log was stored."""
+    log, path = _events(spark, folder), scratch_path(spark, "log")
+    commits.write_log(bodies.with_bodies(log), path)
+    schema = log.schema.add("body", "variant")
+    total = bodies.field_sum(stored_log(spark, path, schema), "$.k", stored_offsets(spark, path, log.schema))
+    return total.select(*KEYS, F.col("total").cast("bigint").alias("sum_k"))
+
+
 def stored_page(spark, folder):
     path, schema = _stored(spark, folder)
     return paging.page_messages(stored_log(spark, path, schema), stored_offsets(spark, path, schema), 2, 20).select(*ADDRESS)
@@ -381,6 +390,7 @@ REGISTRY: dict[str, Query] = {
     "stored_tail": stored_tail,
     "stored_overwrite": stored_overwrite,
     "stored_position": stored_position,
+    "stored_field_sum": stored_field_sum,
     "stored_page": stored_page,
     "indexed_search": indexed_search,
     "replay_until_found": replay_until_found,

@@ -14,14 +14,16 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 from functools import cached_property
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from logsift.operators.balance import by_bytes
 from logsift.plans.sizing import join_small, pin
@@ -232,7 +234,7 @@ def write_log(
     those ranges (default: the session's shuffle partitions; give bytes / 1 GB or so for a large log),
     ``records_per_file`` ends a file early. ``range_bytes`` makes ranges of about as many bytes instead, for values of very
     different sizes, at the price of a pass over the sizes. ``mode`` is one of Spark's: ``append``, ``overwrite`` (of the partitions that ``log`` has
-    where the session overwrites dynamically), ``error``, ``ignore``. Returns the version, None where nothing was to be written.
+    where the session overwrites dynamically), ``error``, ``ignore``. Columns of VARIANT are stored in pieces. Returns the version, None where nothing was to be written.
     """
     spark = log.sparkSession
     folder = Folder(spark, path)
@@ -255,7 +257,8 @@ def write_log(
         if records_per_file:
             writer = writer.option("maxRecordsPerFile", records_per_file)
         staged = Folder(spark, f"{path}/_log/stage-{mark}")  # writes of two jobs into one folder would remove each other's files
-        writer.option("mapreduce.output.basename", f"log.{mark}").partitionBy(*KEYS).parquet(staged.path)
+        with _in_pieces(spark) if any(isinstance(f.dataType, VariantType) for f in log.schema) else nullcontext():
+            writer.option("mapreduce.output.basename", f"log.{mark}").partitionBy(*KEYS).parquet(staged.path)
         new = pin(ranges(staged, spark.read.schema(PLACE).parquet(staged.pattern)))
         moved(staged, folder)
         if mode == "append":
@@ -270,6 +273,22 @@ def write_log(
     return version
 
 
+#: VARIANT columns are stored with the fields that most values have as columns of their own.
+PIECES = {"spark.sql.variant.writeShredding.enabled": "true", "spark.sql.variant.inferShreddingSchema": "true"}
+
+
+@contextmanager
+def _in_pieces(spark: SparkSession) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in PIECES}
+    try:
+        for name, value in PIECES.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def moved(staged: Folder, folder: Folder) -> None:
     """Rename the files of ``staged`` to their places below ``folder``."""
     names = [row["file"] for row in listed(staged).toLocalIterator()]

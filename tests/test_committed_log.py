@@ -268,3 +268,20 @@ def test_pieces_of_long_values(spark, make_log, tmp_path, monkeypatch):
     log = logsift.stored_log(spark, path, SCHEMA)
     for at in (0, (1 << 21) - 5, (1 << 21) - 1, 1 << 21, len(text) - 9):
         assert log.containing(text[at : at + 9]).files.count() == 1
+
+
+def test_sums_over_parsed_bodies_read_one_piece(spark, make_log, tmp_path):
+    path = str(tmp_path / "log")
+    bodies = ['{"k": %d, "n": {"m": [%d]}, "text": "long %d"}' % (o, o % 7, o) for o in range(300)] + ['{"k": "9"}', "no", '{"k": 1e3}', None, "[1]", '{"k": 2.5} x', '{"k": 0.25}']
+    log = make_log([("t", o % 2, o, body) for o, body in enumerate(bodies)])
+    logsift.write_log(logsift.with_bodies(log), path, tasks=2)
+    seek, cursors = logsift.stored_log(spark, path, SCHEMA + ", body variant"), logsift.stored_offsets(spark, path, SCHEMA)
+    for where in ("$.k", "$.n.m[0]", "$.absent"):
+        for place in (cursors, logsift.move(cursors, -40)):
+            assert rows(logsift.field_sum(seek, where, place)) == rows(logsift.field_sum(log, where, place))
+    plan = logsift.field_sum(logsift.read_log(spark, path, SCHEMA + ", body variant"), "$.k")._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    assert "parse_json" not in plan and "ReadSchema: struct<body:struct<0:variant>>" in plan
+    whole = logsift.stored_log(spark, path, SCHEMA)
+    assert rows(logsift.range_scan(whole, cursors), "offset", "value") == rows(log, "offset", "value")

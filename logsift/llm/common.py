@@ -39,6 +39,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes that a task exchanges with Python at once where rows are long.
+BATCH_BYTES = 4 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_bytes(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch as well; a smaller bound of the session stays."""
+    known = int(spark.conf.get(ARROW_BYTES).rstrip("b"))
+    if not 0 < known <= BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, BATCH_BYTES)
+
+
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | pa.Table]], schema: str
 ) -> DataFrame:

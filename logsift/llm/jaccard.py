@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import components, groups, in_blocks, map_batches, shared, task_count, texts
+from logsift.llm.common import bound_bytes, components, groups, in_blocks, map_batches, shared, task_count, texts
 from logsift.llm.shingles import shingles
 from logsift.plans.sizing import join_small
 
@@ -228,6 +228,7 @@ def tree_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame) -> DataFrame:
     """(id, own, n, part, component_id) of every row of (id, own, text); ``part`` is null without shingles."""
+    bound_bytes(docs.sparkSession)
     rows = profiles(docs)
     classes = rows.where("n > 0").groupBy("same").agg(
         F.min("id").alias("rep"), F.min("own").alias("own"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")

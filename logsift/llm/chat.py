@@ -11,7 +11,8 @@ are escaped with a backslash, so the output holds control strings only where the
 ``read_back`` gives every role and text unchanged. The loss mask names the assistant texts as code-point spans of the output.
 
 Null texts and roles are empty ones; events that tie in seq apply in the order of kind and text; null ids are ids of their
-own; a kind that is null or unknown counts as ``delta``. No events, no conversations.
+own; a kind that is null or unknown counts as ``delta``. No events, no conversations. A conversation is rendered as one row, so its
+text must stay below the 2 GB that a row can hold.
 """
 
 from __future__ import annotations

@@ -40,6 +40,37 @@ def test_plan_is_optimal_on_hard_lengths():
     assert check_plan({}, 10) == 0 and check_plan({10: 3}, 10) == 3 and check_plan({1: 25}, 10) == 3
 
 
+@pytest.mark.parametrize("low, high, most", [(200, 500, 13_760), (182, 514, 13_620), (400, 600, 20_000)])
+def test_steps_shrink_where_few_lengths_carry_all(low, high, most):
+    lengths = np.random.default_rng(1).integers(low, high + 1, 40_000)
+    assert check_plan(Counter(lengths.tolist()), 1024) <= most
+
+
+def test_configurations_are_the_best():
+    draw = np.random.default_rng(3)
+    for size in (1, 7, 90, 400):
+        lengths = np.unique(draw.integers(1, size + 1, 12))
+        prices = draw.random(len(lengths)) + 0.01
+        best = [0.0]
+        for room in range(1, size + 1):
+            best.append(max([best[-1], *(best[room - x] + p for x, p in zip(lengths, prices) if x <= room)]))
+        config, price = packing.best_configuration(size, lengths, prices)
+        value = dict(zip(lengths.tolist(), prices))
+        assert sum(x * c for x, c in config.items()) <= size
+        assert price == pytest.approx(best[size]) == sum(value[x] * c for x, c in config.items())
+
+
+def test_clashing_columns_and_hot_groups(spark):
+    draw = random.Random(4)
+    rows = [(None, 1, draw.choice([5, 5, 16, 3]), "a", i, i, i, "s", i) for i in range(500)]
+    names = "doc_id long, piece int, length long, row string, number int, salt int, rank int, sequence_id string, n int"
+    packed = packing.pack(spark.createDataFrame(rows, names), size=16, ranked=10)
+    assert packed.columns == ["doc_id", "piece", "length", "row", "number", "salt", "rank", "n", "sequence_id", "offset"]
+    got = packed.collect()
+    packed_ok(got, 16)
+    assert sorted((r.length, r.row, r.number, r.salt, r.rank, r.n) for r in got) == sorted((r[2], "a", r[4], r[5], r[6], r[8]) for r in rows)
+
+
 def packed_ok(rows, size):
     places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
     at = (None, 0)

@@ -1,12 +1,16 @@
 """Deterministic sharded WARC archives, written and read by tasks.
 
-Records are dealt to shards by ranges of their id that hold about ``shard_bytes`` of payload each, by sums over at
-most ``BUCKETS`` id ranges: the same records give the same shards, names and bytes however they come
-in. A task sorts its shards and begins a new file when the compressed size reaches ``roll_bytes``. Headers,
-record ids and digests are made anew; nothing in a file depends on time or place (the date is a parameter).
+Records are dealt to shards by ranges of their id that hold about ``shard_bytes`` each, by sums over equal ranges:
+the same records give the same shards, names and bytes however they come in. A range that holds more is counted again in
+narrower ones, until it fits; one id (or none) that holds more is divided by the digest of the payload. So neither an outlier
+id nor many records without one make a large shard. Only records that are equal in id and payload stay together, and all but
+one of them travel without the payload. The driver holds a few sums per shard. A task sorts its shard and begins a new file
+when the compressed size reaches ``roll_bytes``. Headers, record ids and digests are made anew; nothing in a file depends
+on time or place (the date is a parameter).
 
 Every file is written under a temporary name and then renamed, so a lost or repeated task leaves no half file
-under a final name. The manifest, a table of the files, is written last: an archive is what it names.
+under a final name; where a rename refuses a name that an earlier attempt has taken, that attempt's equal file stays.
+The manifest, a table of the files, is written last: an archive is what it names.
 
 Equal payloads of at least ``revisit_bytes`` are stored once, with the largest id; the others become revisit
 records without a payload. Null payloads are empty. Null ids come before all others; of records that are equal in id
@@ -21,18 +25,20 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm.common import task_count
+from logsift.llm.common import shared, task_count
 from logsift.plans.session import scratch_path
 from logsift.plans.sizing import join_small
 
 SHARD_BYTES, ROLL_BYTES, BUCKETS, LEVEL = 64 << 20, 32 << 20, 1 << 16, 6
+DIGESTS = 1 << 60
 DATE = "1970-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 MANIFEST = "shard int, roll int, file string, records long, bytes long, sha1 string"
@@ -96,10 +102,74 @@ class Roll:
 
     def commit(self) -> tuple:
         self.stream.close()
-        self.fs.move(self.temporary, f"{self.path}/{self.file}")
+        try:
+            self.fs.move(self.temporary, f"{self.path}/{self.file}")
+        except OSError:
+            if self.fs.get_file_info(f"{self.path}/{self.file}").size != self.bytes:
+                raise
+            self.fs.delete_file(self.temporary)
         return self.shard, self.roll, self.file, self.records, self.bytes, self.sha1.hexdigest()
 
 
+#: The first 60 bits of the payload's digest.
+DIGEST = "cast(conv(substring(sha2(payload, 256), 1, 15), 16, 10) as bigint)"
+CELLS = "cell long, digests boolean, low decimal(20), width decimal(20), base long"
+
+
+def shards(keyed: DataFrame, shard_bytes: int, buckets: int = BUCKETS) -> tuple[Callable[[DataFrame], DataFrame], int]:
+    """How to deal rows with (page, digest) to shards, and how many; ``keyed`` has (page, digest, size).
+
+    A cell is a range of ids, or of the digests of one id. Cells above ``shard_bytes`` are divided, round by round, into
+    ``buckets`` cells in all, or four for every ``shard_bytes`` where that is more.
+    """
+    spark = keyed.sparkSession
+    low, high = keyed.agg(F.min("page"), F.max("page")).first()
+    # Cell: (its ids begin at, of how many ids; its digests begin at, of how many); no id is a range of one.
+    cells = {0: (None, 1, 0, DIGESTS)}
+    if low is not None:
+        cells[1] = (low, high - low + 1, 0, DIGESTS)
+    rounds, leaves, next_cell = [], [], 2
+
+    def divided(df: DataFrame) -> DataFrame:
+        df = df.withColumn("cell", F.when(F.col("page").isNull(), 0).otherwise(1).cast("long"))
+        for table in rounds:
+            step = F.expr("(cast(if(digests, digest, page) as decimal(20)) - low) div width")
+            df = df.join(F.broadcast(table), "cell", "left").withColumn("cell", F.coalesce(F.col("base") + step, "cell"))
+            df = df.drop("digests", "low", "width", "base")
+        return df
+
+    while cells:
+        sizes = divided(keyed).groupBy("cell").agg(F.sum("size")).where(F.col("cell") >= min(cells)).collect()
+        heavy = []
+        for cell, size in sizes:
+            first, ids, begin, digests = cells[cell]
+            if size > shard_bytes and ids * digests > 1:
+                heavy.append((cell, size))
+            else:
+                leaves.append((first is not None, first or 0, begin, cell, size))
+        rows, parts = [], {}
+        for cell, size in sorted(heavy):
+            first, ids, begin, digests = cells[cell]
+            axis = ids if ids > 1 else digests
+            width = -(-axis // max(2, buckets // len(heavy), 4 * size // shard_bytes))
+            rows.append((cell, ids == 1, Decimal(begin if ids == 1 else first), Decimal(width), next_cell))
+            for i in range(-(-axis // width)):
+                own = min(width, axis - i * width)
+                parts[next_cell] = (first, 1, begin + i * width, own) if ids == 1 else (first + i * width, own, 0, DIGESTS)
+                next_cell += 1
+        if rows:
+            rounds.append(spark.createDataFrame(rows, CELLS))  # at most a row per shard
+        cells = parts
+    dealt, total = [], 0
+    for *_, cell, size in sorted(leaves):
+        dealt.append((cell, total // shard_bytes))
+        total += size
+    # Numbers without gaps: a shard is a task.
+    numbers = {x: i for i, x in enumerate(sorted({x for _, x in dealt}))}
+    of = spark.createDataFrame([(cell, numbers[x]) for cell, x in dealt], "cell long, shard int")
+    return lambda df: join_small(divided(df), of, ["cell"]).drop("cell"), max(1, len(numbers))
+
+
 def write(
     pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html",
     revisit_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, level: int = LEVEL,
@@ -121,35 +191,29 @@ def write(
     )
     rows = join_small(rows, several, ["same"], "left")
 
-    low, high = pages.agg(F.min(F.col(key).cast("long")), F.max(F.col(key).cast("long"))).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // BUCKETS + 1
-    bucket = F.expr(f"(coalesce(page, {low}) - {low}) div {width}")
-    sizes = sorted(pages.select(F.col(key).cast("long").alias("page"), body.alias("payload")).groupBy(bucket.alias("b")).agg(F.sum(F.octet_length("payload") + 512)).collect())
-    shards, total = [], 0
-    for b, size in sizes:
-        shards.append((b, int(total // shard_bytes)))
-        total += size
-    of = spark.createDataFrame(shards, "b long, shard int")  # at most BUCKETS rows
+    size = F.octet_length("payload").cast("long")
+    keyed = shared(pages.select(F.col(key).cast("long").alias("page"), body.alias("payload")).select("page", F.expr(DIGEST).alias("digest"), (size + 512).alias("size")))
+    deal, number = shards(keyed, shard_bytes)
+    stored = F.col("several").isNull() | F.col("page").eqNullSafe(F.col("response"))
     dealt = (
-        rows.withColumn("b", bucket)
-        .join(F.broadcast(of), "b")
-        .select("shard", "page", "url", "same", "response", "several", "payload")
-        .repartition(max(task_count(spark), shards[-1][1] + 1 if shards else 1), "shard")
+        deal(rows.withColumn("digest", F.expr(DIGEST)))
+        .withColumns({"size": size, "sha1": F.sha1("payload"), "payload": F.when(stored, F.col("payload"))})
+        .select("shard", "page", "url", "same", "response", "several", "size", "sha1", "payload")
+        .repartitionById(number, "shard")
         .sortWithinPartitions("shard", F.col("page").asc_nulls_first(), "same", F.col("url").asc_nulls_first())
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, done, before = None, [], None
         for batch in batches:
-            for shard, page, url, same, response, several, payload in zip(*(batch[c].to_pylist() for c in batch.schema.names), strict=True):
+            for shard, page, url, same, response, several, size, sha1, payload in zip(*(batch[c].to_pylist() for c in batch.schema.names), strict=True):
                 if roll and (roll.shard != shard or roll.bytes >= roll_bytes):
                     done.append(roll.commit())
                     roll = Roll(folder, shard, roll.roll + 1 if roll.shard == shard else 0)
                 roll = roll or Roll(folder, shard, 0)
                 first = (page, same) != before and page == response
                 kind = "response" if not several or first else "revisit"
-                roll.add(record(page, url, payload, len(payload), digest(payload), response, kind), level)
+                roll.add(record(page, url, payload, size, base64.b32encode(bytes.fromhex(sha1)).decode(), response, kind), level)
                 before = (page, same)
         if roll:
             done.append(roll.commit())

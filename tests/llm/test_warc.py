@@ -58,6 +58,38 @@ def test_size_bound_of_revisits(spark, tmp_path):
     assert got == {1: ("response", None), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None)}
 
 
+def test_outliers_and_rows_without_id_are_divided(spark, tmp_path):
+    rows = [(i, "u", f"{i}" + "x" * 1000) for i in range(400)] + [(2**63 - 1, "u", "far"), (-(2**63), "u", "low")]
+    rows += [(None, "u", f"n{i}" + "y" * 1000) for i in range(300)] + [(7, "u", f"t{i}" + "z" * 1000) for i in range(100)]
+    rows += [(5, "v", "copy" * 300)] * 200
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/a"
+    files = warc.write(df, folder, shard_bytes=30_000)
+    sizes = files.groupBy("shard").agg({"records": "sum"}).collect()
+    copies = max(n for _, n in sizes)
+    assert 200 <= copies <= 240 and sorted(n for _, n in sizes)[-2] <= 60
+    assert sorted(s for s, _ in sizes) == list(range(len(sizes)))
+    got = warc.read(files, folder).collect()
+    assert sorted(map(repr, ((r.page_id, r.payload_digest) for r in got))) == sorted(map(repr, ((p, sha1(t)) for p, _, t in rows)))
+    assert sum(r.record_type == "response" for r in got) == len({t for _, _, t in rows})
+    again = f"file://{tmp_path}/b"
+    warc.write(df.repartition(5), again, shard_bytes=30_000)
+    assert files_of(tmp_path / "a") == files_of(tmp_path / "b")
+
+
+def test_a_repeated_task_keeps_the_earlier_file(tmp_path, monkeypatch):
+    def refuse(*_):
+        raise OSError("the name is taken")
+
+    for attempt in range(2):
+        roll = warc.Roll(str(tmp_path), 0, 0)
+        roll.add(b"record", 6)
+        if attempt:
+            roll.fs = type("Fs", (), {"move": refuse, "get_file_info": roll.fs.get_file_info, "delete_file": roll.fs.delete_file})()
+        roll.commit()
+    assert len(files_of(tmp_path)) == 1 and not list((tmp_path / "_temporary").iterdir())
+
+
 def test_damage_is_found(spark, tmp_path):
     good = warc.record(1, "u", b"payload", 7, warc.digest(b"payload"), None, "response")
     assert warc.parse(good)[1] == b"payload"

@@ -42,8 +42,8 @@ POWER, RATES = 1.1, (0.3, 1.0, 3.0)
 GAP, LEAST_STEP = 1e-4, 1 / 32
 #: Lengths below it extend the knapsack's table one by one.
 BLOCK = 64
-#: Pieces of a length that are ranked together, about.
-RANKED = 1 << 16
+#: Pieces of a length that are ranked together, about; the counts of the groups are a thousandth of the rows.
+RANKED = 1 << 10
 
 
 def token_pieces(

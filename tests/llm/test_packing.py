@@ -46,6 +46,35 @@ def test_steps_shrink_where_few_lengths_carry_all(low, high, most):
     assert check_plan(Counter(lengths.tolist()), 1024) <= most
 
 
+def fewest(lengths, size):
+    """The optimum, by trying every set of pieces that shares a sequence with the first one."""
+    best = {0: 0}
+    full = (1 << len(lengths)) - 1
+
+    def least(left):
+        if left not in best:
+            first = left & -left
+            others, found = left ^ first, len(lengths)
+            chosen = others
+            while True:
+                if sum(x for i, x in enumerate(lengths) if (chosen | first) >> i & 1) <= size:
+                    found = min(found, 1 + least(others ^ chosen))
+                if not chosen:
+                    break
+                chosen = (chosen - 1) & others
+            best[left] = found
+        return best[left]
+
+    return least(full)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_few_pieces_take_the_fewest_sequences(seed):
+    draw = random.Random(seed)
+    lengths = [draw.randint(2, 17) for _ in range(9)]
+    assert check_plan(Counter(lengths), 20) == fewest(lengths, 20)
+
+
 def test_configurations_are_the_best():
     draw = np.random.default_rng(3)
     for size in (1, 7, 90, 400):

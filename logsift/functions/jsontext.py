@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,28 +55,63 @@ def canonical_json(column: Column | str) -> Column:
 
 def _with_numerals(text: Column) -> Column:
     """Numbers that VARIANT would round go through the parser as strings, marked by the body's own hash."""
-    mark = F.concat(F.lit("#"), F.xxhash64(text).cast("string"), F.lit("#"))
 
-    def token(part: Column) -> Column:
+    def token(part: Column, mark: Column) -> Column:
         hard = part.rlike("^-?[0-9]") & (part.rlike("[eE]") | (F.length(part) > DIGITS))
         return F.when(hard, F.concat(F.lit('"'), mark, numeral(part), mark, F.lit('"'))).otherwise(part)
 
-    marked = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)), token), "")
-    found = F.to_json(json_value(marked))
-    return F.replace(F.replace(found, F.concat(F.lit('"'), mark), F.lit("")), F.concat(mark, F.lit('"')), F.lit(""))
+    def parsed(text: Column, mark: Column) -> Column:
+        tokens = F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0))
+        marked = F.array_join(F.transform(tokens, lambda part: token(part, mark)), "")
+        found = F.to_json(bound(marked, json_value))
+        return F.replace(F.replace(found, F.concat(F.lit('"'), mark), F.lit("")), F.concat(mark, F.lit('"')), F.lit(""))
+
+    hashed = F.concat(F.lit("#"), F.xxhash64(text).cast("string"), F.lit("#"))
+    return bound(F.struct(text.alias("text"), hashed.alias("mark")), lambda body: parsed(body["text"], body["mark"]))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row, however often ``use`` names it.
+
+    An expression that is named twice is planned twice, and names of names multiply; the variable of a lambda does not.
+    """
+    return F.transform(F.array(value), use)[0]
 
 
 def numeral(number: Column) -> Column:
     """A JSON number as its shortest text without an exponent; anything else as it is."""
-    sign, whole, part, exponent = (F.regexp_extract(number, NUMERAL, i) for i in (1, 2, 3, 4))
-    shift = F.when(exponent == "", 0).otherwise(exponent.try_cast("int"))
-    digits, point = F.concat(whole, part), F.length(whole) + shift
-    left = F.when(point <= 0, "").otherwise(F.rpad(F.left(digits, point), F.greatest(point, F.lit(0)), "0"))
-    right = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), -point), digits)).otherwise(F.substring(digits, point + 1, F.length(digits)))
-    left, right = F.ltrim(left, F.lit("0")), F.rtrim(right, F.lit("0"))
-    value = F.concat(F.when(left == "", "0").otherwise(left), F.when(right == "", "").otherwise(F.concat(F.lit("."), right)))
-    signed = F.when(value == "0", value).otherwise(F.concat(sign, value))
-    return F.when((whole != "") & (F.abs(shift) <= MOST_ZEROS), signed).otherwise(number)
+
+    def split(number: Column) -> Column:
+        sign, whole, part, exponent = (F.regexp_extract(number, NUMERAL, i) for i in (1, 2, 3, 4))
+        fields = F.struct(sign.alias("sign"), whole.alias("whole"), part.alias("part"), exponent.alias("exponent"))
+        return bound(fields, lambda n: shifted(number, n))
+
+    def shifted(number: Column, n: Column) -> Column:
+        shift = F.when(n["exponent"] == "", 0).otherwise(n["exponent"].try_cast("int"))
+
+        def use(shift: Column) -> Column:
+            short = (n["whole"] != "") & shift.between(-MOST_ZEROS, MOST_ZEROS)
+            return F.when(short, moved(n, shift)).otherwise(number)
+
+        return bound(shift, use)
+
+    def moved(n: Column, shift: Column) -> Column:
+        digits, point = F.concat(n["whole"], n["part"]), F.length(n["whole"]) + shift
+        fields = F.struct(digits.alias("digits"), point.alias("point"))
+        return bound(fields, lambda m: written(n["sign"], m["digits"], m["point"]))
+
+    def written(sign: Column, digits: Column, point: Column) -> Column:
+        left = F.when(point <= 0, "").otherwise(F.rpad(F.left(digits, point), F.greatest(point, F.lit(0)), "0"))
+        right = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), -point), digits)).otherwise(F.substring(digits, point + 1, F.length(digits)))
+        sides = F.struct(F.ltrim(left, F.lit("0")).alias("left"), F.rtrim(right, F.lit("0")).alias("right"))
+        return bound(sides, lambda side: joined(sign, side["left"], side["right"]))
+
+    def joined(sign: Column, left: Column, right: Column) -> Column:
+        whole = F.when(left == "", "0").otherwise(left)
+        sign = F.when((left == "") & (right == ""), "").otherwise(sign)
+        return F.concat(sign, whole, F.when(right == "", "").otherwise(F.concat(F.lit("."), right)))
+
+    return bound(number, split)
 
 
 def json_kind(value: Column) -> Column:

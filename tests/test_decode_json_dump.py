@@ -318,6 +318,15 @@ def test_numbers_are_exact(spark):
     assert {k: (v, bodies[k]) for k, v in got.items() if v != bodies[k]} == {}
 
 
+def test_numbers_are_worked_out_once(spark):
+    """An expression named n times is planned n times: then a body was split into tokens 7 times, and each number matched 160 times in each."""
+    bodies = {"[1e-2147483648]": "[1e-2147483648]", "[1e2147483647,1e2]": "[1e2147483647,100]", "1e-308": "0." + "0" * 307 + "1", "1e-309": "1e-309"}
+    df = spark.createDataFrame([(t,) for t in bodies], "value string").select("value", canonical_json("value").alias("json"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("regexp_extract(") == 4
+    assert {r["value"]: r["json"] for r in df.collect()} == bodies
+
+
 def test_children_to_any_depth(spark, make_log):
     draw = random.Random(9)
 
